@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text worked on at once in a Python worker; a longer document is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 
 

@@ -28,6 +28,7 @@ U64 = np.uint64
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
+SHARD_BYTES = 2 << 20
 _VALUES = byte_table(lower=True)
 _INSIDE = byte_set(lower=True, digits=(48, 57), letters=(97, 122), rest=(128, 255))
 
@@ -249,7 +250,7 @@ def _scan(phrases: Phrases):
             keys, ids = b.column(0), b.column(1)
             data, offsets = texts(b.column(2))
             counts, starts, ends, items = [], [], [], []
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, SHARD_BYTES):
                 part = offsets[i : j + 1]
                 n, doc, word, width, item = shard_hits(data[part[0] : part[-1]], part - part[0], phrases)
                 base = np.concatenate([[0], np.cumsum(n)])
@@ -367,7 +368,7 @@ def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 def _cut(column, blocks: list[Phrases]) -> list[str | None]:
     data, offsets = texts(column)
     out = column.to_pylist()
-    for i, j in pieces(offsets):
+    for i, j in pieces(offsets, SHARD_BYTES):
         part = offsets[i : j + 1]
         own, at = data[part[0] : part[-1]], part - part[0]
         hits = [shard_hits(own, at, p) for p in blocks]

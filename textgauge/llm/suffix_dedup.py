@@ -498,7 +498,7 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | No
     rule is about bytes.  Other columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    buckets, owners = buckets or 4 * n, owners or max(1, n // 2)
+    buckets, owners = buckets or 4 * n, owners or n
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     docs = docs.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
