@@ -8,6 +8,7 @@ lookups away once the prefix hashes are there.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import numpy as np
@@ -73,32 +74,68 @@ def byte_set(lower: bool = False, **ranges: tuple[int, int]) -> np.ndarray:
     return m
 
 
-_POW: list[np.ndarray] = []
+_LOW = 1 << 12
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n and those of its inverse modulo 2**64."""
-    if not _POW or len(_POW[0]) <= n:
-        size = max(n + 1, PIECE_BYTES + 4096)
-        inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        _POW[:] = []
-        for base in (_BASE, inverse):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _POW.append(np.multiply.accumulate(p))
-    return _POW[0], _POW[1]
+def _ladder(base: int, step: int, n: int) -> np.ndarray:
+    p = np.full(n, U64(pow(base, step, 1 << 64)), U64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2**64, as products of two short tables."""
+
+    def __init__(self):
+        inverse = pow(int(_BASE), -1, 1 << 64)
+        self.bases = int(_BASE), inverse
+        self.low = [_ladder(b, 1, _LOW) for b in self.bases]
+        self.high = [_ladder(b, _LOW, 1024) for b in self.bases]
+
+    def reach(self, n: int) -> None:
+        if n // _LOW >= len(self.high[0]):
+            self.high = [_ladder(b, _LOW, 2 * (n // _LOW + 1)) for b in self.bases]
+
+    def up(self, n: int) -> np.ndarray:
+        """Powers 0..n-1 of the base."""
+        self.reach(n)
+        return (self.high[0][: n // _LOW + 1, None] * self.low[0][None, :]).ravel()[:n]
+
+    def down(self, at: np.ndarray) -> np.ndarray:
+        """Powers of the inverse at the given exponents."""
+        return self.high[1][at >> 12] * self.low[1][at & (_LOW - 1)]
+
+
+POWERS = _Powers()
 
 
 class PrefixHash:
     """Prefix polynomial hashes of a byte array; ``of`` hashes many substrings at once."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray):
-        up, self.down = powers(len(data) + 1)
+        POWERS.reach(len(data) + 1)
         self.h = np.zeros(len(data) + 1, U64)
-        np.cumsum(values[data] * up[: len(data)], out=self.h[1:])
+        step = 64 * _LOW
+        for i in range(0, len(data), step):
+            part = data[i : i + step]
+            up = POWERS.up(len(part))
+            if i:
+                up *= U64(pow(int(_BASE), i, 1 << 64))
+            up *= values[part]
+            np.cumsum(up, out=self.h[i + 1 : i + 1 + len(part)])
+            self.h[i + 1 : i + 1 + len(part)] += self.h[i]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.h[end] - self.h[start]) * self.down[start]
+        return (self.h[end] - self.h[start]) * POWERS.down(start)
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library frees by itself
+        return
 
 
 def texts(column) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, byte_table, keyed, mix, partitions, pieces, spread, texts
+from .common import POWERS, PrefixHash, byte_table, keyed, mix, partitions, pieces, release, spread, texts
 from .exchange import owner_cuts, pack, unpack
 
 U64 = np.uint64
@@ -120,8 +120,8 @@ class SuffixSorter:
         """Bytes that substrings a and b have in common at their starts."""
         low = np.zeros(len(a), np.int64)
         high = np.minimum(self.length[a], self.length[b])
-        s, t, h, down = self.start[a], self.start[b], self.prefix.h, self.prefix.down
-        ds, dt = down[s], down[t]
+        s, t, h = self.start[a], self.start[b], self.prefix.h
+        ds, dt = POWERS.down(s), POWERS.down(t)
         hs, ht = h[s], h[t]
         for _ in range(self.most.bit_length()):
             mid = (low + high + 1) >> 1
@@ -235,6 +235,7 @@ class _Bucket:
         docs = docs.take(pa.array(order, pa.int64()))
         self.ids = docs.column("doc_id").combine_chunks()
         self.data, self.offsets = texts(docs.column("text"))
+        release()
         self.keys = np.array([_LAST if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
@@ -271,6 +272,7 @@ def _settle(key, rows):
     wins = np.zeros(len(order), np.uint8)
     wins[order[new]] = 1
     cuts = np.concatenate([[0], np.cumsum(size)])
+    release()
     return _rows([(t, key[0].as_py(), _REPLY, pack(np.packbits(wins[cuts[i] : cuts[i + 1]])), b"", b"", b"") for i, t in enumerate(source)])
 
 
@@ -498,7 +500,7 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | No
     rule is about bytes.  Other columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    buckets, owners = buckets or 4 * n, owners or n
+    buckets, owners = buckets or 6 * n, owners or max(1, n // 2)
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     docs = docs.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
