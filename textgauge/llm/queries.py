@@ -7,12 +7,35 @@ the whole of its tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .common import table
 from .contamination import contaminated_spans, digest
 from .exact_dedup import exact_dedup
 from .ngram_join import near_duplicates
 from .suffix_dedup import repeated_spans
+from .url_filter import SITE_RULES, WORD_RULES, judge_urls
+
+
+def _fold(folds: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.where((_fold(4) != 2) & F.col("lang").isNotNull()))
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_fold(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted", "clauses")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +55,35 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_url_filters": op4_url_filters,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _url_sql() -> str:
+    """The URL rules as one CASE, strongest first."""
+    sites = sorted(SITE_RULES, key=lambda r: -r.weight)
+    host = lambda r: r.name.partition("/")[0]
+    fits = lambda r: f"(host = '{host(r)}' OR ends_with(host, '.{host(r)}')) AND starts_with(path, '{r.name[len(host(r)):]}')"
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.name}'" for r in sites)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in sites)
+    words = " ".join(f"WHEN regexp_matches(host || path, '{r.pattern}') THEN '{r.verdict}'" for r in sorted(WORD_RULES, key=lambda r: -r.weight))
+    return f"""
+        WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+        SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} {words} ELSE 'allow' END AS verdict FROM u"""
+
+
 SQL = {
+    "op4_url_filters": _url_sql(),
     "op5_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
              s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
