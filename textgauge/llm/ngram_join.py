@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_set, byte_table, keyed, materialize, mix, partitions, pieces, texts, word_hashes, word_runs
@@ -29,6 +29,8 @@ from .components import components
 from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
 
 U64 = np.uint64
+#: Shingles that a posting looks back on to form each pair once.
+RECENT = 64
 _VALUES = byte_table(lower=True)
 _INSIDE = ~byte_set(space=(32, 32), controls=(9, 13))
 _STEP = [U64(x | 1) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -285,9 +287,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     lists = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least")).where("c0 <> c1")
     floor = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)))
     left = named.join(lists, "token").where(F.col("e") + F.col("n") - F.col("p") >= _need(F.col("n"), floor, percent))
-    left = materialize(left.select("token", "doc_id", "n", "p", "e", "c"))
+    # a pair is formed at its first common shingle, as far as the last RECENT ones tell;
+    # lists with one component hold no such pair, so they need not be looked at
+    recent = Window.partitionBy("doc_id").orderBy("e").rowsBetween(-RECENT, -1)
+    order = Window.partitionBy("doc_id").orderBy("e")
+    left = left.select("token", "doc_id", "n", "p", "e", "c", F.collect_list("token").over(recent).alias("seen"), F.row_number().over(order).alias("k"))
+    left = materialize(left)
     x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _can_match("x", "y", percent))
+    whole = (F.col("x.k") <= RECENT + 1) & (F.col("y.k") <= RECENT + 1)
+    fresh = ~F.arrays_overlap("x.seen", "y.seen") & (~whole | (F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _need(F.col("x.n"), F.col("y.n"), percent)))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _can_match("x", "y", percent) & fresh)
     cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = _links(cross.join(tried, ["a", "b"], "left_anti"), sets, percent)
