@@ -23,7 +23,7 @@ from .common import keyed
 LANGUAGES, SAMPLE_DOCS, SAMPLE_BYTES = 64, 256, 16384
 DICTIONARY_BYTES = 112 << 10
 SEGMENT = 1024
-LEVEL = 3
+LEVEL = 9
 #: A margin under this share of the best size is too narrow to accept.
 NARROW = 0.01
 UNKNOWN = "und"
@@ -50,7 +50,7 @@ class Dictionaries:
         for name in self.names:
             d = zstandard.ZstdCompressionDict(raw[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            self.tools.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def sizes(self, body: bytes) -> list[int]:
         total = [0] * len(self.tools)
