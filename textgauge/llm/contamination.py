@@ -346,12 +346,14 @@ def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """The documents with every contaminated span cut out of the text.
 
     A removed span runs from its first word's first byte to its last word's last
-    byte.  Columns and rows stay; texts without a span are unchanged.
+    byte.  Columns and rows stay, and ``n_chars``, where there is one, follows a
+    changed text; texts without a span are unchanged.
     """
     spark = docs.sparkSession
     items = keyed(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     at = docs.schema.names.index("text")
+    count = docs.schema.names.index("n_chars") if "n_chars" in docs.columns else None
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     sent = []
     for k in range(blocks):
@@ -360,7 +362,11 @@ def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     def run(batches):
         for b in batches:
-            yield b.set_column(at, b.schema.field(at), pa.array(_cut(b.column(at), [s.value for s in sent]), b.schema.field(at).type))
+            old, new = b.column(at).to_pylist(), _cut(b.column(at), [s.value for s in sent])
+            if count is not None:
+                chars = [n if x == y else len(y) for n, x, y in zip(b.column(count).to_pylist(), old, new, strict=True)]
+                b = b.set_column(count, b.schema.field(count), pa.array(chars, b.schema.field(count).type))
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 

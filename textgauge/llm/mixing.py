@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,24 +121,29 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     return fit_rates(membership(docs, labelled), weights, floor, smoothing)
 
 
+def _posteriors(model: Domains, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    out = [np.zeros((0, len(model.names)))]
+    for i, j in pieces(offsets):
+        for k in range(i, j, 256):
+            some = offsets[k : min(j, k + 256) + 1]
+            out.append(model.posterior(data[some[0] : some[-1]], some - some[0]))
+    return np.concatenate(out)
+
+
 def membership(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Tokens and domain posteriors: doc_id, n_tokens, posterior, domains."""
-    model = docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain")))
+    return _membership(docs, docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain"))))
 
+
+def _membership(docs: DataFrame, sent) -> DataFrame:
     def run(batches):
-        m = model.value
+        model = sent.value
         for b in batches:
             data, offsets = texts(b.column(1))
-            p, n = [], []
-            for i, j in pieces(offsets):
-                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                for k in range(0, j - i, 256):
-                    some = at[k : k + 257]
-                    p.append(m.posterior(own[some[0] : some[-1]], some - some[0]))
-                n.append(np.diff(word_runs(own, at, _INSIDE)[2]))
-            flat = np.concatenate(p).ravel() if p else np.zeros(0)
-            post = pa.ListArray.from_arrays(pa.array(np.arange(len(b.column(0)) + 1) * len(m.names), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), post, pa.array([m.names] * len(b.column(0)), pa.list_(pa.string()))], ["doc_id", "n_tokens", "posterior", "domains"])
+            n = [np.diff(word_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _INSIDE)[2]) for i, j in pieces(offsets)]
+            width, rows = len(model.names), len(b.column(0))
+            post = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(_posteriors(model, data, offsets).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), post, pa.array([model.names] * rows, pa.list_(pa.string()))], ["doc_id", "n_tokens", "posterior", "domains"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return materialize(keyed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>, domains array<string>"))
@@ -147,16 +153,28 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> DataFrame:
+@dataclass(frozen=True)
+class Fit:
+    """What replays the rates: residuals of the passes, step length and least rate."""
+
+    residuals: list[np.ndarray]
+    step: float
+    floor: float
+
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        return replay(posterior, self.residuals, self.step, self.floor)
+
+
+def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
     """The least-squares fit of ``mixing_rates`` for rows of ``membership``."""
     head = members.select("domains").first()
     if head is None:
-        return members.withColumn("rate", F.lit(1.0))
+        return Fit([], 0.0, floor)
     names = list(head.domains)
     width = len(names)
     slim = members.select("n_tokens", "posterior")
 
-    def totals(residuals, step, floor):
+    def totals(fit: Fit):
         """Token totals by domain at the rates so far, then the sums of tokens x p x p'."""
 
         def run(batches):
@@ -164,8 +182,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float
             for b in batches:
                 t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
                 if len(t):
-                    out[:width] += (t * replay(p, residuals, step, floor)) @ p
-                    if not residuals:
+                    out[:width] += (t * fit.rates(p)) @ p
+                    if not fit.residuals:
                         out[width:] += ((p * t[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array(out)})
 
@@ -173,32 +191,54 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float
         got = {r.k: r.v for r in slim.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         return np.array([got[k] for k in range(width + width * width)])
 
-    first = totals([], 0.0, floor)
+    fit = Fit([], 0.0, floor)
+    first = totals(fit)
     now, gram = first[:width], first[width:].reshape(width, width)
     whole = float(now.sum())
     if whole <= 0:
-        return members.withColumn("rate", F.lit(max(1.0, floor)))
+        return fit
     share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.power(now / whole, smoothing)
     share = share / share.sum() if share.sum() > 0 else now / whole
     base = max(1.0, floor)
     scale = whole if floor <= 0 else max(whole, float(np.max(now / np.where(share > 0, share, np.inf))))
-    step = base / (float(np.linalg.eigvalsh(gram / (whole / base)).max()) + RIDGE) if whole else 1.0
-    residuals: list[np.ndarray] = []
+    step = base / (float(np.linalg.eigvalsh(gram * base / whole).max()) + RIDGE)
     for _ in range(ITERATIONS):
         e = (now - share * scale) / whole
         if np.abs(e).max() < CLOSE:
             break
-        residuals.append(e)
-        now = totals(residuals, step, floor)[:width]
+        fit = Fit([*fit.residuals, e], step, floor)
+        now = totals(fit)[:width]
+    return fit
+
+
+def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> DataFrame:
+    """Rows of ``membership`` with their fitted rates."""
+    fit = solve(members, weights, floor, smoothing)
 
     def run(batches):
         for b in batches:
-            yield b.append_column("rate", pa.array(replay(_matrix(b.column("posterior"), width), residuals, step, floor)))
+            p = _matrix(b.column("posterior"), len(b.column("domains")[0])) if len(b) else np.zeros((0, 1))
+            yield b.append_column("rate", pa.array(fit.rates(p)))
 
     return members.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in members.dtypes)}, rate double")
 
 
-def copies(rate, *key: str):
-    """Whole copies that are ``rate`` on average: the fraction is decided by a hash of the key."""
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return F.floor(rate + draw).cast("int")
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 1.0, smoothing: float = 0.7) -> DataFrame:
+    """The documents in their mixture: each row as often as its rate says, a
+    fraction being decided by a hash of its id and text.  Columns stay; with a
+    floor of one or more every row is there at least once."""
+    model = docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain")))
+    fit = solve(_membership(docs, model), weights, floor, smoothing)
+    at, key = docs.schema.names.index("text"), docs.schema.names.index("doc_id")
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            data, offsets = texts(b.column(at))
+            rate = fit.rates(_posteriors(model.value, data, offsets))
+            draws = [xxhash.xxh3_64_intdigest(f"{i}|".encode() + data[x:z].tobytes()) / 2**64 for i, x, z in zip(b.column(key).to_pylist(), offsets[:-1], offsets[1:], strict=True)]
+            times = np.floor(rate + np.array(draws)).astype(np.int64)
+            yield b.take(pa.array(np.repeat(np.arange(len(b)), times)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -304,3 +304,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
 
     out = members.join(label, members.rep == label.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_same", F.lit(1).cast("bigint")).alias("n_same"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one of least doc_id, with all its columns.
+
+    Of rows that repeat its doc_id one stays.  Documents without shingles and
+    rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs, width, percent).where("doc_id IS NOT NULL")
+    ids = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("k")))
+    kept = docs.join(ids.where("c = doc_id").select("doc_id"), "doc_id", "left_semi")
+    if ids.where("c = doc_id AND k > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, mixing, toxicity
 from .common import table
 from .contamination import contaminated_spans, digest
 from .exact_dedup import exact_dedup
 from .ngram_join import near_duplicates
+from .sharding import shard_rows
 from .suffix_dedup import repeated_spans
+from .token_counts import token_counts
 from .url_filter import SITE_RULES, WORD_RULES, judge_urls
 
 
@@ -22,6 +24,20 @@ def _fold(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_rows(table(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixing_rates(docs, docs.withColumn("domain", F.col("lang"))).drop("domains")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, docs.where((_fold(4) != 2) & F.col("lang").isNotNull()))
@@ -55,6 +71,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_token_counts": op3_token_counts,
+    "op7_source_mixing": op7_source_mixing,
     "op2_language_id": op2_language_id,
     "op4_url_filters": op4_url_filters,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -256,3 +256,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, clauses bigint")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose score is under 0.5, with all their columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.schema.names.index("text")
+
+    def run(batches):
+        lexicon, w = Lexicon(sent.value.stems), sent.value.coefficients
+        for b in batches:
+            keep = [sum(a * c for a, c in zip(lexicon.features(t), w, strict=True)) < 0 for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
