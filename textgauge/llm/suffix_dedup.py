@@ -94,7 +94,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
         ok = first <= last
         at, first, last = at[ok], first[ok], last[ok]
         context = mix(prefix.of(first, last + window) + mix((at - first).astype(U64) * U64(4099) + (last - first).astype(U64)))
-        for k, x in enumerate((at + base, first + base, last + base, hashes[at], context)):
+        # least hashes crowd at the low end, so they are mixed again to spread over the owners
+        for k, x in enumerate((at + base, first + base, last + base, mix(hashes[at] + U64(1)), context)):
             out[k].append(x)
     return [np.concatenate(x) if x else np.zeros(0, np.int64 if k < 3 else U64) for k, x in enumerate(out)]
 
