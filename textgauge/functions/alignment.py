@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textgauge.functions.arrow import arrow_function
+
 _BITS = 24
 _SUB = (1 << 4 * _BITS) | (1 << 2 * _BITS)
 _DEL = (1 << 4 * _BITS) | (1 << 3 * _BITS) | (1 << _BITS)
@@ -37,7 +39,7 @@ def edit_counts(reference: list | None, hypothesis: list | None) -> tuple[int, i
     return cost >> 4 * _BITS, cost >> 2 * _BITS & _MASK, cost >> _BITS & _MASK, cost & _MASK
 
 
-@F.udf(returnType=f"struct<{COUNTS.replace(' int', ':int')}>", useArrow=True)
+@arrow_function(f"struct<{COUNTS.replace(' int', ':int')}>")
 def edit_counts_udf(reference, hypothesis):
     from textgauge.functions.alignment import edit_counts as count
 

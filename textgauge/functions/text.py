@@ -8,33 +8,42 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textgauge.functions.arrow import arrow_function
+
 TOKENS = "array<struct<value:string,kind:string>>"
 #: White space as the reference reads it, with the separators that Java's class lacks.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-@F.udf(returnType=TOKENS, useArrow=True)
+@arrow_function(TOKENS)
 def tokens(text):
     from textgauge.functions.tokenizer import tokenize
 
     return [tuple(t) for t in tokenize(text)]
 
 
-@F.udf(returnType="array<string>", useArrow=True)
+@arrow_function("array<string>")
 def token_values(text):
     from textgauge.functions.tokenizer import tokenize
 
     return [t.value for t in tokenize(text)]
 
 
-@F.udf(returnType="array<string>", useArrow=True)
+@arrow_function("array<int>")
+def token_sizes(texts):
+    from textgauge.functions.tokenizer import tokenize
+
+    return None if texts is None else [len(tokenize(t)) for t in texts]
+
+
+@arrow_function("array<string>")
 def legacy_values(text):
     from textgauge.functions.tokenizer import legacy_tokens
 
     return legacy_tokens(text)
 
 
-@F.udf(returnType="string", useArrow=True)
+@arrow_function("string")
 def normalized(text):
     return None if text is None else " ".join(unicodedata.normalize("NFC", text).split())
 
@@ -98,7 +107,7 @@ def repetition_warnings(text: Column) -> Column:
 _RUN = "struct<unit:string,unit_length:int,repeat_count:int,covered_length:int,start:int,end:int>"
 
 
-@F.udf(returnType=f"struct<length:int,longest_character_run:{_RUN},longest_repeated_substring_run:{_RUN},reached_text_character_limit:boolean>", useArrow=True)
+@arrow_function(f"struct<length:int,longest_character_run:{_RUN},longest_repeated_substring_run:{_RUN},reached_text_character_limit:boolean>")
 def repetition_details(text):
     """Where the longest runs are; the columns above say whether there are any."""
     from textgauge.functions.runs import longest_character_run, longest_unit_run
@@ -132,3 +141,25 @@ def aligned_frames(requested: Column, internal: int = 0) -> Column:
     """The least frame count from ``requested`` on that is 5 modulo 17."""
     n = F.greatest(requested, F.lit(internal))
     return n + F.pmod(F.lit(5) - n, F.lit(17))
+
+
+# ------------------------------------------------------------------ answer blocks
+
+_BLOCK = r"(?is)<answer>\s*(.*?)\s*</answer>"
+
+
+def answer_block(raw: Column) -> Column:
+    """The first complete answer block and what stands around it, on the JVM."""
+    count = F.regexp_count(raw, F.lit(_BLOCK))
+    start = F.regexp_instr(raw, F.lit(_BLOCK))
+    size = F.length(F.regexp_substr(raw, F.lit(_BLOCK)))
+    before = F.when(count == 0, raw).otherwise(F.substring(raw, F.lit(1), start - 1))
+    after = F.when(count > 0, F.substring(raw, start + size, F.length(raw))).otherwise(F.lit(""))
+    some = lambda t: F.regexp_replace(t, SPACE, "") != ""
+    return F.struct(
+        count.cast("int").alias("block_count"),
+        F.when(count > 0, F.regexp_extract(raw, _BLOCK, 1)).alias("content"),
+        some(before).alias("text_before"),
+        some(after).alias("text_after"),
+        F.greatest(F.lit(0), count - 1).cast("int").alias("additional_blocks"),
+    )
