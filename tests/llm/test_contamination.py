@@ -95,3 +95,9 @@ def test_fm_index():
             for row, a, z in zip(p, low, high, strict=True):
                 where = [i for i in range(len(s) - k + 1) if (s[i : i + k] == row).all()]
                 assert sorted(index.locate(np.arange(a, z)).tolist()) == where
+
+
+def test_phrases_beyond_a_shards_alphabet():
+    index = FMIndex(np.array([1, 2, 1, 2, 0], np.int32))
+    low, high = index.search(np.array([[1, 2], [900, 1], [1, 5000], [2, 3], [3, 1]]))
+    assert (high - low).tolist() == [2, 0, 0, 0, 0]

@@ -127,7 +127,8 @@ class FMIndex:
         """Suffix ranges of phrases (rows of equal length), by backward search."""
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.n, np.int64)
-        live = np.arange(len(phrases))
+        # a phrase with a symbol beyond the index's alphabet is nowhere
+        live = np.flatnonzero((phrases < len(self.below) - 1).all(axis=1))
         for column in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[live, column]
             low[live] = self.below[c] + self.tree.rank(c, low[live])
