@@ -67,4 +67,4 @@ def capped(reference: Column, hypothesis: Column, extra: int) -> Column:
 
 def bounded(distance: Column, size: Column) -> Column:
     """Error rate, one at most; null where the reference is empty."""
-    return F.least(F.lit(1.0), F.try_divide(distance.cast("double"), size.cast("double")))
+    return F.when(size > 0, F.least(F.lit(1.0), distance.cast("double") / size.cast("double")))
