@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textgauge.functions import answers, text
 from textgauge.functions.alignment import edit_counts_udf, token_distance
-from textgauge.operators import attempts, matching, partitioning, prompts, scoring, validation, workflow
+from textgauge.operators import attempts, diagnostics, matching, partitioning, prompts, scoring, tools, validation, workflow
 from textgauge.plans import reports
 
 
@@ -544,3 +544,52 @@ def wer_report(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wer_report(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ tool calls and diagnostics
+
+_CALL = """CASE event_type
+    WHEN 'view' THEN concat('{"diagnosis":"d","candidate_id":"v","sample_fps":', CAST(event_id % 4 AS VARCHAR), '}')
+    WHEN 'click' THEN concat('{"diagnosis":"d","candidate_ids":["a"', CASE WHEN event_id % 2 = 0 THEN ',"b"' ELSE '' END, ']}')
+    WHEN 'purchase' THEN concat('{"diagnosis":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'd' END, '","keyframe_id":"k","motion_refinement":"', CASE WHEN event_id % 3 = 0 THEN ' ' ELSE 'pan' END, '"}')
+    WHEN 'signup' THEN concat('{"diagnosis":"d","candidate_id":"v","rationale":"r","rollback_candidate_ids":["', CASE WHEN event_id % 3 = 0 THEN 'v' ELSE 'w' END, '","x"]}')
+    ELSE '{"diagnosis":"d","generation_prompt":"g","count":5,"more":1}' END"""
+_CALL_TOOL = "CASE event_type WHEN 'view' THEN 'inspect_video' WHEN 'click' THEN 'compare_candidates' WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN 'finalize_candidate' ELSE 'generate_keyframes' END"
+
+
+@query("""
+    SELECT event_id, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 4 IN (0, 3) THEN 'sample_fps' ELSE '' END
+           WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN '' ELSE 'candidate_ids' END
+           WHEN 'purchase' THEN concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'diagnosis' END, CASE WHEN event_id % 3 = 0 THEN 'motion_refinement' END)
+           WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'rollback_of_final' ELSE '' END
+           ELSE 'unknown_field,count' END AS errors FROM events""")
+def tool_argument_faults(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.expr(_CALL_TOOL).alias("tool_name"), F.expr(_CALL.replace("VARCHAR", "STRING")).alias("arguments"))
+    return tools.argument_faults(e).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("SELECT doc_id, starts_with(p, '/data/runs/') AND NOT regexp_matches(p, '(^|/)\\.\\.(/|$)') AND lower(p) LIKE '%.mp4' AS ok FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/data/runs/a/' || doc_id || '.mp4' WHEN 1 THEN '/data/runsx/' || doc_id || '.mp4' WHEN 2 THEN '/data/runs/../' || doc_id || '.mp4' WHEN 3 THEN '/data/runs/' || doc_id || '.MP4' ELSE '/data/runs/' || doc_id || '.mov' END AS p FROM documents)")
+def output_path_containment(spark, sf_dir):
+    k, i = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    p = F.when(k == 0, F.concat(F.lit("/data/runs/a/"), i, F.lit(".mp4"))).when(k == 1, F.concat(F.lit("/data/runsx/"), i, F.lit(".mp4"))).when(k == 2, F.concat(F.lit("/data/runs/../"), i, F.lit(".mp4"))).when(k == 3, F.concat(F.lit("/data/runs/"), i, F.lit(".MP4"))).otherwise(F.concat(F.lit("/data/runs/"), i, F.lit(".mov")))
+    return _t(spark, sf_dir, "documents").select("doc_id", tools.output_ok(p, "/data/runs/").alias("ok"))
+
+
+@query("""
+    SELECT conv_id, turn, role, turn % 4 <> 2 AND turn % 4 <> 3 AS raw_json_parseable, turn % 2 = 0 AND length(text) >= 100 AS max_tokens_exhausted, CAST(0 AS INT) AS parsed_field_warning_count,
+           CASE turn % 4 WHEN 3 THEN 'same_character_run_ge_64' WHEN 2 THEN '' END AS unparsed FROM conversations WHERE text IS NOT NULL""")
+def response_diagnostics(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    k = F.col("turn") % 4
+    raw = F.when(k == 2, "no block").when(k == 3, F.lit("<answer>" + "z" * 80)).otherwise('<answer>{"T01":{"status":"transcribed","text":"shop","readability_note":""}}</answer>')
+    r = c.withColumns({"raw": raw, "finish_reason": F.when(F.col("turn") % 2 == 0, "length").otherwise("stop"), "output_token_count": F.length("text")})
+    r = r.withColumn("r", answers.transcription("raw", F.array(F.lit("T01")), "finish_reason")).select("conv_id", "turn", "role", "raw", "finish_reason", "output_token_count", "r.*").withColumn("attempt", F.struct("conv_id", "turn", "role"))
+    d = diagnostics.response_diagnostics(r, most=100)
+    return d.select("attempt.*", "raw_json_parseable", "max_tokens_exhausted", "parsed_field_warning_count", F.array_join("unparsed_warnings", ",").alias("unparsed"))
+
+
+@query()
+def legacy_case_score(spark, sf_dir):
+    b = _t(spark, sf_dir, "benchmark").select("item_id", "text")
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("hypothesis")), "item_id").withColumnRenamed("text", "reference")
+    return diagnostics.legacy_scores(pairs, ("item_id",)).withColumn("wer", F.round("wer", 9))
