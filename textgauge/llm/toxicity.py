@@ -27,8 +27,9 @@ from .common import keyed
 
 #: Bounds of the labelled sample: documents of each label, and bytes of a sampled document.
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16384
-#: Bound of the learned lexicon.
+#: Bound of the learned lexicon, and the share of toxic documents that a stem must be in.
 STEMS = 2000
+COMMON = 0.01
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 _WORDS = {
     INSULT: "idiot idiots moron morons scum loser losers worthless pathetic stupid disgusting vermin imbecile idiota idiotas estúpido imbécile abruti dummkopf abschaum",
@@ -171,7 +172,7 @@ def learn_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
     odds = {}
     for stem, a in toxic.items():
         b = clean[stem]
-        if a >= max(3, 0.004 * t) and (w := math.log((a + 0.5) / (t + 1)) - math.log((b + 0.5) / (c + 1))) >= 2.5:
+        if a >= max(3, COMMON * t) and (w := math.log((a + 0.5) / (t + 1)) - math.log((b + 0.5) / (c + 1))) >= 2.5:
             odds[stem] = w
     stems = {}
     for stem, w in odds.items():
@@ -221,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     drawn = known.where(draw < share * float(1 << 40))
     own = keyed(docs, "doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = own.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).distinct().orderBy("doc_id", "toxic", "text").limit(4 * sample_docs).collect()
-    rows = [(r.text, r.toxic) for r in rows]
+    # copies of one text would make its chance words look common
+    rows = list(dict.fromkeys((r.text, r.toxic) for r in rows))
     if len({y for _, y in rows}) < 2:
         # nothing to learn from: fixed words alone
         return Model({}, [-3.0, 1.5, 1.0, 1.0])
