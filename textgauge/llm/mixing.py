@@ -2,7 +2,7 @@
 
 A classifier learned from labelled rows gives every document a posterior over
 domains.  A document's rate is how often it is to be seen; rates are fitted by
-distributed projected-gradient least squares, so that the expected token totals
+distributed projected-gradient least squares with momentum, so that the expected token totals
 of the domains, sums of rate x tokens x posterior, meet their targets.  Each
 iteration is one pass over (tokens, posterior) rows that sums one residual for
 each domain; rates are not stored between passes but replayed from the residuals
@@ -11,7 +11,7 @@ so far, which are a few numbers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ from .common import byte_set, keyed, materialize, pieces, texts, word_runs
 DOMAINS, SAMPLE_DOCS, SAMPLE_BYTES = 64, 300, 16384
 CELLS = 8192
 #: Pull of the rates towards one, against targets in shares of all tokens.
-RIDGE = 1e-3
-ITERATIONS, CLOSE = 60, 1e-4
+RIDGE = 3e-4
+ITERATIONS, CLOSE = 60, 3e-5
 _INSIDE = ~byte_set(space=(32, 32), controls=(9, 13))
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
@@ -99,12 +99,14 @@ def _likelihood(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).sum())
 
 
-def replay(posterior: np.ndarray, residuals: list[np.ndarray], step: float, floor: float) -> np.ndarray:
-    """Rates after the projected-gradient steps with these residuals."""
-    r = np.full(len(posterior), max(1.0, floor))
+def replay(posterior: np.ndarray, residuals: list[np.ndarray], step: float, floor: float, momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the projected-gradient steps with these residuals, and the point
+    ahead of them at which the next residual is to be taken."""
+    r = ahead = np.full(len(posterior), max(1.0, floor))
     for e in residuals:
-        r = np.maximum(floor, r - step * (posterior @ e + RIDGE * (r - 1)))
-    return r
+        new = np.maximum(floor, ahead - step * (posterior @ e + RIDGE * (ahead - 1)))
+        r, ahead = new, new + momentum * (new - r)
+    return r, ahead
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 0.0, smoothing: float = 0.7) -> DataFrame:
@@ -160,9 +162,13 @@ class Fit:
     residuals: list[np.ndarray]
     step: float
     floor: float
+    momentum: float = 0.0
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
-        return replay(posterior, self.residuals, self.step, self.floor)
+        return replay(posterior, self.residuals, self.step, self.floor, self.momentum)[0]
+
+    def ahead(self, posterior: np.ndarray) -> np.ndarray:
+        return replay(posterior, self.residuals, self.step, self.floor, self.momentum)[1]
 
 
 def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
@@ -182,7 +188,7 @@ def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, sm
             for b in batches:
                 t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
                 if len(t):
-                    out[:width] += (t * fit.rates(p)) @ p
+                    out[:width] += (t * fit.ahead(p)) @ p
                     if not fit.residuals:
                         out[width:] += ((p * t[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array(out)})
@@ -201,12 +207,15 @@ def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, sm
     share = share / share.sum() if share.sum() > 0 else now / whole
     base = max(1.0, floor)
     scale = whole if floor <= 0 else max(whole, float(np.max(now / np.where(share > 0, share, np.inf))))
-    step = base / (float(np.linalg.eigvalsh(gram * base / whole).max()) + RIDGE)
+    # curvature of the problem, which tells step length and momentum
+    curve = np.linalg.eigvalsh(gram * base / whole) / base + RIDGE
+    step, q = 1 / float(curve.max()), float(max(curve.min(), RIDGE) / curve.max())
+    fit = Fit([], step, floor, (1 - q**0.5) / (1 + q**0.5))
     for _ in range(ITERATIONS):
         e = (now - share * scale) / whole
-        if np.abs(e).max() < CLOSE:
+        if fit.residuals and np.abs(e - fit.residuals[-1]).max() < CLOSE:
             break
-        fit = Fit([*fit.residuals, e], step, floor)
+        fit = replace(fit, residuals=[*fit.residuals, e])
         now = totals(fit)[:width]
     return fit
 
