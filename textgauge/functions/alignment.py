@@ -58,11 +58,11 @@ def token_distance(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(coded(reference, alphabet), coded(hypothesis, alphabet))
 
 
-def capped(reference: Column, hypothesis: Column, extra: int) -> Column:
+def capped(reference: Column, hypothesis: Column, extra: int | Column) -> Column:
     """The first tokens of the hypothesis, ``extra`` more than the reference has."""
-    if isinstance(extra, bool) or not isinstance(extra, int) or extra < 0:
+    if not isinstance(extra, Column) and (isinstance(extra, bool) or not isinstance(extra, int) or extra < 0):
         raise ValueError("extra tokens: a non-negative integer")
-    return F.slice(hypothesis, F.lit(1), F.size(reference) + F.lit(extra))
+    return F.slice(hypothesis, F.lit(1), F.size(reference) + (extra if isinstance(extra, Column) else F.lit(extra)))
 
 
 def bounded(distance: Column, size: Column) -> Column:

@@ -16,11 +16,11 @@ SCORED_WER = ("pass", "pass_after_max_attempts")
 SCORED_CHECKLIST = ("pass",)
 
 
-def score_pairs(pairs: DataFrame, extra: int, counts: bool = True, tokenized: bool = False) -> DataFrame:
+def score_pairs(pairs: DataFrame, extra: int | Column, counts: bool = True, tokenized: bool = False) -> DataFrame:
     """Score (reference, hypothesis) texts with the hypothesis cut to R + ``extra`` tokens.
 
     With ``counts`` False only the distance is worked out, on the JVM alone.
-    ``tokenized`` says that both are token arrays already.
+    ``tokenized`` says that both are token arrays already; ``extra`` may be a column.
     """
     out = pairs
     if not tokenized:

@@ -9,6 +9,7 @@ from textgauge.functions.answers import checklist, transcription
 from textgauge.functions.text import repetition_warnings, token_values
 from textgauge.operators.attempts import selected_attempts
 from textgauge.operators.scoring import N_SETTINGS, SCORED_CHECKLIST, SCORED_WER, balanced_wer, dimension_scores, scene, score_cases, score_pairs, status_report, video_score
+from textgauge.sources.sinks import checkpointed
 
 
 def read_transcriptions(responses: DataFrame, targets: DataFrame) -> DataFrame:
@@ -39,18 +40,24 @@ def wer_pairs(read: DataFrame, status: DataFrame, targets: DataFrame) -> DataFra
     return said.join(targets.select("case_id", "text_id", F.col("verbatim").alias("reference")), ["case_id", "text_id"])
 
 
-def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settings: tuple[int, ...] = N_SETTINGS) -> dict[str, DataFrame]:
+def score_settings(tokened: DataFrame, keys: list[str], settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> DataFrame:
+    """Case scores for every N from pairs of token arrays: each pair is multiplied
+    after it was tokenized, so Python reads a text once for all N."""
+    each = tokened.withColumn("n", F.explode(F.array(*map(F.lit, settings))))
+    return score_cases(score_pairs(each, F.col("n"), counts=counts, tokenized=True), [*keys, "n"])
+
+
+def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> dict[str, DataFrame]:
     """Transcription report: case scores for every N, roll-ups, statuses and unscored jobs.
 
-    Texts are tokenized once for all N."""
-    read = read_transcriptions(responses, targets)
+    Responses are read once and written to the session's checkpoint folder, as
+    the status and the scores both need them.  Without ``counts`` the scores hold
+    distances only, which the JVM works out alone."""
+    read = checkpointed(read_transcriptions(responses, targets))
     status = selected_attempts(read)
     pairs = wer_pairs(read, status, targets)
     tokened = pairs.select("profile", "case_id", "text_id", token_values("reference").alias("reference"), token_values("hypothesis").alias("hypothesis"))
-    cases = None
-    for n in settings:
-        own = score_cases(score_pairs(tokened, n, tokenized=True)).withColumn("n", F.lit(n))
-        cases = own if cases is None else cases.unionByName(own)
+    cases = score_settings(tokened, ["profile", "case_id"], settings, counts)
     cases = cases.withColumn("scene", scene(F.col("case_id")))
     counts, unscored = status_report(jobs.join(status, ["profile", "case_id"], "left").withColumn("status", F.coalesce("status", F.lit("pending"))), SCORED_WER)
     return {"cases": cases, "summary": balanced_wer(cases, [("n",), ("n", "profile"), ("n", "scene")]), "status_counts": counts, "unscored": unscored}
@@ -58,7 +65,7 @@ def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settin
 
 def checklist_report(jobs: DataFrame, responses: DataFrame, questions: DataFrame) -> dict[str, DataFrame]:
     """Checklist report: items, pooled scores, dimensions, statuses and unscored jobs."""
-    read = read_checklists(responses)
+    read = checkpointed(read_checklists(responses))
     status = selected_attempts(read, lenient=False)
     chosen = status.where(F.col("status").isin(*SCORED_CHECKLIST)).select("profile", "case_id", F.col("selected_attempt").alias("attempt"))
     items = read.join(chosen, ["profile", "case_id", "attempt"]).select("profile", "case_id", F.explode("decisions").alias("d"))

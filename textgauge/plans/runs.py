@@ -12,7 +12,9 @@ from textgauge.functions.text import token_values
 from textgauge.operators import scoring
 from textgauge.operators.matching import one_sided, with_status
 from textgauge.operators.validation import DIMENSIONS, ITEM_IDS, require_none
+from textgauge.plans.reports import score_settings
 from textgauge.sources import readers
+from textgauge.sources.sinks import checkpointed
 
 
 def expected_jobs(spark: SparkSession, root: str) -> DataFrame:
@@ -59,12 +61,12 @@ def summarize_run(spark: SparkSession, root: str, task: str, ids: list[str] | No
             _put(report, where, {"scored_videos": videos.get(where, 0), **_tree(r, score), "dimensions": by_dim.get(where, {})})
     else:
         pairs = done.select("profile", "case_id", "scene", F.explode("items").alias("i")).select("profile", "case_id", "scene", token_values("i.reference").alias("reference"), token_values(F.coalesce("i.hypothesis", F.lit(""))).alias("hypothesis"))
-        for n in settings:
-            cases = scoring.score_cases(scoring.score_pairs(pairs, n, counts=False, tokenized=True), ["profile", "case_id", "scene"])
-            report["cases_table"] = cases if "cases_table" not in report else report["cases_table"].unionByName(cases)
-            for r in scoring.balanced_wer(cases).collect():
-                node = _put(report, (r.level, r.profile or r.scene), {"scored_videos": r.scored_videos})
-                node.setdefault("case_balanced_wer", {})[f"R+{n}"] = r.case_balanced_wer
+        cases = checkpointed(score_settings(pairs, ["profile", "case_id", "scene"], settings))
+        report["cases_table"] = cases
+        for r in scoring.balanced_wer(cases, [("n",), ("n", "profile"), ("n", "scene")]).collect():
+            level = "overall" if r.level == "by_n" else r.level.replace("n_", "")
+            node = _put(report, (level, r.profile or r.scene), {"scored_videos": r.scored_videos})
+            node.setdefault("case_balanced_wer", {})[f"R+{r.n}"] = r.case_balanced_wer
     return report
 
 

@@ -7,7 +7,7 @@ answers.  Every query reads its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textgauge.functions import answers, text
@@ -524,18 +524,12 @@ def evaluation_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = _t(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("item_id", F.col("doc_id") % 40)
     said = F.to_json(F.struct(F.struct(F.lit("transcribed").alias("status"), F.col("text"), F.lit("").alias("readability_note")).alias("T01")))
     responses = d.select(F.col("source").alias("profile"), case_id(F.col("item_id")).alias("case_id"), F.col("doc_id"), F.concat(F.lit("<answer>"), said, F.lit("</answer>")).alias("raw"), F.lit("stop").alias("finish_reason"), F.lit(1).alias("output_token_count"))
-    order = F.array_position(F.array_sort(F.collect_set("doc_id").over(_by_job())), F.col("doc_id")).cast("int")
+    order = F.row_number().over(Window.partitionBy("profile", "case_id").orderBy("doc_id"))
     responses = responses.withColumn("attempt", order).drop("doc_id")
     jobs = responses.select("profile", "case_id").distinct()
     return jobs, responses, targets
 
 
-def _by_job():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("profile", "case_id")
-
-
 @query()
 def wer_report(spark, sf_dir):
     """The flagship: responses to case-balanced rates for R+1, R+5 and R+10."""
