@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from textgauge.llm.common import join_counted
 from textgauge.llm.components import components
 from textgauge.llm.ngram_join import apart, near_duplicates
 
@@ -78,3 +79,12 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_join_counted_broadcasts_hot_keys(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), ("lone", 3)], "k string, v long")
+    right = spark.createDataFrame([("hot", 50, "H"), ("a", 1, "A"), ("b", 1, "B")], "k string, n long, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+        assert sorted(map(tuple, join_counted(left, right, ["k"], "n", how, least=5).select("k", "v", "n", "w").collect()), key=str) == want
+        assert sorted(map(tuple, join_counted(left, right, ["k"], "n", how).select("k", "v", "n", "w").collect()), key=str) == want

@@ -51,6 +51,25 @@ def keyed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """Join to ``right``, which has a row for each key and in ``count`` how many rows of
+    ``left`` it meets; inner or left.
+
+    Keys with more than a quarter of a partition's share are fewer than four for
+    each partition, whatever the data's size.  They are broadcast, so that the
+    rows of a hot key stay where they are; the rest is joined by shuffle.
+    """
+    right = materialize(right)
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(least, int(total) // (4 * partitions(left.sparkSession)))
+    hot = right.where(F.col(count) > limit)
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    rest = left.join(few, on, "left_anti").join(right.where(F.col(count) <= limit), on, how)
+    return left.join(few, on).unionByName(rest)
+
+
 # ---------------------------------------------------------------- bytes
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_set, byte_table, keyed, materialize, mix, partitions, pieces, texts, word_hashes, word_runs
+from .common import byte_set, byte_table, join_counted, keyed, materialize, mix, partitions, pieces, texts, word_hashes, word_runs
 from .components import components
 from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
 
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     drop = max(0, 64 - max(32, total.bit_length() + 13))
     usable = profile.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    members = materialize(profile.join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", "f1", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "n_same"))
+    members = materialize(join_counted(profile, classes, ["f1", "f2", "n"], "n_same", "left").select("doc_id", "n", "f1", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "n_same"))
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     reps = members.where("doc_id = rep").select(bucket.alias("target"), F.lit(None).cast("int").alias("source"), "doc_id", "f1").distinct()
     dealt = docs.select(bucket.alias("bucket"), "doc_id", "text").where("doc_id IS NOT NULL").groupBy("bucket")
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     shared = nodes.join(members, "doc_id").select("a", F.col("rep").alias("b"))
 
     lead = postings.groupBy("token").agg(F.min(F.struct("p", "doc_id", "n", "e")).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    star = postings.alias("x").join(lead, "token").where("x.doc_id <> l.doc_id").where(_can_match("x", "l", percent))
+    star = join_counted(postings, lead, ["token"], "k").alias("x").where("x.doc_id <> l.doc_id").where(_can_match("x", "l", percent))
     star = materialize(star.select(F.col("l.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct())
     first = materialize(_links(star, sets, percent))
     label = components(first.unionByName(shared))
@@ -284,9 +284,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     # pairs that could still join two components: of each list only members that
     # its smallest set could match, and only lists with two components
     named = postings.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    lists = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least")).where("c0 <> c1")
+    lists = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("c0 <> c1")
     floor = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)))
-    left = named.join(lists, "token").where(F.col("e") + F.col("n") - F.col("p") >= _need(F.col("n"), floor, percent))
+    left = join_counted(named, lists, ["token"], "k").where(F.col("e") + F.col("n") - F.col("p") >= _need(F.col("n"), floor, percent))
     # a pair is formed at its first common shingle, as far as the last RECENT ones tell;
     # lists with one component hold no such pair, so they need not be looked at
     recent = Window.partitionBy("doc_id").orderBy("e").rowsBetween(-RECENT, -1)
@@ -302,7 +302,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     second = _links(cross.join(tried, ["a", "b"], "left_anti"), sets, percent)
     label = components(first.unionByName(second).unionByName(shared))
 
-    out = members.join(label, members.rep == label.node, "left")
+    # the label of a class meets as many rows as the class has
+    sizes = members.where("rep IS NOT NULL").groupBy("rep").agg(F.count(F.lit(1)).alias("__k"))
+    named = label.withColumnRenamed("node", "rep").join(sizes, "rep")
+    out = join_counted(members, named, ["rep"], "__k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_same", F.lit(1).cast("bigint")).alias("n_same"))
 
 
