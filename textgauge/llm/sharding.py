@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import join_counted, materialize, partitions
 from .ranking import gapless
 
 ROUNDS = 3
@@ -35,7 +35,7 @@ def _round(linked: DataFrame, shards: int, quota: float, turn: int) -> DataFrame
     held = linked.groupBy("key", "n", "shard").agg(F.count(F.lit(1)).alias("here"))
     # the shard with most of the group; ties differ by group, so that no shard draws them all
     ranked = held.withColumn("tie", F.xxhash64("key", "shard"))
-    wish = ranked.groupBy("key", "n").agg(F.max(F.struct("here", "tie", "shard")).alias("m")).select("key", "n", F.col("m.here").alias("there"), F.col("m.shard").alias("wish"))
+    wish = materialize(ranked.groupBy("key", "n").agg(F.max(F.struct("here", "tie", "shard")).alias("m")).select("key", "n", F.col("m.here").alias("there"), F.col("m.shard").alias("wish")))
     flow = wish.groupBy("wish").agg(F.sum("there").alias("stay"), F.sum(F.col("n") - F.col("there")).alias("come")).collect()
     # one row for each shard
     room = {r.wish: max(0.0, quota - r.stay) for r in flow}
@@ -45,7 +45,7 @@ def _round(linked: DataFrame, shards: int, quota: float, turn: int) -> DataFrame
     by_group, by_row = _draw("key", "wish"), F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(_UNIT)) / F.lit(float(_UNIT))
     goes = F.when(F.col("n") > F.lit(quota / 10), by_row < share).otherwise(by_group < share)
     # a group too large for its wish leaves the rest where they are, or in the next round elsewhere
-    moved = linked.join(wish.select("key", "wish"), "key")
+    moved = join_counted(linked.drop("n"), wish.select("key", "n", "wish"), ["key"], "n")
     return moved.select("row", "key", "n", F.when((F.col("shard") == F.col("wish")) | goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
 
 
@@ -73,7 +73,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFr
     )
     total = rows.count()
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(groups, "key").withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int"))
+    rows = join_counted(rows, groups, ["key"], "n").withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int"))
     rows = materialize(rows)
     linked = rows.where("n > 1").select("row", "key", "n", "shard")
     for turn in range(rounds if shards > 1 else 0):
