@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize, mix, partitions
+from .common import join_counted, keyed, materialize, mix, partitions
 from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
 
 U64 = np.uint64
@@ -167,7 +167,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, bloom_bytes: int = B
     texts = docs.mapInArrow(claims, "doc_id bigint, norm binary")
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    found = suspects.join(groups, "text_sha256", "left").select(
+    found = join_counted(suspects, groups, ["text_sha256"], "group_size", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
