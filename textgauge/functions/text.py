@@ -82,12 +82,15 @@ def same_character_run(text: Column) -> Column:
 
 
 def repeated_unit_run(text: Column) -> Column:
-    """A unit of 2 to 16 characters, 16 times or more, over 128 characters or more."""
+    """A unit of 2 to 16 characters, 16 times or more, over 128 characters or more.
+
+    One scan finds texts with any unit that often; only those are asked for each
+    unit's own number of repeats."""
     hit = F.lit(False)
     for unit in range(2, UNIT_MOST + 1):
         times = max(UNIT_REPEATS, -(-UNIT_COVERS // unit))
         hit = hit | text.rlike(rf"(?s)(.{{{unit}}})\1{{{times - 1},}}")
-    return hit
+    return F.when(text.isNull(), F.lit(None)).when(text.rlike(rf"(?s)(.{{2,{UNIT_MOST}}}?)\1{{{UNIT_REPEATS - 1},}}"), hit).otherwise(F.lit(False))
 
 
 def white_space_run(text: Column) -> Column:
