@@ -94,3 +94,9 @@ def test_audit_schema_and_counts(spark):
     assert s["required"] == ["T01"] and len(s["properties"]["T01"]["oneOf"]) == 3
     w = spark.createDataFrame([(0, "a", "completed"), (0, "b", "running"), (1, "c", "failed")], "worker int, case_id string, state string")
     assert sorted(map(tuple, diagnostics.worker_status(w).collect())) == [(0, 2, 1, 0, "b"), (1, 1, 0, 1, None)]
+
+
+def test_validation_summary(spark):
+    c = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"])], "id string, required_text array<string>")
+    k = spark.createDataFrame([("a", ["q"] * 20), ("b", ["q"] * 20)], "id string, checklist array<string>")
+    assert tuple(diagnostics.validation_summary(c, k).first()) == (2, 3, 40)

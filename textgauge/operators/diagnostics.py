@@ -51,8 +51,9 @@ def answer_schema(ids: list[str]) -> dict:
 
 def validation_summary(cases: DataFrame, checklists: DataFrame) -> DataFrame:
     """Cases, items and text blocks that a run would have."""
-    c = cases.agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("required_text")).alias("text_blocks"))
-    return c.crossJoin(checklists.agg(F.sum(F.size("checklist")).alias("checklist_items")))  # one row each
+    c = cases.select(F.lit(1).alias("cases"), F.size("required_text").alias("text_blocks"), F.lit(0).alias("checklist_items"))
+    k = checklists.select(F.lit(0).alias("cases"), F.lit(0).alias("text_blocks"), F.size("checklist").alias("checklist_items"))
+    return c.unionByName(k).agg(*[F.sum(n).alias(n) for n in c.columns])
 
 
 def worker_status(assigned: DataFrame) -> DataFrame:

@@ -97,9 +97,8 @@ def dimension_scores(items: DataFrame, keys: Sequence[str] = (), dimensions: Seq
     own = items.groupBy(*keys, "dimension").agg(
         F.count_if(F.col("answer") == "yes").alias("yes_count"), F.count(F.lit(1)).alias("item_count"), F.count_distinct("profile", "case_id").alias("applicable_videos")
     )
-    every = spark.createDataFrame([(d,) for d in dimensions], "dimension string")
-    if keys:
-        every = items.select(*keys).distinct().crossJoin(every)  # five rows for each group
+    named = F.explode(F.array(*map(F.lit, dimensions))).alias("dimension")
+    every = items.select(*keys).distinct().select(*keys, named) if keys else spark.range(1).select(named)
     out = every.join(own, [*keys, "dimension"], "left").fillna(0, ["yes_count", "item_count", "applicable_videos"])
     return out.withColumn("yes_rate", F.try_divide(F.col("yes_count").cast("double"), F.col("item_count").cast("double")))
 
