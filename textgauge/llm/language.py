@@ -42,10 +42,10 @@ def letters(text: str | None) -> bytes:
 
 
 class Dictionaries:
-    """Compressors by language; built in each worker from the raw dictionaries."""
+    """Compressors by language, most frequent first; built in each worker from raw content."""
 
     def __init__(self, raw: dict[str, bytes]):
-        self.names = sorted(raw)
+        self.names = list(raw)
         self.tools = []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(raw[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -66,7 +66,7 @@ class Dictionaries:
         if not body or not self.names:
             return UNKNOWN, 0.0, False
         sizes = self.sizes(body)
-        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], self.names[k]))
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best = sizes[order[0]]
         weights = [math.exp(-(s - best) / (2 + 0.02 * best)) for s in sizes]
         margin = (sizes[order[1]] - best) / max(1, best) if len(sizes) > 1 else 1.0
@@ -92,7 +92,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
         body = out.get(row.lang, b"")
         if len(body) < DICTIONARY_BYTES:
             out[row.lang] = body + letters(row.text) + b" "
-    return {k: v[:DICTIONARY_BYTES] for k, v in out.items() if v.strip()}
+    # the most frequent label first, as it wins ties
+    return {k: out[k][:DICTIONARY_BYTES] for k in counts if out.get(k, b"").strip()}
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -102,8 +103,8 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     Returns one row per input row: doc_id, lang_pred, score (0 to 1; the best
     language's share of the weights of all), accepted (false where the margin is
     narrow).  Null texts and texts without a letter are ``und`` with score 0, as
-    are all texts where nothing is labelled.  Ties go to the name that sorts
-    first.  Other columns are ignored.
+    are all texts where nothing is labelled.  Ties go to the more frequent
+    label, of equal ones to the name that sorts first.  Other columns are ignored.
     """
     raw = docs.sparkSession.sparkContext.broadcast(learn(keyed(labelled, "lang", "text")))
 
