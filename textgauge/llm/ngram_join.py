@@ -221,7 +221,12 @@ def _verify(percent: int):
 
 
 def _need(n, m, percent: int):
-    return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
+    return _ceil_div((n + m) * percent, 100 + percent)
+
+
+def _ceil_div(a, b: int):
+    """Whole numbers only: a float could miss the threshold of very large sets."""
+    return F.call_function("div", a + F.lit(b - 1), F.lit(b))
 
 
 def _can_match(x: str, y: str, percent: int):
@@ -285,7 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     # its smallest set could match, and only lists with two components
     named = postings.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     lists = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("c0 <> c1")
-    floor = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - F.lit(1e-9)))
+    floor = F.greatest(F.col("least"), _ceil_div(F.col("n") * percent, 100))
     left = join_counted(named, lists, ["token"], "k").where(F.col("e") + F.col("n") - F.col("p") >= _need(F.col("n"), floor, percent))
     # a pair is formed at its first common shingle, as far as the last RECENT ones tell;
     # lists with one component hold no such pair, so they need not be looked at
