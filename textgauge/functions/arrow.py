@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +22,30 @@ def arrow_function(returns: str) -> Callable[[Callable], Callable[..., Column]]:
         return on_columns
 
     return make
+
+
+def list_function(returns: str, fields: dict[str, pa.DataType] | pa.DataType) -> Callable[[Callable], Callable[..., Column]]:
+    """Make a column function of a function from a text to a list of values or tuples.
+
+    A batch's lists become one Arrow array at once.  Null texts give empty lists."""
+
+    def make(f: Callable) -> Callable[..., Column]:
+        def on_batch(texts: pa.Array) -> pa.Array:
+            offsets, flat = [0], []
+            for t in texts.to_pylist():
+                flat += f(t)
+                offsets.append(len(flat))
+            if isinstance(fields, dict):
+                columns = list(zip(*flat, strict=True)) if flat else [[] for _ in fields]
+                values = pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, fields.values(), strict=True)], list(fields))
+            else:
+                values = pa.array(flat, fields)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+        @wraps(f)
+        def on_columns(column) -> Column:
+            return F.arrow_udf(on_batch, returnType=returns)(column)
+
+        return on_columns
+
+    return make

@@ -5,24 +5,25 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textgauge.functions.arrow import arrow_function
+from textgauge.functions.arrow import arrow_function, list_function
 
 TOKENS = "array<struct<value:string,kind:string>>"
 #: White space as the reference reads it, with the separators that Java's class lacks.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-@arrow_function(TOKENS)
+@list_function(TOKENS, {"value": pa.string(), "kind": pa.string()})
 def tokens(text):
     from textgauge.functions.tokenizer import tokenize
 
-    return [tuple(t) for t in tokenize(text)]
+    return tokenize(text)
 
 
-@arrow_function("array<string>")
+@list_function("array<string>", pa.string())
 def token_values(text):
     from textgauge.functions.tokenizer import tokenize
 
@@ -36,7 +37,7 @@ def token_sizes(texts):
     return None if texts is None else [len(tokenize(t)) for t in texts]
 
 
-@arrow_function("array<string>")
+@list_function("array<string>", pa.string())
 def legacy_values(text):
     from textgauge.functions.tokenizer import legacy_tokens
 
