@@ -37,7 +37,7 @@ def service_from_env(prefix: str, env: dict[str, str] | None = None) -> Service:
 
 def runs_root(root: str, env: dict[str, str] | None = None, name: str = "RUNS_ROOT") -> Path:
     """The run folder: from the environment, below ``root`` where it is relative."""
-    path = Path((dict(os.environ) if env is None else env).get(name) or "generated_videos/experiments/agentic")
+    path = Path((dict(os.environ) if env is None else env).get(name) or "generated_videos/runs")
     return (path if path.is_absolute() else Path(root) / path).expanduser().resolve()
 
 
