@@ -33,3 +33,15 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert got == sorted((tuple(plain(r[i]) for i in at) for r in out.fetchall()), key=str)
+
+
+def test_wer_report_scores_every_document(spark):
+    jobs, responses, targets = queries.evaluation_inputs(spark, SF)
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert jobs.count() == docs.count() and responses.count() == docs.where("text IS NOT NULL").count()
+    assert targets.select("verbatim").distinct().count() == items.select("text").distinct().count()
+    report = queries.reports.wer_report(jobs, responses, targets, most=1)
+    scored = report["cases"].select("profile", "case_id").distinct().count()
+    assert scored + report["unscored"].count() == docs.count()
+    assert scored >= 0.95 * docs.count()
+    assert queries.wer_report(spark, SF).where("level = 'by_n'").agg({"scored_videos": "max"}).first()[0] == scored

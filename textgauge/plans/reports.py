@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textgauge.functions.answers import checklist, transcription
 from textgauge.functions.text import repetition_warnings, token_values
-from textgauge.operators.attempts import selected_attempts
+from textgauge.operators.attempts import MAX_ATTEMPTS, selected_attempts
 from textgauge.operators.scoring import N_SETTINGS, SCORED_CHECKLIST, SCORED_WER, balanced_wer, dimension_scores, scene, score_cases, score_pairs, status_report, video_score
 from textgauge.sources.sinks import checkpointed
 
@@ -35,9 +35,11 @@ def wer_pairs(read: DataFrame, status: DataFrame, targets: DataFrame) -> DataFra
     """(profile, case_id, text_id, reference, hypothesis) of scored jobs; what was not
     transcribed has an empty hypothesis."""
     chosen = status.where(F.col("status").isin(*SCORED_WER)).select("profile", "case_id", F.col("selected_attempt").alias("attempt"))
-    said = read.join(chosen, ["profile", "case_id", "attempt"]).select("profile", "case_id", F.explode("answer").alias("a"))
-    said = said.select("profile", "case_id", F.col("a.id").alias("text_id"), F.when(F.col("a.status") == "transcribed", F.col("a.text")).otherwise(F.lit("")).alias("hypothesis"))
-    return said.join(targets.select("case_id", "text_id", F.col("verbatim").alias("reference")), ["case_id", "text_id"])
+    # the references go to the chosen attempts first, so that the responses move once
+    wanted = chosen.join(targets.select("case_id", "text_id", F.col("verbatim").alias("reference")), "case_id")
+    said = read.select("profile", "case_id", "attempt", F.explode("answer").alias("a"))
+    said = said.select("profile", "case_id", "attempt", F.col("a.id").alias("text_id"), F.when(F.col("a.status") == "transcribed", F.col("a.text")).otherwise(F.lit("")).alias("hypothesis"))
+    return said.join(wanted, ["profile", "case_id", "attempt", "text_id"]).drop("attempt")
 
 
 def score_settings(tokened: DataFrame, keys: list[str], settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> DataFrame:
@@ -47,14 +49,15 @@ def score_settings(tokened: DataFrame, keys: list[str], settings: tuple[int, ...
     return score_cases(score_pairs(each, F.col("n"), counts=counts, tokenized=True), [*keys, "n"])
 
 
-def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> dict[str, DataFrame]:
+def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settings: tuple[int, ...] = N_SETTINGS, counts: bool = False, most: int = MAX_ATTEMPTS) -> dict[str, DataFrame]:
     """Transcription report: case scores for every N, roll-ups, statuses and unscored jobs.
+    A job has ``most`` attempts.
 
     Responses are read once and written to the session's checkpoint folder, as
     the status and the scores both need them.  Without ``counts`` the scores hold
     distances only, which the JVM works out alone."""
     read = checkpointed(read_transcriptions(responses, targets))
-    status = selected_attempts(read)
+    status = selected_attempts(read, most=most)
     pairs = wer_pairs(read, status, targets)
     tokened = pairs.select("profile", "case_id", "text_id", token_values("reference").alias("reference"), token_values("hypothesis").alias("hypothesis"))
     cases = score_settings(tokened, ["profile", "case_id"], settings, counts)
