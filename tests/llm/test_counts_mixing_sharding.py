@@ -126,3 +126,22 @@ def test_mixing_edges(spark):
     held = mixing.membership(d.where("doc_id % 2 = 1 AND domain IS NOT NULL"), d.where("doc_id % 2 = 0")).join(d.drop("rate"), "doc_id").collect()
     right = [max(zip(r.posterior, r.domains, strict=True))[1] == r.domain for r in held if r.n_tokens > 4]
     assert sum(right) >= 0.97 * len(right)
+
+
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_mixing_meets_rare_targets(spark, floor):
+    rng = np.random.default_rng(4)
+    share = np.array([0.8, 0.1475, 0.05, 0.002, 0.0005])
+    domain = np.concatenate([np.arange(5), rng.choice(5, 40000, p=share)])
+    post = np.full((len(domain), 5), 1e-6)
+    post[np.arange(len(domain)), domain] = 1 - 4e-6
+    names = [f"d{k}" for k in range(5)]
+    d = spark.createDataFrame([(i, 100, p, names) for i, p in enumerate(post.tolist())], "doc_id long, n_tokens long, posterior array<double>, domains array<string>")
+    rate = np.array([r.rate for r in mixing.fit_rates(d, None, floor, 0.7).select("doc_id", "rate").orderBy("doc_id").collect()])
+    now = post.sum(axis=0)
+    want = now**0.7 / (now**0.7).sum()
+    got = rate @ post
+    assert rate.min() >= floor
+    assert np.abs(got / got.sum() / want - 1).max() < 0.01
+    with pytest.raises(ValueError):
+        mixing.fit_rates(d, {"d0": 0.5, "nowhere": 0.5}, floor, 0.7)

@@ -2,16 +2,16 @@
 
 A classifier learned from labelled rows gives every document a posterior over
 domains.  A document's rate is how often it is to be seen; rates are fitted by
-distributed projected-gradient least squares with momentum, so that the expected token totals
-of the domains, sums of rate x tokens x posterior, meet their targets.  Each
-iteration is one pass over (tokens, posterior) rows that sums one residual for
-each domain; rates are not stored between passes but replayed from the residuals
-so far, which are a few numbers.
+least squares, so that the expected token totals of the domains, sums of
+rate x tokens x posterior, meet their targets, each relative to itself.  The best
+rates are one less the posterior's share of a price for each domain, and at least
+the floor, so Newton's method looks for the prices alone.  Each step is one pass
+over (tokens, posterior) rows that sums totals by domain and pair of domains.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,10 @@ from .common import byte_set, keyed, materialize, pieces, texts, word_runs
 #: Bounds of the labelled sample: domains, documents of each, bytes of a sampled document.
 DOMAINS, SAMPLE_DOCS, SAMPLE_BYTES = 64, 300, 16384
 CELLS = 8192
-#: Pull of the rates towards one, against targets in shares of all tokens.
+#: Pull of the rates towards one, against errors relative to the targets; it is lessened
+#: until every domain is ``WITHIN`` this share of its target, where targets can be met.
 RIDGE = 3e-4
-ITERATIONS, CLOSE = 60, 3e-5
+WITHIN, CLOSE = 0.005, 1e-4
 _INSIDE = ~byte_set(space=(32, 32), controls=(9, 13))
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
@@ -99,16 +100,6 @@ def _likelihood(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).sum())
 
 
-def replay(posterior: np.ndarray, residuals: list[np.ndarray], step: float, floor: float, momentum: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the projected-gradient steps with these residuals, and the point
-    ahead of them at which the next residual is to be taken."""
-    r = ahead = np.full(len(posterior), max(1.0, floor))
-    for e in residuals:
-        new = np.maximum(floor, ahead - step * (posterior @ e + RIDGE * (ahead - 1)))
-        r, ahead = new, new + momentum * (new - r)
-    return r, ahead
-
-
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 0.0, smoothing: float = 0.7) -> DataFrame:
     """Fit a rate for every document: doc_id, n_tokens, posterior, rate, domains.
 
@@ -157,67 +148,84 @@ def _matrix(column, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Fit:
-    """What replays the rates: residuals of the passes, step length and least rate."""
+    """What tells a document's rate: a price for each domain, and the least rate."""
 
-    residuals: list[np.ndarray]
-    step: float
+    prices: np.ndarray
     floor: float
-    momentum: float = 0.0
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
-        return replay(posterior, self.residuals, self.step, self.floor, self.momentum)[0]
-
-    def ahead(self, posterior: np.ndarray) -> np.ndarray:
-        return replay(posterior, self.residuals, self.step, self.floor, self.momentum)[1]
+        base = max(1.0, self.floor)
+        return np.maximum(self.floor, base - posterior @ self.prices) if len(self.prices) else np.full(len(posterior), base)
 
 
 def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
     """The least-squares fit of ``mixing_rates`` for rows of ``membership``."""
     head = members.select("domains").first()
     if head is None:
-        return Fit([], 0.0, floor)
+        return Fit(np.zeros(0), floor)
     names = list(head.domains)
-    width = len(names)
+    width, base = len(names), max(1.0, floor)
+    if weights and names != ["all"] and (unknown := sorted(set(weights) - set(names))):
+        raise ValueError(f"weights of domains without labelled text: {unknown}")
     slim = members.select("n_tokens", "posterior")
 
-    def totals(fit: Fit):
-        """Token totals by domain at the rates so far, then the sums of tokens x p x p'."""
+    def totals(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """At these prices: value of the dual without its linear part, token totals by
+        domain, and the sums of tokens x p x p' over the rates that are free."""
 
         def run(batches):
-            out = np.zeros(width + width * width)
+            out = np.zeros(1 + width + width * width)
             for b in batches:
                 t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
                 if len(t):
-                    out[:width] += (t * fit.ahead(p)) @ p
-                    if not fit.residuals:
-                        out[width:] += ((p * t[:, None]).T @ p).ravel()
+                    u = p @ prices
+                    free, r = u <= base - floor, np.maximum(floor, base - u)
+                    out[0] += t @ np.where(free, (base - u) ** 2 / 2, floor * (base - u) - floor**2 / 2)
+                    out[1 : 1 + width] += (t * r) @ p
+                    out[1 + width :] += ((p * (t * free)[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array(out)})
 
         # one row for each domain or pair of domains
         got = {r.k: r.v for r in slim.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        return np.array([got[k] for k in range(width + width * width)])
+        flat = np.array([got[k] for k in range(1 + width + width * width)])
+        return flat[0] / whole, flat[1 : 1 + width] / whole, flat[1 + width :].reshape(width, width) / whole
 
-    fit = Fit([], 0.0, floor)
-    first = totals(fit)
-    now, gram = first[:width], first[width:].reshape(width, width)
-    whole = float(now.sum())
+    prices, whole = np.zeros(width), 1.0
+    first = totals(prices)
+    whole = float(first[1].sum())
     if whole <= 0:
-        return fit
-    share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.power(now / whole, smoothing)
-    share = share / share.sum() if share.sum() > 0 else now / whole
-    base = max(1.0, floor)
-    scale = whole if floor <= 0 else max(whole, float(np.max(now / np.where(share > 0, share, np.inf))))
-    # curvature of the problem, which tells step length and momentum
-    curve = np.linalg.eigvalsh(gram * base / whole) / base + RIDGE
-    step, q = 1 / float(curve.max()), float(max(curve.min(), RIDGE) / curve.max())
-    fit = Fit([], step, floor, (1 - q**0.5) / (1 + q**0.5))
-    for _ in range(ITERATIONS):
-        e = (now - share * scale) / whole
-        if fit.residuals and np.abs(e - fit.residuals[-1]).max() < CLOSE:
-            break
-        fit = replace(fit, residuals=[*fit.residuals, e])
-        now = totals(fit)[:width]
-    return fit
+        return Fit(np.zeros(0), floor)
+    value, now, gram = (x / whole for x in first)
+    share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.power(now, smoothing)
+    share = share / share.sum() if share.sum() > 0 else now
+    target = share * (1.0 if floor <= 0 else max(1.0, float(np.max(now / np.where(share > 0, share, np.inf)))))
+    # errors count relative to a domain's target, or to what it has where that is none
+    unit = np.maximum(np.where(target > 0, target, now), 1e-12)
+    ridge, before = RIDGE, np.inf
+    while True:
+        # Newton's method on the convex dual of this ridge
+        cost = value + target @ prices + ridge / 2 * unit @ prices**2
+        while True:
+            slope = target - now + ridge * unit * prices
+            if np.abs(slope / unit).max() <= CLOSE:
+                break
+            move = -np.linalg.solve(gram + ridge * np.diag(unit), slope)
+            step, gain = 1.0, float(slope @ move)
+            while True:
+                new = prices + step * move
+                tried = totals(new)
+                there = tried[0] + target @ new + ridge / 2 * unit @ new**2
+                if there <= cost + 1e-4 * step * gain or step < 1e-6:
+                    break
+                step /= 2
+            if not there < cost:  # as far as the numbers go
+                break
+            prices, (value, now, gram), cost = new, tried, there
+        worst = float(np.abs((now - target) / unit).max())
+        # a smaller ridge is of use as long as it lessens the error; targets may be out of reach
+        if worst <= WITHIN or worst > before / 2:
+            return Fit(prices, floor)
+        before, ridge = worst, ridge / 10
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> DataFrame:
