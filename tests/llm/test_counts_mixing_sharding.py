@@ -145,3 +145,17 @@ def test_mixing_meets_rare_targets(spark, floor):
     assert np.abs(got / got.sum() / want - 1).max() < 0.01
     with pytest.raises(ValueError):
         mixing.fit_rates(d, {"d0": 0.5, "nowhere": 0.5}, floor, 0.7)
+
+
+def test_sharding_goes_on_past_full_shards(spark):
+    texts = ["hot"] * 3300 + [f"pair {k}" for k in range(660) for _ in range(5)] + [f"only {k}" for k in range(3400)]
+    random.Random(1).shuffle(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = shard_rows(d, 8).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 10000 and max(sizes.values()) - min(sizes.values()) <= 1
+    where = {}
+    for r in got:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(where["hot"]) <= 4
+    assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 6

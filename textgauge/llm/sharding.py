@@ -1,12 +1,12 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are linked.  Each starts in the shard that its id
-hashes to.  In every round the documents of a group are counted by shard, and
-each moves to the shard where most of its group is, as far as that shard's quota
-for linked documents has room; a group larger than the room is split by its
-members' hashes and the rest tries the next best shard in the next round.  So
-cut links fall while no shard is overfilled.  At last the shards are evened out
-to sizes at most one apart, moving documents without links first.
+hashes to.  Groups that are large beside a shard are dealt first, each to as few
+shards as hold it.  In every round the documents of the other groups are counted
+by shard, and each group moves to the shard where most of it is, as far as there is
+room; a refused group tries another shard with room in the next round, until every
+group has one.  So cut links fall while no shard is overfilled.  At last the shards
+are evened out to sizes at most one apart, moving documents without links first.
 
 All counts are combined in each partition before they are shuffled, a hot group
 is counted and split by rows and never gathered, and the driver sees only one
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import join_counted, materialize, partitions
 from .ranking import gapless
 
-ROUNDS = 3
 _UNIT = 1 << 40
 
 
@@ -30,26 +29,62 @@ def _draw(*columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(_UNIT)) / F.lit(float(_UNIT))
 
 
-def _round(linked: DataFrame, shards: int, quota: float, turn: int) -> DataFrame:
-    """One round of propagation on (row, key, n, shard)."""
-    held = linked.groupBy("key", "n", "shard").agg(F.count(F.lit(1)).alias("here"))
-    # the shard with most of the group; ties differ by group, so that no shard draws them all
-    ranked = held.withColumn("tie", F.xxhash64("key", "shard"))
-    wish = materialize(ranked.groupBy("key", "n").agg(F.max(F.struct("here", "tie", "shard")).alias("m")).select("key", "n", F.col("m.here").alias("there"), F.col("m.shard").alias("wish")))
-    flow = wish.groupBy("wish").agg(F.sum("there").alias("stay"), F.sum(F.col("n") - F.col("there")).alias("come")).collect()
-    # one row for each shard
-    room = {r.wish: max(0.0, quota - r.stay) for r in flow}
-    take = {r.wish: min(1.0, room[r.wish] / r.come) if r.come else 0.0 for r in flow}
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in (take or {0: 0.0}).items() for x in (int(k), float(v))]), F.col("wish"))
-    # whole groups enter together; only a group that is itself larger than a tenth of the quota is split
-    by_group, by_row = _draw("key", "wish"), F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(_UNIT)) / F.lit(float(_UNIT))
-    goes = F.when(F.col("n") > F.lit(quota / 10), by_row < share).otherwise(by_group < share)
-    # a group too large for its wish leaves the rest where they are, or in the next round elsewhere
-    moved = join_counted(linked.drop("n"), wish.select("key", "n", "wish"), ["key"], "n")
-    return moved.select("row", "key", "n", F.when((F.col("shard") == F.col("wish")) | goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
-
-
-def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
+def _lookup(values: dict[int, float], at):
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (int(k), float(v))]), at)
+
+
+def _deal_hot(hot: list[tuple[int, int]], room: dict[int, float]) -> list[tuple[int, float, float, int]]:
+    """Shards for the groups that are large beside a shard, largest first: one where it
+    fits, else as few as hold it.  Gives (key, from, to, shard) with shares of its rows."""
+    out = []
+    for key, n in sorted(hot, key=lambda g: (-g[1], g[0])):
+        left = n
+        while left > 0:
+            shard = max(room, key=lambda k: (room[k], -k))
+            part = left if room[shard] < 1 else min(left, int(room[shard]))
+            out.append((key, (n - left) / n, (n - left + part) / n if part < left else 2.0, shard))
+            room[shard] -= part
+            left -= part
+    return out
+
+
+def _propagate(loose: DataFrame, room: dict[int, float]) -> list[DataFrame]:
+    """Rounds of propagation on groups (key, n, held), until each has one shard.
+
+    A group wishes for the shard that holds most of it among those with room, or for
+    any with room, drawn anew in each round.  Returns parts with (key, shard)."""
+    settled, turn = [], 0
+    while not loose.isEmpty():
+        open_ = {k: v for k, v in room.items() if v >= 1} or room
+        has = lambda h: h["shard"].isin(list(open_))
+        best = F.array_max(F.filter("held", has))["shard"]
+        total = sum(max(v, 0.0) for v in open_.values()) or 1.0
+        lot = _draw("key", F.lit(turn), F.lit(1))
+        bounds, at = [], 0.0
+        for k, v in sorted(open_.items()):
+            at += max(v, 0.0) / total
+            bounds.append((at, k))
+        any_ = F.lit(bounds[-1][1])
+        for upto, k in reversed(bounds[:-1]):
+            any_ = F.when(lot < upto, k).otherwise(any_)
+        # after the first round whoever was refused may also try elsewhere
+        wish = loose.withColumn("wish", (F.coalesce(best, any_) if turn < 3 else any_).cast("int"))
+        come = {r.wish: r.n for r in wish.groupBy("wish").agg(F.sum("n").alias("n")).collect()}
+        share = {k: min(1.0, max(0.0, room[k]) / n) for k, n in come.items()}
+        judged = materialize(wish.withColumn("enters", _draw("key", F.lit(turn)) < _lookup(share, F.col("wish"))))
+        entered = {r.wish: r.n for r in judged.where("enters").groupBy("wish").agg(F.sum("n").alias("n")).collect()}
+        if not entered:
+            # too little room for anyone: the last go whole where they wish, and evening out takes the excess
+            settled.append(judged.select("key", F.col("wish").alias("shard")))
+            break
+        for k, n in entered.items():
+            room[k] -= n
+        settled.append(judged.where("enters").select("key", F.col("wish").alias("shard")))
+        loose, turn = judged.where("NOT enters").select("key", "n", "held"), turn + 1
+    return settled
+
+
+def shard_rows(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Put every row into a shard, with row counts at most one apart.
 
     Takes ``doc_id`` and ``text``.  Returns one row per input row: doc_id, size
@@ -72,14 +107,28 @@ def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFr
         )
     )
     total = rows.count()
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = join_counted(rows, groups, ["key"], "n").withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int"))
+    groups = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    quota = total / shards
+    large = (F.col("n") > 1) & (F.col("n") > quota / 10)
+    # at most ten for each shard
+    hot = [(r.key, r.n) for r in groups.where(large).collect()]
+    room = {k: quota for k in range(shards)}
+    deal = docs.sparkSession.createDataFrame(_deal_hot(hot, room), "key long, low double, high double, shard int")
+    rows = join_counted(rows, groups, ["key"], "n").withColumn("first", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int"))
     rows = materialize(rows)
-    linked = rows.where("n > 1").select("row", "key", "n", "shard")
-    for turn in range(rounds if shards > 1 else 0):
-        linked = materialize(_round(linked, shards, total / shards, turn))
-    rows = rows.drop("shard").join(linked.select("row", F.col("shard").alias("label")), "row", "left")
-    rows = rows.withColumn("shard", F.coalesce("label", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int"))).drop("label")
+    small = rows.where((F.col("n") > 1) & ~large)
+    held = small.groupBy("key", "n", "first").agg(F.count(F.lit(1)).alias("here"))
+    # ties differ by group, so that no shard draws them all
+    loose = materialize(held.groupBy("key", "n").agg(F.collect_list(F.struct("here", F.xxhash64("key", "first").alias("tie"), F.col("first").alias("shard"))).alias("held")))
+    placed = docs.sparkSession.createDataFrame([], "key long, shard int")
+    for part in _propagate(loose, room):
+        placed = placed.unionByName(part)
+    lot = _draw("row", "key")
+    out = rows.where("n = 1").withColumn("shard", F.col("first"))
+    out = out.unionByName(small.join(placed, "key"))
+    wide = rows.where(large).withColumn("lot", lot)
+    out = out.unionByName(wide.join(F.broadcast(deal), "key").where("lot >= low AND lot < high").select(*rows.columns, "shard"))
+    rows = out.drop("first")
     return _even(materialize(rows), shards, total, parts)
 
 
