@@ -120,3 +120,12 @@ def test_urls_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or ("block" if (host + path).endswith("q") else "allow"))
     assert judge_urls(pages.limit(0)).count() == 0
+
+
+def test_every_language_has_a_dictionary(spark):
+    rows = [(f"g{k:02d}", f"word{chr(97 + k % 26)}{chr(97 + k // 26)} text {chr(97 + k % 26) * 5}") for k in range(80)]
+    # mostly copies of two texts
+    rows += [("copies", t) for t in ("uno dos tres", "quatro cinco seis") for _ in range(20000)]
+    raw = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(raw) == {g for g, _ in rows} and next(iter(raw)) == "copies"
+    assert b"uno dos tres" in raw["copies"] and b"seis" in raw["copies"]

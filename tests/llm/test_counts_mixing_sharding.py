@@ -159,3 +159,13 @@ def test_sharding_goes_on_past_full_shards(spark):
         where.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert len(where["hot"]) <= 4
     assert sum(len(v) > 1 for k, v in where.items() if k.startswith("pair")) <= 6
+
+
+def test_mixing_keeps_every_domain(spark):
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choice("abcdefghij") for _ in range(12)) + f" q{k}", f"d{k % 70:02d}") for k in range(210)]
+    rows += [(1000 + k, rows[0][1], "d00") for k in range(20000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.learn_domains(d)
+    assert len(model.names) == 70
+    assert all(np.ptp(model.table[:, k] - model.table[:, [j for j in range(70) if j != k]].mean(axis=1)) > 0.1 for k in range(70))

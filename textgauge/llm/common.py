@@ -70,6 +70,22 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, h
     return left.join(few, on).unionByName(rest)
 
 
+def draw_distinct(labelled: DataFrame, label: str, seed: int, most: int) -> tuple[dict[str, int], DataFrame]:
+    """Rows by label, most frequent first, and a sample (label, text, h) of about ``most``
+    different texts of each label, or all where it has no more.
+
+    The draw is by a hash of the text, and its rate follows the different texts of
+    a label, which are told by hashes, so a label of many copies keeps its sample.
+    """
+    hashed = labelled.select(label, "text", F.xxhash64("text", F.lit(seed)).alias("__x"))
+    sizes = materialize(hashed.groupBy(label, "__x").agg(F.count(F.lit(1)).alias("n")).groupBy(label).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")))
+    counts = {r[label]: r.n for r in sizes.orderBy(F.desc("n"), label).collect()}
+    share = sizes.select(label, F.least(F.lit(1.0), F.lit(float(most)) / F.col("texts")).alias("share"))
+    h = F.pmod(F.col("__x"), F.lit(1 << 40))
+    drawn = hashed.join(F.broadcast(share), label).where(h < F.col("share") * F.lit(float(1 << 40)))
+    return counts, drawn.select(label, "text", h.alias("h")).distinct()
+
+
 # ---------------------------------------------------------------- bytes
 
 

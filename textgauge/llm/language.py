@@ -17,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import draw_distinct, keyed
 
-#: Bounds of the labelled sample: languages, documents of each, bytes of a sampled document.
-LANGUAGES, SAMPLE_DOCS, SAMPLE_BYTES = 64, 256, 16384
+#: Bounds of the labelled sample: documents of each language, bytes of a sampled document.
+SAMPLE_DOCS, SAMPLE_BYTES = 256, 16384
 DICTIONARY_BYTES = 112 << 10
 SEGMENT = 1024
 LEVEL = 9
@@ -76,19 +76,14 @@ class Dictionaries:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language from a bounded sample of labelled documents.
 
-    The most frequent ``LANGUAGES`` labels count.  Of each, about ``SAMPLE_DOCS``
-    documents of at most ``SAMPLE_BYTES`` are drawn by a hash of their text, so
-    the draw is the same for any partitioning.
+    Every label counts.  Of each, about twice ``SAMPLE_DOCS`` different texts of at
+    most ``SAMPLE_BYTES`` are drawn by their hash, so the draw is the same for any
+    partitioning and however often a text is repeated.
     """
     usable = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", "text")
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * SAMPLE_DOCS / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 40))
-    drawn = usable.where(F.col("lang").isin(list(counts))).withColumn("h", draw).where(F.col("h") < share[F.col("lang")] * float(1 << 40))
+    counts, drawn = draw_distinct(usable, "lang", 17, 2 * SAMPLE_DOCS)
     out: dict[str, bytes] = {}
-    for row in drawn.distinct().orderBy("lang", "h", "text").limit(4 * SAMPLE_DOCS * len(counts)).collect():
+    for row in drawn.orderBy("lang", "h", "text").toLocalIterator():
         body = out.get(row.lang, b"")
         if len(body) < DICTIONARY_BYTES:
             out[row.lang] = body + letters(row.text) + b" "

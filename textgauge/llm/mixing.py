@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_set, keyed, materialize, pieces, texts, word_runs
+from .common import byte_set, draw_distinct, keyed, materialize, pieces, texts, word_runs
 
-#: Bounds of the labelled sample: domains, documents of each, bytes of a sampled document.
-DOMAINS, SAMPLE_DOCS, SAMPLE_BYTES = 64, 300, 16384
+#: Bounds of the labelled sample: documents of each domain, bytes of a sampled document.
+SAMPLE_DOCS, SAMPLE_BYTES = 300, 16384
 CELLS = 8192
 #: Pull of the rates towards one, against errors relative to the targets; it is lessened
 #: until every domain is ``WITHIN`` this share of its target, where targets can be met.
@@ -72,25 +72,34 @@ class Domains:
 
 def learn_domains(labelled: DataFrame) -> Domains:
     """Train on a bounded sample of rows with a non-null ``domain``, drawn by a hash
-    of their texts: the ``DOMAINS`` most frequent, about ``SAMPLE_DOCS`` of each."""
+    of their texts: of every domain about ``SAMPLE_DOCS`` different texts."""
     usable = labelled.where(F.col("domain").isNotNull() & (F.octet_length("text") > 2) & (F.octet_length("text") <= SAMPLE_BYTES))
-    counts = {r.domain: r["count"] for r in usable.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()}
+    counts, drawn = draw_distinct(usable, "domain", 31, SAMPLE_DOCS)
     names = sorted(counts)
     if not names:
         return Domains(["all"], np.zeros((CELLS, 1)), np.zeros(1), 1.0)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_DOCS / n))])
-    drawn = usable.where(F.col("domain").isin(names)).where(F.pmod(F.xxhash64("text", F.lit(31)), F.lit(1 << 40)) < share[F.col("domain")] * float(1 << 40))
-    rows = drawn.select("domain", "text").distinct().orderBy("domain", F.xxhash64("text"), "text").limit(3 * SAMPLE_DOCS * len(names)).collect()
+    rows = drawn.orderBy("domain", F.xxhash64("text"), "text").select("domain", "text").collect()
     data, offsets = texts(pa.array([r.text for r in rows], pa.large_string()))
-    c = np.concatenate([_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]) if rows else np.zeros((0, CELLS))
-    y = np.array([names.index(r.domain) for r in rows], int)
-    total = np.stack([c[y == k].sum(axis=0) + 0.5 for k in range(len(names))], axis=1)
+    number = {k: i for i, k in enumerate(names)}
+    y = np.array([number[r.domain] for r in rows], int)
+
+    def cells():
+        # a piece at a time, as the counts of many domains are large
+        for i, j in pieces(offsets):
+            yield slice(i, j), _cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+    total = np.full((len(names), CELLS), 0.5)
+    for at, c in cells():
+        np.add.at(total, y[at], c)
+    total = total.T
     table = np.log(total / total.sum(axis=0))
     table -= table.mean(axis=1, keepdims=True)
     prior = np.log([counts[k] / sum(counts.values()) for k in names])
     # sharpness: best held-in likelihood on a grid
-    n = np.maximum(c.sum(axis=1), 1)
-    z = np.sqrt(n)[:, None] * (c @ table) / n[:, None]
+    z = np.zeros((len(rows), len(names)))
+    for at, c in cells():
+        n = np.maximum(c.sum(axis=1), 1)
+        z[at] = np.sqrt(n)[:, None] * (c @ table) / n[:, None]
     best = max((0.5 * 2**k for k in range(12)), key=lambda s: _likelihood(s * z + prior, y))
     return Domains(names, table, prior, float(best))
 
