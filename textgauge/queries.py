@@ -149,6 +149,15 @@ def leak_check(spark, sf_dir):
     return docs.join(cases, "item").select("doc_id", prompts.leaks(F.col("text"), F.col("private_targets")).alias("leaks"))
 
 
+@query(f"WITH {_CASES_SQL}, n AS (SELECT d.doc_id, (SELECT count(*) FROM c WHERE contains(d.text, c.v1) OR contains(d.text, c.v2)) AS n_items FROM documents d) SELECT doc_id, n_items, n_items > 0 AS leaks FROM n")
+def leak_check_all(spark, sf_dir):
+    """Every document against the private targets of every case."""
+    cases = prompts.mask(_cases(spark, sf_dir)).agg(F.collect_list("private_targets").alias("cases"))
+    docs = _t(spark, sf_dir, "documents").crossJoin(F.broadcast(cases))
+    n = F.size(F.filter("cases", lambda c: F.coalesce(prompts.leaks(F.col("text"), c), F.lit(False)))).cast("bigint")
+    return docs.select("doc_id", n.alias("n_items")).withColumn("leaks", F.col("n_items") > 0)
+
+
 @query("""SELECT p_partkey, '<answer>[' || array_to_string(list_transform(range(1, CAST(p_size % 20 AS BIGINT) + 2), lambda k: '{"id":"C' || lpad(CAST(k AS VARCHAR), 2, '0') || '","answer":"' || CASE WHEN k % 2 = 1 THEN 'yes' ELSE 'no' END || '"}'), ',') || ']</answer>' AS example FROM part""")
 def request_examples(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", prompts.example_answers(F.col("p_size") % 20 + 1).alias("example"))
