@@ -101,3 +101,10 @@ def test_phrases_beyond_a_shards_alphabet():
     index = FMIndex(np.array([1, 2, 1, 2, 0], np.int32))
     low, high = index.search(np.array([[1, 2], [900, 1], [1, 5000], [2, 3], [3, 1]]))
     assert (high - low).tolist() == [2, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+def test_repeated_benchmark_rows(spark, block_bytes):
+    b = spark.createDataFrame([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "delta epsilon"), (2, "zeta eta")], "item_id long, text string")
+    d = spark.createDataFrame([(5, "x alpha beta gamma delta epsilon y zeta eta")], "doc_id long, text string")
+    assert [r["items"] for r in contaminated_spans(d, b, block_bytes=block_bytes).collect()] == [["1", "2"]]

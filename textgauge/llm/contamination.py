@@ -269,7 +269,7 @@ def _scan(phrases: Phrases):
                     s, e = merge_spans(word[x:z] - base[d], word[x:z] - base[d] + width[x:z])
                     starts.append(s.tolist())
                     ends.append(e.tolist())
-                    items.append(sorted(str(phrases.names[k]) for k in np.unique(item[x:z])))
+                    items.append(sorted({str(phrases.names[k]) for k in np.unique(item[x:z])}))
             yield pa.RecordBatch.from_arrays(
                 [keys, ids, pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                 ["row_key", "doc_id", "n_words", "starts", "ends", "items"],
