@@ -42,7 +42,7 @@ def test_counts(r, h):
 def test_columns(spark):
     rows = [(1, ["a", "b", "c"], ["a", "x", "c"]), (2, [], ["a"]), (3, ["é"] * 3, []), (4, None, ["a"]), (5, ["a", "a", "b"], ["b", "a", "a", "c"])]
     df = spark.createDataFrame(rows, "id int, r array<string>, h array<string>")
-    got = {x.id: x for x in df.select("id", edit_counts_udf("r", "h").alias("e"), token_distance(F.col("r"), F.col("h")).alias("d")).collect()}
+    got = {x.id: x for x in token_distance(df.withColumn("e", edit_counts_udf("r", "h")), "r", "h", "d").collect()}
     assert tuple(got[1].e) == (1, 1, 0, 0) and tuple(got[2].e) == (1, 0, 0, 1) and tuple(got[3].e) == (3, 0, 3, 0)
     assert got[4].e is None and got[4].d is None
     assert all(got[i].d == got[i].e.distance for i in (1, 2, 3, 5))

@@ -140,7 +140,7 @@ def test_text_functions(spark):
     d = df.select(text.repetition_details("t").alias("d")).collect()
     assert d[1].d.longest_repeated_substring_run.unit == "ab" and d[4].d is None
     two = spark.createDataFrame([("go on", "go on: - fast"), ("go", "slow"), ("go", " go")], "p string, r string")
-    assert [r[0] for r in two.select(text.strip_repeated_prompt(F.col("p"), F.col("r"))).collect()] == ["fast", "slow", ""]
+    assert [r[0] for r in two.select(text.strip_repeated_prompt(F.col("p"), F.col("r"))).collect()] == ["fast", "slow", None]
     assert [r[0] for r in spark.range(1, 40).select(text.aligned_frames(F.col("id"))).collect()][:6] == [5, 5, 5, 5, 5, 22]
     b = spark.createDataFrame([("a <answer> x </answer><answer>y</answer>",), ("<answer>z",)], "t string").select(text.answer_block(F.col("t")).alias("b")).collect()
     assert tuple(b[0].b) == (2, "x", True, True, 1) and tuple(b[1].b) == (0, None, True, False, 0)

@@ -47,8 +47,8 @@ def test_wer_report_scores_every_document(spark):
     assert queries.wer_report(spark, SF).where("level = 'by_n'").agg({"scored_videos": "max"}).first()[0] == scored
 
 
-def test_leak_check_all_keeps_every_document_and_item(spark, tmp_path):
+def test_leak_check_keeps_every_document_and_item(spark, tmp_path):
     spark.createDataFrame([(k, f"Start {k} here. one w{k}w two three four") for k in range(60)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(0, "says Start 59 here today"), (41, None), (99, "nothing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_items, r.leaks) for r in queries.leak_check_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_items, r.leaks) for r in queries.leak_check(spark, str(tmp_path)).collect()}
     assert got == {0: (1, True), 41: (0, False), 99: (0, False)}

@@ -7,7 +7,7 @@ costs and taking the least keeps the tie order without comparing tuples.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.functions.arrow import arrow_function
@@ -46,16 +46,34 @@ def edit_counts_udf(reference, hypothesis):
     return count(None if reference is None else list(reference), None if hypothesis is None else list(hypothesis))
 
 
-def coded(tokens: Column, alphabet: Column) -> Column:
-    """Tokens as one character each, by place in ``alphabet`` (fewer than 41,984 entries)."""
-    hexes = F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(alphabet, t) + F.lit(0x3400)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-16BE")
+#: Tokens that both sides may share: characters beyond the basic plane, less two.
+SHARED = 0x10FFFF - 0x10001
 
 
-def token_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance alone, on the JVM: tokens become characters of the built-in."""
-    alphabet = F.array_distinct(F.concat(reference, hypothesis))
-    return F.levenshtein(coded(reference, alphabet), coded(hypothesis, alphabet))
+def _coded(tokens: Column, shared: Column, codes: Column, other: str) -> Column:
+    found = F.transform(tokens, lambda t: F.get(codes, F.array_position(shared, t).cast("int") - 1))
+    return F.decode(F.unhex(F.array_join(found, "", other)), "UTF-32")
+
+
+def coded_pair(df: DataFrame, reference: str, hypothesis: str, into: tuple[str, str]) -> DataFrame:
+    """Add two token arrays as strings of one character for each token.
+
+    Tokens of one side only match nothing, so all of a side's have one character,
+    and only shared ones need their own.  More than ``SHARED`` of those, in texts
+    whose alignment would take days, are an error; ``edit_counts`` has no such limit.
+    """
+    shared = F.array_intersect(reference, hypothesis)
+    few = F.when(F.size(shared) <= SHARED, shared).when(F.size(shared) > SHARED, F.raise_error(F.lit("too many shared tokens for a coded distance; count edits instead")))
+    out = df.withColumn("__shared", few)
+    out = out.withColumn("__codes", F.transform("__shared", lambda _, i: F.lpad(F.hex(i + F.lit(0x10002)), 8, "0")))
+    r, h = (_coded(F.col(c), F.col("__shared"), F.col("__codes"), other) for c, other in ((reference, "00010000"), (hypothesis, "00010001")))
+    return out.withColumns({into[0]: r, into[1]: h}).drop("__shared", "__codes")
+
+
+def token_distance(df: DataFrame, reference: str, hypothesis: str, into: str = "distance") -> DataFrame:
+    """Add the edit distance alone, on the JVM: tokens become characters of the built-in."""
+    out = coded_pair(df, reference, hypothesis, ("__r", "__h"))
+    return out.withColumn(into, F.levenshtein("__r", "__h")).drop("__r", "__h")
 
 
 def capped(reference: Column, hypothesis: Column, extra: int | Column) -> Column:

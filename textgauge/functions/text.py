@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from textgauge.functions.arrow import arrow_function, list_function
 
 TOKENS = "array<struct<value:string,kind:string>>"
-#: White space as the reference reads it, with the separators that Java's class lacks.
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: White space as Python reads it: Java's class and the separators that it lacks.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 @list_function(TOKENS, {"value": pa.string(), "kind": pa.string()})
@@ -134,11 +134,28 @@ def fingerprint(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def strip_repeated_prompt(original: Column, refinement: Column) -> Column:
-    """A refinement without a copy of the original prompt and separators in front."""
-    trimmed, prompt = F.trim(refinement), F.trim(original)
-    rest = F.when(F.startswith(trimmed, prompt), F.substr(trimmed, F.length(prompt) + 1)).otherwise(trimmed)
-    return F.regexp_replace(rest, r"^[ \t\r\n:\-]+", "")
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, as ``SPACE`` reads it."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def refinement(original: Column, told: Column) -> Column:
+    """(text, fault) of a refinement without a copy of the original prompt in front.
+
+    Only where the copy is there are the separators after it cut off as well.
+    Faults: blank_prompt, blank_refinement, adds_nothing; the text is null then.
+    Null counts as blank.
+    """
+    prompt, own = stripped(F.coalesce(original, F.lit(""))), stripped(F.coalesce(told, F.lit("")))
+    copied = F.startswith(own, prompt)
+    rest = F.when(copied, F.regexp_replace(F.substr(own, F.length(prompt) + 1), r"^[ \t\r\n:\-]+", "")).otherwise(own)
+    fault = F.when(prompt == "", "blank_prompt").when(own == "", "blank_refinement").when(rest == "", "adds_nothing")
+    return F.struct(F.when(fault.isNull(), rest).alias("text"), fault.alias("fault"))
+
+
+def strip_repeated_prompt(original: Column, told: Column) -> Column:
+    """The text of ``refinement``; null where it has a fault."""
+    return refinement(original, told)["text"]
 
 
 def aligned_frames(requested: Column, internal: int = 0) -> Column:
@@ -149,7 +166,8 @@ def aligned_frames(requested: Column, internal: int = 0) -> Column:
 
 # ------------------------------------------------------------------ answer blocks
 
-_BLOCK = r"(?is)<answer>\s*(.*?)\s*</answer>"
+#: The rule of the Python reader: ``SPACE`` for white space, and case as Unicode folds it.
+_BLOCK = rf"(?isu)<answer>{SPACE}*(.*?){SPACE}*</answer>"
 
 
 def answer_block(raw: Column) -> Column:

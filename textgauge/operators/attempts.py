@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,13 +49,15 @@ def with_feedback(attempts: DataFrame, task: str, keys: Sequence[str] = KEYS) ->
 def truncation_streaks(attempts: DataFrame, keys: Sequence[str] = KEYS, order: str = "attempt") -> DataFrame:
     """How many of a job's latest attempts in a row ended for length.
 
-    The streak is the number of attempts after the last one that ended otherwise,
-    which two aggregates tell; attempts have distinct ``order`` values.
+    The streak is what follows the last attempt that ended otherwise.  Attempts by
+    that one are counted in a second aggregation; no job's attempts are gathered.
     """
     cut = F.col("finish_reason").eqNullSafe(F.lit("length"))
-    last_other = F.max(F.when(~cut, F.col(order)))
-    seen = attempts.groupBy(*keys).agg(last_other.alias("other"), F.collect_list(F.when(cut, F.col(order))).alias("cuts"))
-    return seen.select(*keys, F.size(F.filter("cuts", lambda c: F.col("other").isNull() | (c > F.col("other")))).alias("streak"))
+    rows = attempts.select(*keys, F.col(order).alias("__at"), cut.alias("__cut"))
+    other = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(F.when(~F.col("__cut"), F.col("__at"))).alias("__other"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    late = F.col("__cut") & (F.col("__other").isNull() | (F.col("__at") > F.col("__other")))
+    return rows.join(other, same).groupBy(*keys).agg(F.count_if(late).cast("int").alias("streak"))
 
 
 def token_budget(base: int, streak, most: int = MOST_TOKENS):

@@ -29,12 +29,9 @@ def positions(df: DataFrame, *order: str) -> DataFrame:
 def contiguous_shards(df: DataFrame, shards: int, *order: str) -> DataFrame:
     """Shard i holds places n*i//shards up to n*(i+1)//shards of the order."""
     placed = positions(df, *order)
-    n = df.count()
-    p = F.col("pos")
-    # the largest i with n*i//shards <= pos
-    guess = F.floor((p + 1) * shards / F.lit(max(1, n)) - F.lit(1e-12)).cast("bigint")
-    fixed = F.when(F.floor(F.lit(n) * guess / shards) > p, guess - 1).when((guess + 1 < shards) & (F.floor(F.lit(n) * (guess + 1) / shards) <= p), guess + 1).otherwise(guess)
-    return placed.withColumn("shard", F.least(fixed, F.lit(shards - 1)).cast("int"))
+    n = max(1, df.count())
+    # the largest i with n * i // shards <= pos, in whole numbers
+    return placed.withColumn("shard", F.expr(f"cast(((pos + 1) * {shards} - 1) div {n} as int)"))
 
 
 def run_identity(files: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from textgauge.functions.text import occurrences
+from textgauge.sources.layout import spread_rows
+from textgauge.sources.sinks import checkpointed
 
 
 def mask(cases: DataFrame) -> DataFrame:
@@ -43,6 +47,61 @@ def leaks(request: Column, private: Column) -> Column:
     return F.exists(private, lambda t: F.contains(request, t["verbatim"]))
 
 
+#: Characters of targets that are searched for at once.
+BLOCK_CHARS = 8 << 20
+
+
+def leaked_cases(documents: DataFrame, cases: DataFrame) -> DataFrame:
+    """How many cases each document shows a private target of: doc_id, n_cases.
+
+    All targets are looked for in one pass over a text by an Aho-Corasick
+    automaton.  The driver holds the targets in blocks of at most ``BLOCK_CHARS``
+    and what they leave over goes through further passes, so any number of cases
+    has its exact count.  A null text or target shows nothing, an empty target is in
+    every text.  Rows that repeat are counted alike.
+    """
+    spark = documents.sparkSession
+    wanted = cases.select("id", F.explode("private_targets").alias("t")).select("id", F.col("t.verbatim").alias("verbatim")).where("verbatim IS NOT NULL").distinct()
+    wanted = checkpointed(wanted)
+    # whole cases to a block, so that the counts of blocks add up
+    size = wanted.agg(F.sum(F.length("verbatim") + 16)).first()[0] or 0
+    blocks = max(1, -(-2 * size // BLOCK_CHARS))
+    total, number = F.lit(0).cast("bigint"), F.pmod(F.xxhash64("id"), F.lit(blocks))
+    docs = spread_rows(documents.select("doc_id", "text"))
+    for k in range(blocks):
+        rows = wanted.where(number == k).collect() if blocks > 1 else wanted.collect()
+        sent = spark.sparkContext.broadcast([(r.id, r.verbatim) for r in rows])
+        total = total + F.coalesce(_case_counter(sent)(F.col("text")), F.lit(0))
+    return docs.select("doc_id", total.alias("n_cases"))
+
+
+def _case_counter(sent):
+    def count(batches):
+        import ahocorasick
+
+        of: dict[str, set] = {}
+        for name, target in sent.value:
+            of.setdefault(target, set()).add(name)
+        everywhere = of.pop("", set())
+        find = ahocorasick.Automaton()
+        for target, names in of.items():
+            find.add_word(target, names)
+        find.make_automaton()
+        for texts in batches:
+            found = []
+            for t in texts.to_pylist():
+                if t is None:
+                    found.append(None)
+                    continue
+                names = set(everywhere)
+                for _, more in find.iter(t) if len(find) else ():
+                    names |= more
+                found.append(len(names))
+            yield pa.array(found, pa.int64())
+
+    return F.arrow_udf(count, returnType="bigint", functionType=ArrowUDFType.SCALAR_ITER)
+
+
 def explode_targets(cases: DataFrame) -> DataFrame:
     """targets(case_id, pos, text_id, carrier, language, verbatim)."""
     return cases.select(F.col("id").alias("case_id"), F.posexplode("required_text").alias("pos", "t")).select("case_id", "pos", F.col("t.id").alias("text_id"), "t.carrier", "t.language", "t.verbatim")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textgauge.functions.alignment import bounded, capped, edit_counts_udf, token_distance
+from textgauge.functions.alignment import bounded, capped, coded_pair, edit_counts_udf, token_distance
 from textgauge.functions.text import token_values
 from textgauge.operators.validation import DIMENSIONS
 
@@ -32,7 +32,24 @@ def score_pairs(pairs: DataFrame, extra: int | Column, counts: bool = True, toke
     if counts:
         out = out.withColumn("e", edit_counts_udf("reference_tokens", "capped_tokens")).select("*", "e.*").drop("e")
     else:
-        out = out.withColumn("distance", token_distance(r, F.col("capped_tokens")))
+        out = token_distance(out, "reference_tokens", "capped_tokens")
+    return _rates(out)
+
+
+def score_prefixes(pairs: DataFrame, settings: Sequence[int]) -> DataFrame:
+    """Score token arrays (reference, hypothesis) for every cap R + n of ``settings``,
+    a row for each in ``n``.
+
+    A pair is coded once, for the widest cap; the others compare a shorter part of
+    the same string."""
+    r, n = F.size("reference"), F.col("n")
+    out = pairs.withColumns({"reference_tokens": F.col("reference"), "hypothesis_tokens": F.col("hypothesis"), "capped_tokens": capped(F.col("reference"), F.col("hypothesis"), max(settings))})
+    out = coded_pair(out, "reference_tokens", "capped_tokens", ("__r", "__h")).withColumn("n", F.explode(F.array(*map(F.lit, settings))))
+    out = out.withColumns({"distance": F.levenshtein("__r", F.substring("__h", F.lit(1), r + n)), "capped_tokens": capped(F.col("reference"), F.col("hypothesis"), n)})
+    return _rates(out.drop("__r", "__h"))
+
+
+def _rates(out: DataFrame) -> DataFrame:
     n = F.size("reference_tokens")
     return out.withColumns(
         {

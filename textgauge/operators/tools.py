@@ -84,6 +84,41 @@ def attached_observations(calls: DataFrame) -> DataFrame:
     return each.select("case_id", "seq", "candidate_id", F.posexplode("o").alias("place", "o")).select("case_id", "seq", "candidate_id", "place", "o.*")
 
 
+def call_effects(calls: DataFrame) -> DataFrame:
+    """What completed calls do to the candidates, as an event log.
+
+    Rows are (case_id, seq, place, event, candidate_id, kind, parent_id), in the
+    order of ``seq`` and ``place``.  Generating and editing add the ids of the
+    ``result``; the parent is the argument's, a video's its parent video or else its
+    keyframe.  An inspection observes, a comparison prefers its preferred id, a
+    finalisation finalizes; extracted frames change nothing.  Roll-backs come last.
+    """
+    a = F.from_json("arguments", ARGUMENTS)
+    r = F.from_json("result", "candidate_ids array<string>, payload struct<preferred_candidate_id:string>")
+    none = F.array().cast("array<struct<event:string,candidate_id:string,kind:string,parent_id:string>>")
+
+    def events(name: str, ids: Column, kind: Column | None = None, parent: Column | None = None) -> Column:
+        null = F.lit(None).cast("string")
+        return F.transform(ids, lambda i: F.struct(F.lit(name).alias("event"), i.alias("candidate_id"), (null if kind is None else kind).alias("kind"), (null if parent is None else parent).alias("parent_id")))
+
+    tool = F.col("tool_name")
+    image, video = F.lit("image"), F.lit("video")
+    given = lambda text: F.when(text != "", text)
+    main = (
+        F.when(tool == "generate_keyframes", events("add", r["candidate_ids"], image, given(a["parent_id"])))
+        .when(tool == "edit_keyframe", events("add", r["candidate_ids"], image, a["candidate_id"]))
+        .when(tool == "generate_video", events("add", r["candidate_ids"], video, F.coalesce(given(a["parent_video_id"]), a["keyframe_id"])))
+        .when(tool == "inspect_keyframes", events("observe", a["candidate_ids"], image))
+        .when(tool == "inspect_video", events("observe", F.array(a["candidate_id"]), video))
+        .when(tool == "compare_candidates", events("prefer", F.array_compact(F.array(r["payload"]["preferred_candidate_id"]))))
+        .when(tool == "finalize_candidate", events("finalize", F.array(a["candidate_id"]), video))
+    )
+    rolls = F.when(tool.isin("generate_keyframes", "edit_keyframe", "generate_video", "finalize_candidate"), events("rollback", a["rollback_candidate_ids"]))
+    both = F.concat(F.coalesce(main, none), F.coalesce(rolls, none))
+    each = calls.where("status = 'complete'").select("case_id", "seq", F.posexplode(both).alias("place", "e"))
+    return each.select("case_id", "seq", "place", "e.*")
+
+
 def inside(path: Column, root: Column | str) -> Column:
     """Whether a normal path lies under a root."""
     base = F.regexp_replace(root if isinstance(root, Column) else F.lit(root), r"/+$", "")

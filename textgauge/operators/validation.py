@@ -94,6 +94,29 @@ def severity(value: Column) -> Column:
     return F.coalesce(named, F.when(number.between(0, 3), number))
 
 
+def evidence(value: Column) -> Column:
+    """Evidence locations from JSON: null gives none, a string itself, an array its
+    items as text, an object its keys; null too where it is none of these."""
+    own = F.trim(value)
+    items = F.from_json(value, "array<string>")
+    text = F.from_json(F.concat(F.lit('{"x":'), value, F.lit("}")), "x string")["x"]
+    none = F.array().cast("array<string>")
+    return (
+        F.when(value.isNull() | (own == "null"), none)
+        .when(F.startswith(own, F.lit('"')), F.array(text))
+        .when(F.startswith(own, F.lit("[")), F.transform(items, lambda i: F.coalesce(i, F.lit("None"))))
+        .when(F.startswith(own, F.lit("{")), F.json_object_keys(value))
+    )
+
+
+def token_usage(response: Column) -> Column:
+    """Token counts of a service's JSON response: those of its ``usage`` that are there."""
+    usage = F.from_json(response, "usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>")["usage"]
+    names = ("prompt_tokens", "completion_tokens", "total_tokens")
+    every = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[usage[n] for n in names]))
+    return F.when(usage.isNull(), F.create_map().cast("map<string,bigint>")).otherwise(F.map_filter(every, lambda _, n: n.isNotNull()))
+
+
 def clamped_severity(value: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(3), F.coalesce(value, F.lit(0))))
 

@@ -47,6 +47,41 @@ def first_violation(calls: DataFrame, key: str = "case_id", order: str = "seq",
     return out.groupBy(key).agg(F.min(F.struct(order, "tool_name", "exceeds")).alias("v")).select(key, f"v.{order}", "v.tool_name", "v.exceeds")
 
 
+#: Why a run is rescued.
+EXHAUSTED = {"actions": "action budget exhausted", "api_calls": "API-call budget exhausted", "videos": "video-generation budget exhausted"}
+NO_CALL = "Central agent returned no tool call"
+
+
+def replayed(calls: DataFrame, costs: dict[str, tuple[int, int, int]] = COSTS, limits: dict[str, int] = LIMITS, key: str = "case_id", order: str = "seq") -> DataFrame:
+    """Logged runs replayed to their last state: a row for each run.
+
+    Calls (``tool_name``, ``status``) are charged in order until a budget refuses
+    one, which is neither charged nor executed, or a finalisation is complete.
+    Returns calls executed, use and remainder of each budget, ``completed`` and
+    ``rescue_reason``: the refusal, or that a turn ended the log without a call;
+    null for runs that are complete or can be resumed.
+    """
+    earlier = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    done = (F.col("tool_name") == "finalize_candidate") & (F.col("status") == "complete")
+    rows = charged(calls, costs, limits, key, order)
+    # what stands after a refusal or a completion was never run
+    ended = F.coalesce(F.count_if(F.col("exceeds").isNotNull() | done).over(earlier), F.lit(0))
+    rows = rows.withColumn("__before", ended).where("__before = 0")
+    ran = F.col("exceeds").isNull()
+    uses = [F.coalesce(F.max(F.when(ran, F.col(f"used_{n}"))), F.lit(0)).alias(f"used_{n}") for n in limits]
+    out = rows.groupBy(key).agg(
+        F.count_if(ran & (F.col("tool_name") != "central_turn")).alias("calls"),
+        *uses,
+        F.max(ran & done).alias("completed"),
+        F.max_by("exceeds", order).alias("__refusal"),
+        F.max_by("tool_name", order).alias("__last"),
+    )
+    told = F.create_map(*[F.lit(x) for kv in EXHAUSTED.items() for x in kv])
+    reason = F.when(F.col("__refusal").isNotNull(), told[F.col("__refusal")]).when(~F.col("completed") & (F.col("__last") == "central_turn"), F.lit(NO_CALL))
+    left = {f"remaining_{n}": remaining(F.col(f"used_{n}"), limits[n]) for n in limits}
+    return out.withColumns({**left, "rescue_reason": reason}).drop("__refusal", "__last")
+
+
 def remaining(used, limit: int):
     return F.greatest(F.lit(0), F.lit(limit) - used)
 
@@ -66,6 +101,27 @@ def candidate_states(events: DataFrame, keys: tuple[str, ...] = ("case_id", "can
     return last.withColumn("state", F.when((F.col("state") == "finalized") & (F.col("at") < newest), "active").otherwise(F.col("state"))).drop("at")
 
 
+def event_faults(events: DataFrame, keys: tuple[str, ...] = ("case_id", "candidate_id"), order: str = "seq") -> DataFrame:
+    """Events with ``fault``: exists (added again), unknown (nothing added before),
+    not_a_video and gone (a finalisation that is refused).  Other columns stay.
+
+    An event with a fault changes nothing, so a candidate is gone with the first
+    rejection or roll-back after it was added, and stays so."""
+    w = Window.partitionBy(*keys)
+    event, at = F.col("event"), F.col(order)
+    added = F.min(F.when(event == "add", at)).over(w)
+    rows = events.withColumn("__added", added)
+    left = F.min(F.when(event.isin("reject", "rollback") & (at > F.col("__added")), at)).over(w)
+    rows = rows.withColumn("__left", left)
+    fault = (
+        F.when((event == "add") & (at > F.col("__added")), "exists")
+        .when(F.col("__added").isNull() | (at < F.col("__added")), "unknown")
+        .when((event == "finalize") & (F.col("kind") != "video"), "not_a_video")
+        .when((event == "finalize") & (at > F.col("__left")), "gone")
+    )
+    return rows.withColumn("fault", fault).drop("__added", "__left")
+
+
 def orphans(candidates: DataFrame) -> DataFrame:
     """Candidates whose parent does not exist in their case."""
     ids = candidates.select("case_id", F.col("candidate_id").alias("parent_id"))
@@ -111,6 +167,29 @@ def rescue(candidates: DataFrame, observations: DataFrame, calls: DataFrame, med
     return mild.join(liked, "case_id", "left").select("case_id", F.coalesce("preferred", "mildest").alias("candidate_id"), F.when(F.col("preferred").isNotNull(), "preference").otherwise("severity").alias("chosen_by"))
 
 
+def rescue_plans(candidates: DataFrame, observations: DataFrame, calls: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """How each run is rescued: ``start`` is video, image or prompt (what there is to
+    begin with), ``candidate_id`` the one chosen, and ``rolled_back`` the other
+    active videos.  A run that starts from an image or the prompt makes its video first."""
+    runs = candidates.select("case_id").distinct()
+    best = {k: rescue(candidates, observations, calls, media if k == "video" else None, k).select("case_id", F.col("candidate_id").alias(k)) for k in ("video", "image")}
+    out = runs.join(best["video"], "case_id", "left").join(best["image"], "case_id", "left")
+    start = F.when(F.col("video").isNotNull(), "video").when(F.col("image").isNotNull(), "image").otherwise("prompt")
+    active = candidates.where("kind = 'video' AND status = 'active'").groupBy("case_id").agg(F.sort_array(F.collect_list("candidate_id")).alias("active"))
+    out = out.select("case_id", start.alias("start"), F.coalesce("video", "image").alias("candidate_id"), "video").join(active, "case_id", "left")
+    others = F.filter(F.coalesce("active", F.array().cast("array<string>")), lambda c: ~c.eqNullSafe(F.col("video")))
+    return out.select("case_id", "start", "candidate_id", others.alias("rolled_back"))
+
+
+def rescued(candidates: DataFrame, plans: DataFrame) -> DataFrame:
+    """Candidates with their ``status`` after the rescue of their runs: the chosen video
+    is finalized, every other active one rolled back; all else stays."""
+    chosen = plans.select("case_id", F.when(F.col("start") == "video", F.col("candidate_id")).alias("__final"), F.lit(True).alias("__planned"))
+    own = (F.col("kind") == "video") & (F.col("status") == "active") & F.col("__planned")
+    status = F.when(F.col("candidate_id") == F.col("__final"), "finalized").when(own, "rolled_back").otherwise(F.col("status"))
+    return candidates.join(chosen, "case_id", "left").withColumn("status", status).select(*candidates.columns)
+
+
 def recent(observations, n: int = 8):
     """The last ``n`` of an array."""
     return F.slice(observations, F.greatest(F.lit(1), F.size(observations) - (n - 1)), F.lit(n))

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from textgauge.functions.answers import checklist, transcription
 from textgauge.functions.text import repetition_warnings, token_values
 from textgauge.operators.attempts import MAX_ATTEMPTS, selected_attempts
-from textgauge.operators.scoring import N_SETTINGS, SCORED_CHECKLIST, SCORED_WER, balanced_wer, dimension_scores, scene, score_cases, score_pairs, status_report, video_score
+from textgauge.operators.scoring import N_SETTINGS, SCORED_CHECKLIST, SCORED_WER, balanced_wer, dimension_scores, scene, score_cases, score_pairs, score_prefixes, status_report, video_score
+from textgauge.sources.layout import spread_rows
 from textgauge.sources.sinks import checkpointed
 
 
 def read_transcriptions(responses: DataFrame, targets: DataFrame) -> DataFrame:
     """Responses with what was read of them; targets give each case its ids in order."""
     ids = targets.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text_id"))), lambda t: t["text_id"]).alias("ids"))
-    read = responses.join(ids, "case_id").withColumn("r", transcription("raw", "ids", "finish_reason"))
+    read = spread_rows(responses).join(ids, "case_id").withColumn("r", transcription("raw", "ids", "finish_reason"))
     return read.select("profile", "case_id", "attempt", "finish_reason", "output_token_count", "r.*").withColumn("passed", F.col("parsed") & (F.size("errors") == 0))
 
 
@@ -39,14 +40,18 @@ def wer_pairs(read: DataFrame, status: DataFrame, targets: DataFrame) -> DataFra
     wanted = chosen.join(targets.select("case_id", "text_id", F.col("verbatim").alias("reference")), "case_id")
     said = read.select("profile", "case_id", "attempt", F.explode("answer").alias("a"))
     said = said.select("profile", "case_id", "attempt", F.col("a.id").alias("text_id"), F.when(F.col("a.status") == "transcribed", F.col("a.text")).otherwise(F.lit("")).alias("hypothesis"))
-    return said.join(wanted, ["profile", "case_id", "attempt", "text_id"]).drop("attempt")
+    # by number, so that few bytes are not put together in one task: tokens and distances cost far more than bytes
+    keys, parts = ["profile", "case_id", "attempt", "text_id"], int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return said.repartition(parts, *keys).join(wanted, keys).drop("attempt")
 
 
 def score_settings(tokened: DataFrame, keys: list[str], settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> DataFrame:
     """Case scores for every N from pairs of token arrays: each pair is multiplied
     after it was tokenized, so Python reads a text once for all N."""
+    if not counts:
+        return score_cases(score_prefixes(tokened, settings), [*keys, "n"])
     each = tokened.withColumn("n", F.explode(F.array(*map(F.lit, settings))))
-    return score_cases(score_pairs(each, F.col("n"), counts=counts, tokenized=True), [*keys, "n"])
+    return score_cases(score_pairs(each, F.col("n"), tokenized=True), [*keys, "n"])
 
 
 def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settings: tuple[int, ...] = N_SETTINGS, counts: bool = False, most: int = MAX_ATTEMPTS) -> dict[str, DataFrame]:

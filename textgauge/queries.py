@@ -14,6 +14,7 @@ from textgauge.functions import answers, text
 from textgauge.functions.alignment import edit_counts_udf, token_distance
 from textgauge.operators import attempts, diagnostics, matching, partitioning, prompts, scoring, tools, validation, workflow
 from textgauge.plans import reports
+from textgauge.sources.layout import spread_rows
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,20 +143,11 @@ def mask_prompt(spark, sf_dir):
     return m.select("id", "masked_prompt", F.array_join("mask_errors", ",").alias("mask_errors"))
 
 
-@query(f"WITH {_CASES_SQL} SELECT d.doc_id, contains(d.text, c.v1) OR contains(d.text, c.v2) AS leaks FROM documents d JOIN c ON c.item_id = d.doc_id % 40")
-def leak_check(spark, sf_dir):
-    cases = prompts.mask(_cases(spark, sf_dir)).select(F.col("id").cast("bigint").alias("item"), "private_targets")
-    docs = _t(spark, sf_dir, "documents").withColumn("item", F.col("doc_id") % 40)
-    return docs.join(cases, "item").select("doc_id", prompts.leaks(F.col("text"), F.col("private_targets")).alias("leaks"))
-
-
 @query(f"WITH {_CASES_SQL}, n AS (SELECT d.doc_id, (SELECT count(*) FROM c WHERE contains(d.text, c.v1) OR contains(d.text, c.v2)) AS n_items FROM documents d) SELECT doc_id, n_items, n_items > 0 AS leaks FROM n")
-def leak_check_all(spark, sf_dir):
+def leak_check(spark, sf_dir):
     """Every document against the private targets of every case."""
-    cases = prompts.mask(_cases(spark, sf_dir)).agg(F.collect_list("private_targets").alias("cases"))
-    docs = _t(spark, sf_dir, "documents").crossJoin(F.broadcast(cases))
-    n = F.size(F.filter("cases", lambda c: F.coalesce(prompts.leaks(F.col("text"), c), F.lit(False)))).cast("bigint")
-    return docs.select("doc_id", n.alias("n_items")).withColumn("leaks", F.col("n_items") > 0)
+    found = prompts.leaked_cases(_t(spark, sf_dir, "documents"), prompts.mask(_cases(spark, sf_dir)).select("id", "private_targets"))
+    return found.select("doc_id", F.col("n_cases").alias("n_items"), (F.col("n_cases") > 0).alias("leaks"))
 
 
 @query("""SELECT p_partkey, '<answer>[' || array_to_string(list_transform(range(1, CAST(p_size % 20 AS BIGINT) + 2), lambda k: '{"id":"C' || lpad(CAST(k AS VARCHAR), 2, '0') || '","answer":"' || CASE WHEN k % 2 = 1 THEN 'yes' ELSE 'no' END || '"}'), ',') || ']</answer>' AS example FROM part""")
@@ -163,27 +155,55 @@ def request_examples(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", prompts.example_answers(F.col("p_size") % 20 + 1).alias("example"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'of ' || o_orderpriority ELSE o_orderpriority || ' then' END AS refined FROM orders")
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'of ' || o_orderpriority WHEN 1 THEN o_orderpriority || ' then' WHEN 2 THEN '- pan left' WHEN 3 THEN 'pan' WHEN 5 THEN 'now status' WHEN 7 THEN 'status' END AS refined,
+           CASE o_orderkey % 8 WHEN 4 THEN 'adds_nothing' WHEN 6 THEN CASE WHEN o_orderkey % 16 = 6 THEN 'blank_refinement' ELSE 'blank_prompt' END END AS fault FROM orders""")
 def deduplicated_refinement(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey") % 8
     prompt = F.concat(F.lit("status "), "o_orderstatus")
-    told = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), prompt, F.lit(": - of "), "o_orderpriority")).otherwise(F.concat(F.col("o_orderpriority"), F.lit(" then ")))
-    return o.select("o_orderkey", text.strip_repeated_prompt(prompt, told).alias("refined"))
+    told = (
+        F.when(k == 0, F.concat(F.lit(" "), prompt, F.lit(": - of "), "o_orderpriority"))
+        .when(k == 1, F.concat(F.col("o_orderpriority"), F.lit(" then ")))
+        .when(k == 2, F.lit("\t- pan left\u3000"))
+        .when(k == 3, F.concat(prompt, F.lit("\r\n--:pan\x1c")))
+        .when(k == 4, F.concat(prompt, F.lit(" :-\n")))
+        .when(k == 5, F.lit("\u00a0now status"))
+        .when(k == 6, F.when(F.col("o_orderkey") % 16 == 6, F.lit(" \x1f")).otherwise(F.lit("pan")))
+        .otherwise(F.lit("status"))
+    )
+    original = F.when(F.col("o_orderkey") % 16 == 14, F.lit(" \t")).otherwise(F.concat(F.lit("\t"), prompt, F.lit("\u2003")))
+    return o.select("o_orderkey", text.refinement(original, told).alias("r")).select("o_orderkey", F.col("r.text").alias("refined"), "r.fault")
+
+
+@query("""
+    SELECT event_id, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'at ' || user_id WHEN 'signup' THEN user_id || '|1.5|true' WHEN 'purchase' THEN 'x' ELSE '' END AS evidence FROM events""")
+def evidence_coercion(spark, sf_dir):
+    told = """CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN concat('"at ', user_id, '"') WHEN 'signup' THEN concat('["', user_id, '", 1.5, "true"]') WHEN 'purchase' THEN '{"x": 1}' ELSE ' null' END"""
+    e = _t(spark, sf_dir, "events").select("event_id", validation.evidence(F.expr(told)).alias("e"))
+    return e.select("event_id", F.array_join("e", "|").alias("evidence"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'prompt_tokens=' || user_id || ',total_tokens=' || (user_id + 5) WHEN 1 THEN '' ELSE 'completion_tokens=' || user_id END AS usage FROM events")
+def token_usage(spark, sf_dir):
+    told = """CASE event_id % 3 WHEN 0 THEN concat('{"usage":{"prompt_tokens":', user_id, ',"total_tokens":', user_id + 5, ',"other":1}}') WHEN 1 THEN '{"id":"a"}' ELSE concat('{"usage":{"completion_tokens":', user_id, ',"prompt_tokens":null}}') END"""
+    e = _t(spark, sf_dir, "events").select("event_id", F.map_entries(validation.token_usage(F.expr(told))).alias("u"))
+    return e.select("event_id", F.array_join(F.transform("u", lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("usage"))
 
 
 # ------------------------------------------------------------------ responses
 
-_RAW = "CASE turn % 4 WHEN 0 THEN concat('note <ANSWER> ', text, ' </answer> tail') WHEN 1 THEN concat('<answer>', text, '</answer><answer>x</answer>') WHEN 2 THEN concat('<answer>', text) ELSE concat(' <answer> ', text, chr(10), '</answer> ') END"
+_RAW = "CASE turn % 4 WHEN 0 THEN concat('note <ANSWER> ', said, ' \u3000</answer> tail') WHEN 1 THEN concat('<answer>\u00a0', said, '\u001c</Answer><answer>x</answer>') WHEN 2 THEN concat('<answer>', said) ELSE concat(' <an\u017fwer> ', said, chr(10), '</answer> ') END"
+_TRIM = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
 
 
 @query(f"""
     SELECT conv_id, turn, role, n AS block_count, content, n > 1 AS more, before <> '' AS text_before FROM (
       SELECT conv_id, turn, role, CASE WHEN turn % 4 = 1 THEN 2 WHEN turn % 4 = 2 THEN 0 ELSE 1 END AS n,
-             CASE WHEN turn % 4 <> 2 THEN regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') END AS content,
+             CASE WHEN turn % 4 <> 2 THEN regexp_replace(regexp_replace(coalesce(text, ''), '^{_TRIM}', ''), '{_TRIM}$', '') END AS content,
              CASE turn % 4 WHEN 0 THEN 'note' WHEN 2 THEN 'x' ELSE '' END AS before
-      FROM conversations WHERE text IS NOT NULL)""")
+      FROM conversations)""")
 def answer_block_parse(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("b", text.answer_block(F.expr(_RAW)))
+    c = _t(spark, sf_dir, "conversations").withColumn("said", F.coalesce("text", F.lit(""))).withColumn("b", text.answer_block(F.expr(_RAW)))
     return c.select("conv_id", "turn", "role", "b.block_count", "b.content", (F.col("b.additional_blocks") > 0).alias("more"), "b.text_before")
 
 
@@ -241,9 +261,22 @@ def transcription_validate_and_accept(spark, sf_dir):
     return r.select("doc_id", "r.reason", F.get("r.answer", 0)["status"].alias("status"), F.get("r.answer", 0)["text"].alias("text"))
 
 
-@query()
+_SPACES = "list_contains([" + ", ".join(f"chr({i})" for i in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)) + "], c[i])"
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, text, string_split(text, '') AS c FROM documents),
+         u AS (SELECT doc_id, bool_or(far >= u * (greatest(16, -((-128) // u)) - 1)) AS hit FROM (
+               SELECT doc_id, u, list_max(list_transform(range(1, len(g)), lambda k: g[k + 1] - g[k] - 1)) AS far FROM (
+               SELECT doc_id, u, list_concat([0], list_filter(range(1, len(c) + 1), lambda i: c[i] IS DISTINCT FROM c[i + u]), [len(c) + 1]) AS g FROM t, range(2, 17) r(u)))
+               GROUP BY doc_id),
+         o AS (SELECT doc_id, list_max(list_transform(range(1, len(g)), lambda k: g[k + 1] - g[k] - 1)) >= 63 AS one, list_max(list_transform(range(1, len(w)), lambda k: w[k + 1] - w[k] - 1)) >= 64 AS white FROM (
+               SELECT doc_id, list_concat([0], list_filter(range(1, len(c) + 1), lambda i: c[i] IS DISTINCT FROM c[i + 1]), [len(c) + 1]) AS g,
+                      list_concat([0], list_filter(range(1, len(c) + 1), lambda i: NOT {_SPACES}), [len(c) + 1]) AS w FROM t))
+    SELECT t.doc_id, CASE WHEN text IS NOT NULL THEN one END AS same_character, CASE WHEN text IS NOT NULL THEN hit END AS repeated_unit, CASE WHEN text IS NOT NULL THEN white END AS white_space
+    FROM t LEFT JOIN u USING (doc_id) LEFT JOIN o USING (doc_id)""")
 def repetition_flags(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
+    d = spread_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", text.same_character_run(F.col("text")).alias("same_character"), text.repeated_unit_run(F.col("text")).alias("repeated_unit"), text.white_space_run(F.col("text")).alias("white_space"))
 
 
@@ -340,7 +373,7 @@ def edit_counts_words(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_align_sql('len(y.t)')} SELECT item_id, c.d AS distance FROM e")
 def edit_distance_coded(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("item_id", token_distance(F.col("reference"), F.col("hypothesis")).cast("bigint").alias("distance"))
+    return token_distance(_pairs(spark, sf_dir), "reference", "hypothesis").select("item_id", F.col("distance").cast("bigint").alias("distance"))
 
 
 def _score(spark, sf_dir, n: int) -> DataFrame:
@@ -488,6 +521,51 @@ def rescue_selection(spark, sf_dir):
     return workflow.rescue(candidates, e.where("event = 'observe'").select("case_id", "candidate_id", "severity"), _comparisons(e))
 
 
+@query(f"""
+    WITH {_CANDIDATE_SQL}, a AS (SELECT *, min(CASE WHEN event = 'add' THEN seq END) OVER (PARTITION BY case_id, candidate_id) AS added FROM ce),
+         g AS (SELECT *, min(CASE WHEN event IN ('reject', 'rollback') AND seq > added THEN seq END) OVER (PARTITION BY case_id, candidate_id) AS gone FROM a)
+    SELECT case_id, seq, CASE WHEN event = 'add' AND seq > added THEN 'exists' WHEN added IS NULL OR seq < added THEN 'unknown' WHEN event = 'finalize' AND kind = 'image' THEN 'not_a_video' WHEN event = 'finalize' AND seq > gone THEN 'gone' END AS fault FROM g""")
+def candidate_event_faults(spark, sf_dir):
+    return workflow.event_faults(_candidate_events(spark, sf_dir)).select("case_id", "seq", "fault")
+
+
+_RUN_TOOL = "CASE event_type WHEN 'view' THEN 'central_turn' WHEN 'click' THEN 'inspect_video' WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'extract_frames' ELSE 'finalize_candidate' END ELSE 'compare_candidates' END"
+
+
+@query(f"""
+    WITH k AS (SELECT user_id * 4 + event_id % 4 AS case_id, event_id AS seq, {_RUN_TOOL} AS tool_name, CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'failed' END AS status FROM events),
+         c AS (SELECT *, CASE WHEN tool_name = 'central_turn' THEN 0 ELSE 1 END AS a, CASE WHEN tool_name IN ('extract_frames', 'finalize_candidate') THEN 0 ELSE 1 END AS p, CASE WHEN tool_name = 'generate_video' THEN 1 ELSE 0 END AS v FROM k),
+         u AS (SELECT *, sum(a) OVER w AS ua, sum(p) OVER w AS up, sum(v) OVER w AS uv FROM c WINDOW w AS (PARTITION BY case_id ORDER BY seq)),
+         x AS (SELECT *, CASE WHEN ua > 20 AND a > 0 THEN 'action budget exhausted' WHEN up > 30 AND p > 0 THEN 'API-call budget exhausted' WHEN uv > 3 AND v > 0 THEN 'video-generation budget exhausted' END AS refusal, tool_name = 'finalize_candidate' AND status = 'complete' AS done FROM u),
+         e AS (SELECT case_id, min(seq) FILTER (refusal IS NOT NULL OR done) AS stop FROM x GROUP BY 1),
+         r AS (SELECT x.* FROM x JOIN e ON x.case_id = e.case_id AND (e.stop IS NULL OR x.seq <= e.stop)),
+         t AS (SELECT case_id, count(*) FILTER (refusal IS NULL AND tool_name <> 'central_turn') AS calls, CAST(coalesce(sum(a) FILTER (refusal IS NULL), 0) AS BIGINT) AS used_actions, CAST(coalesce(sum(p) FILTER (refusal IS NULL), 0) AS BIGINT) AS used_api_calls,
+                      CAST(coalesce(sum(v) FILTER (refusal IS NULL), 0) AS BIGINT) AS used_videos, bool_or(done AND refusal IS NULL) AS completed, max(refusal) AS refusal, arg_max(tool_name, seq) AS final FROM r GROUP BY 1)
+    SELECT case_id, calls, used_actions, used_api_calls, used_videos, completed, greatest(0, 20 - used_actions) AS remaining_actions, greatest(0, 30 - used_api_calls) AS remaining_api_calls, greatest(0, 3 - used_videos) AS remaining_videos,
+           coalesce(refusal, CASE WHEN NOT completed AND final = 'central_turn' THEN 'Central agent returned no tool call' END) AS rescue_reason FROM t""")
+def run_replay(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    calls = e.select((F.col("user_id") * 4 + F.col("event_id") % 4).alias("case_id"), F.col("event_id").alias("seq"), F.expr(_RUN_TOOL).alias("tool_name"), F.when(F.col("event_id") % 3 == 0, "complete").otherwise("failed").alias("status"))
+    out = workflow.replayed(calls)
+    return _long(out, "calls", *[f"{k}_{n}" for k in ("used", "remaining") for n in workflow.LIMITS])
+
+
+@query(f"""
+    WITH {_CANDIDATE_SQL},
+         c AS (SELECT DISTINCT case_id, candidate_id, CASE WHEN case_id % 5 = 0 THEN 'image' ELSE 'video' END AS kind, CASE WHEN seen % 3 = 0 THEN 'rejected' ELSE 'active' END AS status FROM (SELECT case_id, candidate_id, min(seq) AS seen FROM ce GROUP BY 1, 2)),
+         f AS (SELECT case_id, kind, min(candidate_id) AS chosen FROM c WHERE status = 'active' GROUP BY 1, 2)
+    SELECT c.case_id, c.candidate_id, CASE WHEN c.kind = 'video' AND c.status = 'active' THEN CASE WHEN c.candidate_id = f.chosen THEN 'finalized' ELSE 'rolled_back' END ELSE c.status END AS status
+    FROM c LEFT JOIN f ON f.case_id = c.case_id AND f.kind = 'video'""")
+def rescue_roll_back(spark, sf_dir):
+    """Runs without observations or comparisons: the first id is the mildest."""
+    e = _candidate_events(spark, sf_dir).groupBy("case_id", "candidate_id").agg(F.min("seq").alias("seen"))
+    kind, status = F.when(F.col("case_id") % 5 == 0, "image").otherwise("video"), F.when(F.col("seen") % 3 == 0, "rejected").otherwise("active")
+    c = e.select("case_id", "candidate_id", kind.alias("kind"), status.alias("status"))
+    seen = c.select("case_id", "candidate_id", F.lit(0).alias("severity")).limit(0)
+    calls = c.select("case_id", F.lit(0).alias("seq"), "status", F.col("candidate_id").alias("preferred_candidate_id"), F.array("candidate_id").alias("ranking")).limit(0)
+    return workflow.rescued(c, workflow.rescue_plans(c, seen, calls)).select("case_id", "candidate_id", "status")
+
+
 # ------------------------------------------------------------------ shards, identities, frames
 
 
@@ -514,14 +592,14 @@ def frame_alignment(spark, sf_dir):
 
 @query()
 def tokenize_text(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("t"))
+    d = spread_rows(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.tokens("text").alias("t"))
     kinds = F.transform(F.array_distinct(F.transform("t", lambda x: x["kind"])), lambda k: F.concat(k, F.lit("="), F.size(F.filter("t", lambda x: x["kind"] == k)).cast("string")))
     return d.select("doc_id", F.size("t").alias("tokens"), F.array_join(F.sort_array(kinds), ",").alias("kinds"))
 
 
 @query()
 def legacy_tokenize_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(text.legacy_values("text")).alias("tokens"))
+    return spread_rows(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(text.legacy_values("text")).alias("tokens"))
 
 
 def evaluation_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -575,6 +653,39 @@ def tool_argument_faults(spark, sf_dir):
     return tools.argument_faults(e).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
+_EFFECT_TOOL = "CASE event_type WHEN 'view' THEN 'generate_keyframes' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'edit_keyframe' ELSE 'inspect_keyframes' END WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'compare_candidates' ELSE 'finalize_candidate' END ELSE CASE WHEN event_id % 2 = 0 THEN 'extract_frames' ELSE 'inspect_video' END END"
+
+
+@query(f"""
+    WITH k AS (SELECT user_id AS case_id, event_id AS seq, {_EFFECT_TOOL} AS tool, CAST(event_id AS VARCHAR) AS e FROM events WHERE event_id % 7 <> 0),
+         x AS (SELECT case_id, seq, unnest(CASE tool
+            WHEN 'generate_keyframes' THEN [{{'place': 0, 'event': 'add', 'candidate_id': 'img-' || e, 'kind': 'image', 'parent_id': NULL}}, {{'place': 1, 'event': 'add', 'candidate_id': 'img-x' || e, 'kind': 'image', 'parent_id': NULL}}, {{'place': 2, 'event': 'rollback', 'candidate_id': 'old', 'kind': NULL, 'parent_id': NULL}}]
+            WHEN 'edit_keyframe' THEN [{{'place': 0, 'event': 'add', 'candidate_id': 'img-' || e, 'kind': 'image', 'parent_id': 'img-1'}}]
+            WHEN 'inspect_keyframes' THEN [{{'place': 0, 'event': 'observe', 'candidate_id': 'a', 'kind': 'image', 'parent_id': NULL}}, {{'place': 1, 'event': 'observe', 'candidate_id': e, 'kind': 'image', 'parent_id': NULL}}]
+            WHEN 'generate_video' THEN [{{'place': 0, 'event': 'add', 'candidate_id': 'vid-' || e, 'kind': 'video', 'parent_id': CASE WHEN seq % 2 = 0 THEN 'vid-1' ELSE 'k' END}}]
+            WHEN 'inspect_video' THEN [{{'place': 0, 'event': 'observe', 'candidate_id': 'vid-' || e, 'kind': 'video', 'parent_id': NULL}}]
+            WHEN 'compare_candidates' THEN CASE WHEN seq % 3 = 0 THEN [] ELSE [{{'place': 0, 'event': 'prefer', 'candidate_id': e, 'kind': NULL, 'parent_id': NULL}}] END
+            WHEN 'finalize_candidate' THEN [{{'place': 0, 'event': 'finalize', 'candidate_id': 'vid-' || e, 'kind': 'video', 'parent_id': NULL}}, {{'place': 1, 'event': 'rollback', 'candidate_id': 'vid-o', 'kind': NULL, 'parent_id': NULL}}]
+            ELSE [] END) AS r FROM k)
+    SELECT case_id, seq, r.place AS place, r.event AS event, r.candidate_id AS candidate_id, r.kind AS kind, r.parent_id AS parent_id FROM x""")
+def tool_effects(spark, sf_dir):
+    arguments = """CASE tool_name
+        WHEN 'generate_keyframes' THEN '{"parent_id":"","rollback_candidate_ids":["old"]}'
+        WHEN 'edit_keyframe' THEN '{"candidate_id":"img-1"}'
+        WHEN 'inspect_keyframes' THEN concat('{"candidate_ids":["a","', event_id, '"]}')
+        WHEN 'generate_video' THEN CASE WHEN event_id % 2 = 0 THEN '{"keyframe_id":"k","parent_video_id":"vid-1"}' ELSE '{"keyframe_id":"k","rollback_candidate_ids":[]}' END
+        WHEN 'finalize_candidate' THEN concat('{"candidate_id":"vid-', event_id, '","rollback_candidate_ids":["vid-o"]}')
+        ELSE concat('{"candidate_id":"vid-', event_id, '"}') END"""
+    result = """CASE tool_name
+        WHEN 'generate_keyframes' THEN concat('{"candidate_ids":["img-', event_id, '","img-x', event_id, '"]}')
+        WHEN 'edit_keyframe' THEN concat('{"candidate_ids":["img-', event_id, '"]}')
+        WHEN 'generate_video' THEN concat('{"candidate_ids":["vid-', event_id, '"]}')
+        WHEN 'compare_candidates' THEN CASE WHEN event_id % 3 = 0 THEN '{"payload":{"preferred_candidate_id":null}}' ELSE concat('{"payload":{"preferred_candidate_id":"', event_id, '"}}') END END"""
+    e = _t(spark, sf_dir, "events").withColumn("tool_name", F.expr(_EFFECT_TOOL))
+    calls = e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), "tool_name", F.expr(arguments).alias("arguments"), F.expr(result).alias("result"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("complete").alias("status"))
+    return tools.call_effects(calls)
+
+
 @query("SELECT doc_id, starts_with(p, '/data/runs/') AND NOT regexp_matches(p, '(^|/)\\.\\.(/|$)') AND lower(p) LIKE '%.mp4' AS ok FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/data/runs/a/' || doc_id || '.mp4' WHEN 1 THEN '/data/runsx/' || doc_id || '.mp4' WHEN 2 THEN '/data/runs/../' || doc_id || '.mp4' WHEN 3 THEN '/data/runs/' || doc_id || '.MP4' ELSE '/data/runs/' || doc_id || '.mov' END AS p FROM documents)")
 def output_path_containment(spark, sf_dir):
     k, i = F.col("doc_id") % 5, F.col("doc_id").cast("string")
