@@ -1,14 +1,19 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
 
-from textgauge.llm.contamination import FMIndex, contaminated_spans, digest, sha256_of, strip_spans, suffix_array
+from textgauge.llm.contamination import FMIndex, contaminated_spans, digest, strip_spans, suffix_array
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def sha256_of(items):
+    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
 def words(text):
     return WORD.findall("".join(c.lower() if c < "\x80" else c for c in text or ""))
 
@@ -62,6 +67,10 @@ def test_contamination_brute_force(spark, seed):
     assert sorted(map(tuple, digest(spans).collect()), key=key) == want
     blocks = digest(contaminated_spans(d, b, block_bytes=700))
     assert sorted(map(tuple, blocks.collect()), key=key) == want
+    many = digest(contaminated_spans(d.repartition(5), b, block_bytes=120))
+    assert sorted(map(tuple, many.collect()), key=key) == want
+    cut = lambda size: sorted((tuple(r) for r in strip_spans(d, b, block_bytes=size).collect()), key=str)
+    assert cut(1 << 24) == cut(300)
     # what is left of stripped texts holds every word that was not hit
     left = {r.doc_id: r.text for r in strip_spans(d, b).collect() if r.doc_id is not None}
     for (i, n, hit, *_), (_, text) in zip(brute(docs, items), docs, strict=True):
@@ -103,8 +112,29 @@ def test_phrases_beyond_a_shards_alphabet():
     assert (high - low).tolist() == [2, 0, 0, 0, 0]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 24, 200, 20])
 def test_repeated_benchmark_rows(spark, block_bytes):
     b = spark.createDataFrame([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "delta epsilon"), (2, "zeta eta")], "item_id long, text string")
     d = spark.createDataFrame([(5, "x alpha beta gamma delta epsilon y zeta eta")], "doc_id long, text string")
     assert [r["items"] for r in contaminated_spans(d, b, block_bytes=block_bytes).collect()] == [["1", "2"]]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 24, 150])
+def test_repeated_ids_and_rows(spark, block_bytes):
+    """Rows that share an id, a text or both, in the benchmark and the documents."""
+    items = [(1, "one two three four"), (1, "five six seven"), (1, "one two three four"), (2, "one two three four"), (None, "eight nine"), (3, None)]
+    docs = [(7, "x one two three four y")] * 3 + [(7, "five six seven eight nine"), (8, "x one two three four y"), (None, "eight nine"), (9, None)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    got = sorted(map(tuple, digest(contaminated_spans(d, b, block_bytes=block_bytes)).collect()), key=key)
+    assert got == sorted(brute(docs, items), key=key)
+
+
+def test_long_shard(spark):
+    """A document far beyond a shard, with occurrences at both ends."""
+    phrase = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
+    text = f"{phrase} " + "filler words of no kind " * 200_000 + phrase
+    d = spark.createDataFrame([(1, text), (2, "z")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, phrase)], "item_id long, text string")
+    assert [tuple(r)[1:4] for r in digest(contaminated_spans(d, b)).orderBy("doc_id").collect()] == [(1_000_020, 20, 1), (1, 0, 0)]

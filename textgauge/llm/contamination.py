@@ -15,14 +15,12 @@ block by block and the spans of a document are merged afterwards.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_set, byte_table, keyed, pieces, spread, texts, word_hashes, word_runs
+from .common import byte_set, byte_table, join_counted, keyed, pieces, spread, texts, word_hashes, word_runs
 
 U64 = np.uint64
 WINDOW = 10
@@ -242,14 +240,13 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s[at], e[np.append(at[1:] - 1, len(e) - 1)]
 
 
-_SPANS = "row_key bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+_SPANS = "a bigint, z bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
 def _scan(phrases: Phrases):
     def run(batches):
         for b in batches:
-            keys, ids = b.column(0), b.column(1)
-            data, offsets = texts(b.column(2))
+            data, offsets = texts(b.column(3))
             counts, starts, ends, items = [], [], [], []
             for i, j in pieces(offsets, SHARD_BYTES):
                 part = offsets[i : j + 1]
@@ -271,32 +268,52 @@ def _scan(phrases: Phrases):
                     ends.append(e.tolist())
                     items.append(sorted({str(phrases.names[k]) for k in np.unique(item[x:z])}))
             yield pa.RecordBatch.from_arrays(
-                [keys, ids, pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                ["row_key", "doc_id", "n_words", "starts", "ends", "items"],
+                [*b.columns[:3], pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
+                ["a", "z", "doc_id", "n_words", "starts", "ends", "items"],
             )
 
     return run
 
 
-def _merge(starts, ends):
-    """Union of the spans of several blocks (small arrays of one document)."""
-    pairs = sorted(zip(starts, ends, strict=True))
-    out: list[list[int]] = []
-    for s, e in pairs:
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [s for s, _ in out], [e for _, e in out]
+def _join_parts(batches):
+    """Spans and items of a document's blocks as one, repeated for each of its rows."""
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            parts = r.pop("parts")
+            pairs = np.array([p for x in parts for p in zip(x["starts"], x["ends"], strict=True)], np.int64).reshape(-1, 2)
+            s, e = merge_spans(pairs[:, 0], pairs[:, 1])
+            rows.append({**r, "starts": s.tolist(), "ends": e.tolist(), "items": sorted({i for x in parts for i in x["items"]})})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("a", pa.int64()), ("z", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("copies", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """The benchmark's phrases as broadcast blocks of about half of ``block_bytes`` of text.
+    All rows of an item are in one block; rows of one id and text count once."""
+    items = keyed(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, -(-2 * size // block_bytes))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Phrases([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()], window))
 
 
-def _merge_blocks(batches):
-    for b in batches:
-        rows = b.to_pylist()
-        for r in rows:
-            r["starts"], r["ends"] = _merge(r["starts"], r["ends"])
-            r["items"] = sorted(set(r["items"]))
-        yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
+def _text_key() -> tuple:
+    """128 bits that tell a text: rows of one doc_id and text are judged alike."""
+    return F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("z")
+
+
+def _merged(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """One row for each doc_id and text: spans of all blocks, and how many rows it has.
+
+    Rows are told by what they hold, so blocks agree on them however often the
+    documents' plan is evaluated.  Equal parts are combined before the shuffle."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    part = F.struct("starts", "ends", "items")
+    found = every.groupBy("a", "z", "doc_id", "n_words").agg((F.count(F.lit(1)) / len(parts)).cast("bigint").alias("copies"), F.collect_set(part).alias("parts"))
+    return found.mapInArrow(_join_parts, "a bigint, z bigint, doc_id bigint, n_words bigint, copies bigint, starts array<bigint>, ends array<bigint>, items array<string>")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -304,30 +321,21 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A phrase is ``window`` consecutive words of an item, or a whole shorter
     item.  Returns one row per document: doc_id, n_words, starts, ends (merged
-    word spans, ends exclusive), items (ids as strings, sorted).  Null or empty
-    texts have no words; items without words match nothing; equal items count
-    each; an item whose id is null is named ``null``.  Repeated rows are judged
-    alike.  An empty benchmark leaves all clean.  Other columns are ignored.
+    word spans, ends exclusive), items (ids as strings, each once, sorted).  Null
+    or empty texts have no words; items without words match nothing; an item whose
+    id is null is named ``null``.  Repeated rows are judged alike.  An empty
+    benchmark leaves all clean, an empty table gives none.  Other columns are
+    ignored.  The result does not depend on the number of blocks: a larger
+    benchmark is one scan of the documents for each block, whose spans are merged.
     """
-    spark = docs.sparkSession
-    docs = keyed(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = keyed(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes))
-    parts = []
-    for k in range(blocks):
-        # the bound: a block holds about half of block_bytes
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        phrases = Phrases([(r.item_id, r.text) for r in block.orderBy("item_id").collect()], window)
-        sent = spark.sparkContext.broadcast(phrases)
-        parts.append(docs.mapInArrow(lambda it, sent=sent: _scan(sent.value)(it), _SPANS))
+    sent = list(_blocks(benchmark, window, block_bytes))
+    key = _text_key() if len(sent) > 1 else (F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("z"))
+    docs = keyed(docs, "doc_id", "text").select(*key, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = [docs.mapInArrow(lambda it, s=s: _scan(s.value)(it), _SPANS) for s in sent]
     if len(parts) == 1:
-        return parts[0].drop("row_key")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("row_key", "doc_id", "n_words").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"))
-    return merged.select("row_key", "doc_id", "n_words", "starts", "ends", "items").mapInArrow(_merge_blocks, _SPANS).drop("row_key")
+        return parts[0].drop("a", "z")
+    rows = _merged(docs, parts).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return rows.select("doc_id", "n_words", "starts", "ends", "items")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -343,56 +351,91 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
-def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def strip_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every contaminated span cut out of the text.
 
     A removed span runs from its first word's first byte to its last word's last
     byte.  Columns and rows stay, and ``n_chars``, where there is one, follows a
-    changed text; texts without a span are unchanged.
-    """
-    spark = docs.sparkSession
-    items = keyed(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    at = docs.schema.names.index("text")
-    count = docs.schema.names.index("n_chars") if "n_chars" in docs.columns else None
-    blocks = max(1, -(-2 * size // BLOCK_BYTES))
-    sent = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        sent.append(spark.sparkContext.broadcast(Phrases([(r.item_id, r.text) for r in block.orderBy("item_id").collect()], window)))
+    changed text; texts without a span, null and empty ones are unchanged.  Repeated
+    rows are cut alike; an empty benchmark or table changes nothing.
 
-    def run(batches):
+    With one block documents are only scanned.  A larger benchmark is searched
+    block by block; then documents are joined with the merged spans of those that
+    have any, which moves their texts once.
+    """
+    sent = list(_blocks(benchmark, window, block_bytes))
+    names = docs.schema.names
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def changed(b, new):
+        old = b.column(at).to_pylist()
+        if count is not None:
+            chars = [n if x == y else len(y) for n, x, y in zip(b.column(count).to_pylist(), old, new, strict=True)]
+            b = b.set_column(count, b.schema.field(count), pa.array(chars, b.schema.field(count).type))
+        return b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+
+    if len(sent) == 1:
+        block = sent[0]
+
+        def run(batches):
+            for b in batches:
+                yield changed(b, _cut(b.column(at), _occurring(block.value)))
+
+        return docs.mapInArrow(run, docs.schema)
+    own = keyed(docs, "doc_id", "text").select(*_text_key(), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    parts = [own.mapInArrow(lambda it, s=s: _scan(s.value)(it), _SPANS) for s in sent]
+    hits = _merged(own, parts).where("size(starts) > 0").select(F.col("a").alias("__a"), F.col("z").alias("__z"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"), F.col("copies").alias("__copies"))
+    # a text's spans are the same under every doc_id
+    hits = hits.groupBy("__a", "__z").agg(F.first("__starts").alias("__starts"), F.first("__ends").alias("__ends"), F.sum("__copies").alias("__copies"))
+    a, z = _text_key()
+    joined = join_counted(docs.withColumns({"__a": a, "__z": z}), hits, ["__a", "__z"], "__copies", "left").select(*docs.columns, "__starts", "__ends")
+
+    def finish(batches):
         for b in batches:
-            old, new = b.column(at).to_pylist(), _cut(b.column(at), [s.value for s in sent])
-            if count is not None:
-                chars = [n if x == y else len(y) for n, x, y in zip(b.column(count).to_pylist(), old, new, strict=True)]
-                b = b.set_column(count, b.schema.field(count), pa.array(chars, b.schema.field(count).type))
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            starts, ends = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
+            b = b.select(names)
+            yield changed(b, _cut(b.column(at), lambda own, edges, i: _given(starts[i:], ends[i:], edges)))
+
+    return joined.mapInArrow(finish, docs.schema)
+
+
+def _occurring(phrases: Phrases):
+    """For a shard: document, first word and word after the last of each occurrence."""
 
-    return docs.mapInArrow(run, docs.schema)
+    def of(own, edges, _):
+        n_words, doc, word, width, _ = shard_hits(own, edges, phrases)
+        word = word - np.concatenate([[0], np.cumsum(n_words)])[doc]
+        return doc, word, word + width
 
+    return of
 
-def _cut(column, blocks: list[Phrases]) -> list[str | None]:
+
+def _given(starts: list, ends: list, edges: np.ndarray):
+    """The same from spans by document, whose words are numbered within it."""
+    n = len(edges) - 1
+    size = np.array([len(s or ()) for s in starts[:n]], np.int64)
+    flat = [np.array([x for v in side[:n] for x in v or ()], np.int64) for side in (starts, ends)]
+    return np.repeat(np.arange(n), size), *flat
+
+
+def _cut(column, spans) -> list[str | None]:
+    """Texts without the words that ``spans`` tells of each shard."""
     data, offsets = texts(column)
     out = column.to_pylist()
     for i, j in pieces(offsets, SHARD_BYTES):
         part = offsets[i : j + 1]
         own, at = data[part[0] : part[-1]], part - part[0]
-        hits = [shard_hits(own, at, p) for p in blocks]
-        doc, word, width = (np.concatenate([h[k] for h in hits]) for k in (1, 2, 3))
+        doc, first, last = spans(own, at, i)
         if not len(doc):
             continue
-        start, end, _ = word_runs(own, at, _INSIDE)
+        start, end, base = word_runs(own, at, _INSIDE)
         for d in np.unique(doc):
-            s, e = merge_spans(word[doc == d], (word + width)[doc == d])
-            kept, last = [], int(at[d])
+            s, e = merge_spans(first[doc == d] + base[d], last[doc == d] + base[d])
+            kept, done = [], int(at[d])
             for x, z in zip(start[s], end[e - 1], strict=True):
-                kept.append(own[last:x].tobytes())
-                last = int(z)
-            kept.append(own[last : at[d + 1]].tobytes())
+                kept.append(own[done:x].tobytes())
+                done = int(z)
+            kept.append(own[done : at[d + 1]].tobytes())
             out[i + int(d)] = b"".join(kept).decode("utf-8")
     return out
 
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
