@@ -1,9 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
 from textgauge.llm import language, toxicity
-from textgauge.llm.toxicity import GRAMMAR, INSULT, NEGATION, NEGATED, OTHER, REPORT, REPORTED, TARGET, TARGETED, THREAT, Lexicon
+from textgauge.llm.toxicity import AIMED, BACK, BOUNDARY, CUES, INSULT, NEGATED, NEGATION, ONWARD, OTHER, REPORT, REPORTED, TARGET, THREAT, Lexicon
 from textgauge.llm.url_filter import Rule, judge_urls, site_rule
 
 PARTS = {"aa": "the of and ing er on th".split(), "bb": "el la de ción es en co".split(), "cc": "der und ung sch ein ie".split()}
@@ -32,34 +34,112 @@ def test_language(spark):
     assert language.identify(d.limit(0), d).count() == 0
 
 
-def test_grammar_composition():
+def marks_by_looking_around(kinds):
+    """Marks of each insult and threat, from the cues around it."""
+    out = []
+    for i, k in enumerate(kinds):
+        marks = 0
+        if k in (INSULT, THREAT):
+            for mark, (cue, onward, behind, stops) in CUES.items():
+                for side, reach in ((kinds[:i][::-1], onward), (kinds[i + 1 :], behind)):
+                    if stops and BOUNDARY in side:
+                        side = side[: side.index(BOUNDARY)]
+                    marks |= mark * (cue in [x for x in side if x != BOUNDARY][:reach])
+        out.append(marks)
+    return out
+
+
+def test_grammar_against_looking_around():
     rng = random.Random(1)
-    for _ in range(300):
-        s = [rng.choice([OTHER, OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT]) for _ in range(rng.randint(1, 15))]
-
-        # the three machines, one after another
-        factors, symbols = [0.0] * len(s), list(s)
-        for machine in (TARGETED, NEGATED, REPORTED):
-            state, out = 0, []
-            for i, x in enumerate(symbols):
-                state, y, f = machine.arcs[state][x]
-                factors[i] += f
-                out.append(y)
-            symbols = out
-        want = sum(2.0 * 2.718281828459045 ** factors[i] for i in range(len(s)) if symbols[i] in (INSULT, THREAT))
-        assert GRAMMAR.read(s, [2.0] * len(s)) == pytest.approx(want)
+    kinds = [OTHER, OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY]
+    for _ in range(500):
+        s = [rng.choice(kinds) for _ in range(rng.randint(1, 20))]
+        back = BACK.read(s[::-1])[0][::-1]
+        read = ONWARD.read(back)[0]
+        assert [x % toxicity.SYMBOLS for x in read] == s
+        assert [x // toxicity.SYMBOLS for x in read] == marks_by_looking_around(s)
+        factors = {"bare": 0.5, "aimed": 1.0, "threat": 2.0, "negated": 0.25, "reported": 0.125}
+        out, logs = ONWARD.compose(toxicity.weigher(factors)).read(back)
+        for k, marks, x, f in zip(s, marks_by_looking_around(s), out, logs, strict=True):
+            match = k == INSULT or (k == THREAT and marks & AIMED and not marks & NEGATED)
+            want = (2.0 if k == THREAT else 1.0 if marks & AIMED else 0.5) * (0.25 if marks & NEGATED else 1) * (0.125 if marks & REPORTED else 1)
+            assert (x % toxicity.SYMBOLS in (INSULT, THREAT)) == bool(match)
+            assert not match or math.exp(f) == pytest.approx(want)
+
+
+def test_composition_is_one_after_another():
+    rng = random.Random(2)
+    for _ in range(200):
+        s = [rng.randrange(toxicity.SYMBOLS) for _ in range(rng.randint(1, 15))]
+        out = s
+        for mark, (cue, onward, _, stops) in CUES.items():
+            out = toxicity.marker(mark, cue, onward, stops).read(out)[0]
+        assert ONWARD.read(s)[0] == out
 
 
 def test_clauses_not_words():
     lex = Lexicon({"moron$": 5.0, "vequ": 4.0})
-    plain, aimed = lex.clauses("a moron here")[0], lex.clauses("you moron here")[0]
-    assert aimed > plain > lex.clauses("this is surely not a moron")[0]
-    assert lex.clauses("she said that some are a moron")[0] < aimed
-    assert lex.clauses("they would never kill anyone") == []
+    bare, aimed = lex.clauses("a moron here")[0], lex.clauses("you moron here")[0]
+    mentioned, threat = lex.clauses("the word moron is from greek")[0], lex.clauses("I will kill you")[0]
+    assert aimed > bare > mentioned and threat > 2.0
+    assert lex.clauses("moron like you")[0] == aimed and lex.clauses("this is surely not a moron")[0] < bare
+    assert lex.clauses("you moron, she said")[0] < aimed and lex.clauses("she said that some are a moron")[0] < bare
+    # a threat needs a target, in its own clause
+    assert lex.clauses("they would never kill anyone today or ever") == [] == lex.clauses("kill time, you said")
     assert lex.clauses("I will kill it") != []
     assert len(lex.clauses("moron. fine words! VEQUer, moron")) == 3
     assert lex.clauses("moronic words") == [] and lex.clauses("") == lex.clauses(None) == []
     assert lex.clauses("unvequ oxymoron") == []
+    long = "fine day here, " * 100_000 + "you moron"
+    assert lex.clauses(long) == [aimed]
+
+
+def test_factors_are_learned():
+    """Toxic documents call somebody something, clean ones discuss the word."""
+    rng = random.Random(3)
+    lex, texts, labels = Lexicon({"moron$": 5.0}), [], []
+    for _ in range(600):
+        toxic = rng.random() < 0.5
+        texts.append(" ".join(rng.choice("fine old red house".split()) for _ in range(20)) + (". a moron here" if toxic else ". she said the word moron"))
+        labels.append(float(toxic))
+    frames = np.array([lex.frames(t) for t in texts])
+    factors, w = toxicity.learn_factors(frames, np.array([float(len(t)) for t in texts]), np.array(labels), np.ones(600))
+    assert factors["reported"] < factors["bare"]
+    model = toxicity.Model({"moron$": 5.0}, factors, w.tolist())
+    judge = toxicity.Scorer(model)
+    assert all((judge(t)[0] >= 0.5) == bool(y) for t, y in zip(texts, labels, strict=True))
+
+
+def test_labels_without_a_second_kind(spark):
+    d = spark.createDataFrame([(1, "fine words"), (2, "you moron"), (3, None), (4, "")], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    model = toxicity.train(d, y)
+    assert model.stems == {} and {r.doc_id: r.predicted for r in toxicity.score(d, model).collect()}[3] == 0
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(d, model).collect()) in ([1, 3, 4], [1, 2, 3, 4])
+    assert toxicity.drop_toxic(d.limit(0), model).count() == 0
+    assert toxicity.train(d.limit(0), y.limit(0)).stems == {}
+
+
+def test_a_language_of_long_texts_only(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, "aa", 30), "aa") for i in range(40)] + [(100 + i, prose(rng, "bb", 5000), "bb") for i in range(20)]
+    # and one that is mostly copies of one short text
+    rows += [(1000 + i, prose(rng, "cc", 4), "cc") for i in range(30)] + [(2000 + i, "die und der", "cc") for i in range(20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, g in rows if g == "bb") > language.SAMPLE_BYTES
+    assert set(language.learn(d)) == {"aa", "bb", "cc"}
+    got = {r.doc_id: r.lang_pred for r in language.identify(d.where("doc_id < 1010"), d).collect()}
+    assert all(got[i] == g for i, _, g in rows if i < 1010)
+
+
+def test_narrow_margins_are_not_accepted(spark):
+    """Two labels for the same texts: a tie, which the more frequent label takes."""
+    rng = random.Random(6)
+    texts = [prose(rng, "aa", 40) for _ in range(20)]
+    rows = [(i, t, "one") for i, t in enumerate(texts)] + [(100 + i, t, "two") for i, t in enumerate(texts)] + [(200, texts[0], "one")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(d, d).collect()
+    assert {(r.lang_pred, r.accepted) for r in got} == {("one", False)} and all(r.score == 0.5 for r in got)
 
 
 def test_toxicity_learns(spark):
