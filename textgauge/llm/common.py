@@ -33,10 +33,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a temporary one only where none is named."""
+    """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A local master may do without and has a temporary one; on a cluster a folder of
+    one machine is read by no other, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
@@ -70,12 +76,14 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, h
     return left.join(few, on).unionByName(rest)
 
 
-def draw_distinct(labelled: DataFrame, label: str, seed: int, most: int) -> tuple[dict[str, int], DataFrame]:
+def draw_distinct(labelled: DataFrame, label: str, seed: int, most: int, chars: int) -> tuple[dict[str, int], DataFrame]:
     """Rows by label, most frequent first, and a sample (label, text, h) of about ``most``
     different texts of each label, or all where it has no more.
 
     The draw is by a hash of the text, and its rate follows the different texts of
     a label, which are told by hashes, so a label of many copies keeps its sample.
+    Of a text of more bytes than ``chars`` an excerpt of as many characters stands
+    for it, from a place that its hash tells, so a label of long texts keeps its too.
     """
     hashed = labelled.select(label, "text", F.xxhash64("text", F.lit(seed)).alias("__x"))
     sizes = materialize(hashed.groupBy(label, "__x").agg(F.count(F.lit(1)).alias("n")).groupBy(label).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")))
@@ -83,7 +91,9 @@ def draw_distinct(labelled: DataFrame, label: str, seed: int, most: int) -> tupl
     share = sizes.select(label, F.least(F.lit(1.0), F.lit(float(most)) / F.col("texts")).alias("share"))
     h = F.pmod(F.col("__x"), F.lit(1 << 40))
     drawn = hashed.join(F.broadcast(share), label).where(h < F.col("share") * F.lit(float(1 << 40)))
-    return counts, drawn.select(label, "text", h.alias("h")).distinct()
+    start = F.pmod(F.shiftright("__x", 9), F.greatest(F.lit(1), F.length("text") - F.lit(chars - 1))).cast("int") + 1
+    excerpt = F.when(F.octet_length("text") > chars, F.substring("text", start, F.lit(chars))).otherwise(F.col("text"))
+    return counts, drawn.select(label, excerpt.alias("text"), h.alias("h")).distinct()
 
 
 # ---------------------------------------------------------------- bytes

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.sources.layout import spread_rows
+
 from .common import byte_set, byte_table, join_counted, keyed, pieces, spread, texts, word_hashes, word_runs
 
 U64 = np.uint64
@@ -330,7 +332,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     sent = list(_blocks(benchmark, window, block_bytes))
     key = _text_key() if len(sent) > 1 else (F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("z"))
-    docs = keyed(docs, "doc_id", "text").select(*key, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread_rows(keyed(docs, "doc_id", "text")).select(*key, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     parts = [docs.mapInArrow(lambda it, s=s: _scan(s.value)(it), _SPANS) for s in sent]
     if len(parts) == 1:
         return parts[0].drop("a", "z")

@@ -17,9 +17,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.sources.layout import spread_rows
+
 from .common import draw_distinct, keyed
 
-#: Bounds of the labelled sample: documents of each language, bytes of a sampled document.
+#: Bounds of the labelled sample: documents of each language, and the bytes beyond which an
+#: excerpt of as many characters stands for a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 256, 16384
 DICTIONARY_BYTES = 112 << 10
 SEGMENT = 1024
@@ -76,12 +79,14 @@ class Dictionaries:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary content by language from a bounded sample of labelled documents.
 
-    Every label counts.  Of each, about twice ``SAMPLE_DOCS`` different texts of at
-    most ``SAMPLE_BYTES`` are drawn by their hash, so the draw is the same for any
-    partitioning and however often a text is repeated.
+    Every label with a text that has a letter counts.  Of each, about twice
+    ``SAMPLE_DOCS`` different texts are drawn by their hash, so the draw is the same
+    for any partitioning and however often a text is repeated; of texts beyond
+    ``SAMPLE_BYTES`` an excerpt is taken.  Null labels, the label ``und``, and null,
+    empty and letterless texts teach nothing.
     """
-    usable = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & (F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", "text")
-    counts, drawn = draw_distinct(usable, "lang", 17, 2 * SAMPLE_DOCS)
+    usable = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    counts, drawn = draw_distinct(usable, "lang", 17, 2 * SAMPLE_DOCS, SAMPLE_BYTES)
     out: dict[str, bytes] = {}
     for row in drawn.orderBy("lang", "h", "text").toLocalIterator():
         body = out.get(row.lang, b"")
@@ -111,4 +116,4 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.array(scores, float)), pa.array(accepted, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")
+    return spread_rows(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, accepted boolean")

@@ -19,9 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textgauge.sources.layout import spread_rows
+
 from .common import byte_set, draw_distinct, keyed, materialize, pieces, texts, word_runs
 
-#: Bounds of the labelled sample: documents of each domain, bytes of a sampled document.
+#: Bounds of the labelled sample: documents of each domain, and the bytes beyond which an
+#: excerpt of as many characters stands for a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 16384
 CELLS = 8192
 #: Pull of the rates towards one, against errors relative to the targets; it is lessened
@@ -72,9 +75,11 @@ class Domains:
 
 def learn_domains(labelled: DataFrame) -> Domains:
     """Train on a bounded sample of rows with a non-null ``domain``, drawn by a hash
-    of their texts: of every domain about ``SAMPLE_DOCS`` different texts."""
-    usable = labelled.where(F.col("domain").isNotNull() & (F.octet_length("text") > 2) & (F.octet_length("text") <= SAMPLE_BYTES))
-    counts, drawn = draw_distinct(usable, "domain", 31, SAMPLE_DOCS)
+    of their texts: of every domain about ``SAMPLE_DOCS`` different texts, of long
+    ones an excerpt.  Null domains and texts under three bytes teach nothing; repeated
+    rows count for the domains' shares only."""
+    usable = labelled.where(F.col("domain").isNotNull() & (F.octet_length("text") > 2))
+    counts, drawn = draw_distinct(usable, "domain", 31, SAMPLE_DOCS, SAMPLE_BYTES)
     names = sorted(counts)
     if not names:
         return Domains(["all"], np.zeros((CELLS, 1)), np.zeros(1), 1.0)
@@ -148,7 +153,7 @@ def _membership(docs: DataFrame, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), post, pa.array([model.names] * rows, pa.list_(pa.string()))], ["doc_id", "n_tokens", "posterior", "domains"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(keyed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>, domains array<string>"))
+    return materialize(spread_rows(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>, domains array<string>"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -252,7 +257,9 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 1.0, smoothing: float = 0.7) -> DataFrame:
     """The documents in their mixture: each row as often as its rate says, a
     fraction being decided by a hash of its id and text.  Columns stay; with a
-    floor of one or more every row is there at least once."""
+    floor of one or more every row is there at least once.  Null and empty texts
+    have the rate of the prior; rows that repeat are repeated alike; an empty table
+    stays empty, and with nothing labelled all rows stay once."""
     model = docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain")))
     fit = solve(_membership(docs, model), weights, floor, smoothing)
     at, key = docs.schema.names.index("text"), docs.schema.names.index("doc_id")

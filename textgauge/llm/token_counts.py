@@ -20,6 +20,8 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textgauge.sources.layout import spread_rows
+
 from .common import keyed
 
 SPACE = "▁"
@@ -139,4 +141,4 @@ def token_counts(docs: DataFrame, pieces: dict[str, float] | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.int64())], ["doc_id", "n_tokens", "n_pretokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_pretokens bigint")
+    return spread_rows(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_pretokens bigint")
