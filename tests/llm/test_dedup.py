@@ -41,7 +41,7 @@ def test_exact_dedup_edges(spark):
     assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
     assert exact_dedup(frame(spark, [])).count() == 0
     # a Bloom filter that lets everything through changes nothing
-    again = exact_dedup(frame(spark, [(*r, "a", "b") for r in rows]), bloom_bytes=1).collect()
+    again = exact_dedup(frame(spark, [(*r, "a", "b") for r in rows]), filter_bytes=1).collect()
     assert sorted(map(tuple, again), key=key) == sorted(want, key=key)
 
 
@@ -106,3 +106,28 @@ def test_repeated_spans_brute_force(spark, seed):
 
 def test_repeated_spans_empty(spark):
     assert repeated_spans(frame(spark, [])).count() == 0
+
+
+def test_sizes_follow_the_bytes(spark):
+    from textgauge.llm.common import BUCKET_BYTES, OWNER_BYTES, exchange_sizes
+
+    assert exchange_sizes(spark, 0, None, None) == (16, 2)
+    assert exchange_sizes(spark, 10**12, None, None) == (-(-(10**12) // BUCKET_BYTES), -(-(10**12) // OWNER_BYTES))
+    assert exchange_sizes(spark, 10**12, 3, 5) == (3, 5)
+
+
+def test_filter_holds_every_suspect(spark):
+    import hashlib
+
+    from textgauge.llm.exact_dedup import _filter, _fingerprint, _probes
+
+    digests = [hashlib.sha256(str(k).encode()).digest() for k in range(3000)]
+    df = spark.createDataFrame([(d.hex(),) for d in digests * 2], "text_sha256 string")
+    for most in (1, 100, 1 << 20):
+        at = _filter(df, most)
+        p = _probes(np.array([_fingerprint(d) for d in digests], np.uint64), len(at) * 8)
+        assert ((at[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all()
+        assert len(at) <= max(most, 128)
+    other = np.array([_fingerprint(hashlib.sha256(f"x{k}".encode()).digest()) for k in range(20000)], np.uint64)
+    p = _probes(other, len(at) * 8)
+    assert ((at[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1).mean() < 0.01

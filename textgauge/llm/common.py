@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text worked on at once in a Python worker; a longer document is a piece of its own.
 PIECE_BYTES = 256 << 10
+#: Bytes of text of a bucket, on the mean, and bytes of text whose hashes an owner has.
+BUCKET_BYTES, OWNER_BYTES = 16 << 20, 128 << 20
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -32,6 +34,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def exchange_sizes(spark: SparkSession, text_bytes: int, buckets: int | None, owners: int | None) -> tuple[int, int]:
+    """Numbers of document buckets and hash owners for so many bytes of text.
+
+    Both follow the shuffle partitions, so that every core has work, and where
+    these are few they follow the bytes, so that a bucket has about ``BUCKET_BYTES``
+    of text and an owner the hashes of about ``OWNER_BYTES``: what a Python worker
+    holds does not grow with the input.
+    """
+    n = partitions(spark)
+    return buckets or max(4 * n, -(-text_bytes // BUCKET_BYTES)), owners or max(1, n // 2, -(-text_bytes // OWNER_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -137,9 +151,8 @@ def _ladder(base: int, step: int, n: int) -> np.ndarray:
 class _Powers:
     """Powers of the base and of its inverse modulo 2**64, as products of two short tables."""
 
-    def __init__(self):
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        self.bases = int(_BASE), inverse
+    def __init__(self, base: int = int(_BASE)):
+        self.bases = base, pow(base, -1, 1 << 64)
         self.low = [_ladder(b, 1, _LOW) for b in self.bases]
         self.high = [_ladder(b, _LOW, 1024) for b in self.bases]
 
@@ -158,26 +171,29 @@ class _Powers:
 
 
 POWERS = _Powers()
+#: Another base, for a second hash that is independent of the first.
+POWERS2 = _Powers(0xD6E8FEB86659FD93 | 1)
 
 
 class PrefixHash:
     """Prefix polynomial hashes of a byte array; ``of`` hashes many substrings at once."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray):
-        POWERS.reach(len(data) + 1)
+    def __init__(self, data: np.ndarray, values: np.ndarray, powers: _Powers = POWERS):
+        self.powers = powers
+        powers.reach(len(data) + 1)
         self.h = np.zeros(len(data) + 1, U64)
         step = 64 * _LOW
         for i in range(0, len(data), step):
             part = data[i : i + step]
-            up = POWERS.up(len(part))
+            up = powers.up(len(part))
             if i:
-                up *= U64(pow(int(_BASE), i, 1 << 64))
+                up *= U64(pow(powers.bases[0], i, 1 << 64))
             up *= values[part]
             np.cumsum(up, out=self.h[i + 1 : i + 1 + len(part)])
             self.h[i + 1 : i + 1 + len(part)] += self.h[i]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.h[end] - self.h[start]) * POWERS.down(start)
+        return (self.h[end] - self.h[start]) * self.powers.down(start)
 
 
 def release() -> None:

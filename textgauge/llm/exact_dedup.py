@@ -9,9 +9,12 @@
 
 Hot texts: a fingerprint travels once per partition, and equal suspect texts are
 combined in each partition before the shuffle, so copies of one text never meet
-in one task.  The driver sees only a Bloom filter of at most ``BLOOM_BYTES``,
-which keeps texts without a suspect id from the shuffle; what it lets through
-by chance forms groups of one and changes nothing.
+in one task.  The bitmaps say which fingerprints are suspect; a Bloom filter of
+these, two bytes for each repeated text however many copies it has, tells the scan
+which texts to shuffle.  It has at most ``FILTER_BYTES``, enough for 134 million
+repeated texts; with four times as many one text in six passes by chance, and with
+ever more the shuffle nears that of all texts.  What passes by chance forms groups
+of one and changes nothing, so the bound costs work and never results.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .common import join_counted, keyed, materialize, mix, partitions
 from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
 
 U64 = np.uint64
-BLOOM_BYTES = 16 << 20
+FILTER_BYTES = 256 << 20
 _PROBES = 4
 
 
@@ -101,39 +104,46 @@ def _verdicts(batches):
             )
 
 
-def _probes(ids: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(ids.astype(np.int64).view(U64) + U64(0x51ED270B))
+def _probes(prints: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(prints + U64(0x51ED270B))
     step = mix(h) | U64(1)
     return ((h[:, None] + step[:, None] * np.arange(_PROBES, dtype=U64)[None, :]) % U64(bits)).astype(np.int64)
 
 
-def _bloom(suspects: DataFrame, cap_bytes: int) -> np.ndarray:
-    """A Bloom filter of the suspect ids: 16 bits each, never more than ``cap_bytes``."""
-    n = suspects.count()
-    bits = int(min(cap_bytes * 8, max(1024, 16 * n)) + 7) // 8 * 8
+#: Bits of the filter that one task puts together.
+_PART = 1 << 23
 
-    def partial(batches):
-        seen = np.zeros(bits, bool)
-        for b in batches:
-            ids = np.array([i for i in b.column(0).to_pylist() if i is not None], np.int64)
-            seen[_probes(ids, bits).ravel()] = True
-        at = np.packbits(seen)
-        for k in range(0, len(at), 1 << 20):
-            if at[k : k + (1 << 20)].any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k >> 20], pa.int32()), "bits": pa.array([at[k : k + (1 << 20)].tobytes()], pa.binary())})
 
-    def union(key, t):
-        rows = [np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+def _filter(suspects: DataFrame, most: int) -> np.ndarray:
+    """A Bloom filter of the suspects' fingerprints: 16 bits each, never more than ``most`` bytes.
+
+    Positions go to the task that has their part of the filter, so no task holds more
+    than a part and the driver only the whole."""
+    own = materialize(suspects.select("text_sha256").distinct())
+    bits = int(min(most * 8, max(1024, 16 * own.count())) + 7) // 8 * 8
+
+    def positions(batches):
+        for b in batches:
+            prints = np.array([_fingerprint(bytes.fromhex(x[:16])) for x in b.column(0).to_pylist()], U64)
+            p = np.unique(_probes(prints, bits))
+            cut = np.searchsorted(p, np.arange(0, bits + _PART, _PART))
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "bits": pa.array([(p[cut[k] : cut[k + 1]] - k * _PART).astype(np.uint32).tobytes() for k in some], pa.binary())})
+
+    def put_together(key, t):
+        seen = np.zeros(_PART, bool)
+        for x in t.column("bits").to_pylist():
+            seen[np.frombuffer(x, np.uint32)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen).tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in suspects.select("doc_id").mapInArrow(partial, "part int, bits binary").groupBy("part").applyInArrow(union, "part int, bits binary").collect():
-        b = np.frombuffer(bytes(row.bits), np.uint8)
-        out[row.part << 20 : (row.part << 20) + len(b)] = b
+    for row in own.mapInArrow(positions, "part int, bits binary").groupBy("part").applyInArrow(put_together, "part int, bits binary").toLocalIterator():
+        at = row.part * (_PART // 8)
+        out[at : at + _PART // 8] = np.frombuffer(bytes(row.bits), np.uint8)[: len(out) - at]
     return out
 
 
-def exact_dedup(docs: DataFrame, owners: int | None = None, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, owners: int | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Group documents whose texts are equal after lower-casing A-Z only.
 
     Takes ``doc_id`` (integer) and ``text``; other columns are ignored.  Returns
@@ -150,19 +160,17 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, bloom_bytes: int = B
     bitmaps = ledger.select("owner", "sender", "blob").groupBy("owner").applyInArrow(_owner, "owner int, sender int, bits binary")
     rows = materialize(ledger.drop("blob").join(bitmaps, ["owner", "sender"]).mapInArrow(_verdicts, "doc_id bigint, text_sha256 string, suspect boolean"))
     suspects = rows.where("suspect")
-    bloom = spark.sparkContext.broadcast(_bloom(suspects, bloom_bytes))
+    bloom = spark.sparkContext.broadcast(_filter(suspects, filter_bytes))
 
     def claims(batches):
         at = bloom.value
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            null = np.asarray(b.column(0).is_null())
-            p = _probes(np.where(null, 0, ids).astype(np.int64), len(at) * 8)
-            hit = np.flatnonzero(((at[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1) | null)
+            norm = [_normal(t) for t in b.column(1).to_pylist()]
+            prints = np.array([_fingerprint(hashlib.sha256(t).digest()) for t in norm], U64)
+            p = _probes(prints, len(at) * 8)
+            hit = np.flatnonzero(((at[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1))
             if len(hit):
-                some = b.take(pa.array(hit))
-                norm = [_normal(t) for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "norm": pa.array(norm, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(hit)), "norm": pa.array([norm[k] for k in hit], pa.binary())})
 
     texts = docs.mapInArrow(claims, "doc_id bigint, norm binary")
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -12,7 +12,9 @@ Documents are dealt to buckets by id.  Inside a bucket:
   are compared by binary search for their common extension on prefix polynomial
   hashes; neighbours that compare equal are verified byte by byte.
 * Second exchange: each class of equal strings sends a 128-bit digest and its
-  first place, and learns whether an earlier place exists in another bucket.
+  first place, and learns whether an earlier place exists in another bucket.  Single
+  windows whose contexts differ go out likewise, by two polynomial hashes of
+  different bases and byte values.
 
 Hot strings: a bucket sends each hash or class once, so an owner sees it at most
 once per bucket, and strings in many contexts are spread by their own digests.
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, PrefixHash, byte_table, keyed, mix, partitions, pieces, release, spread, texts
+from .common import POWERS, POWERS2, PrefixHash, byte_table, exchange_sizes, keyed, mix, pieces, release, spread, texts
 from .exchange import owner_cuts, pack, unpack
 
 U64 = np.uint64
 WINDOW, GRAM = 100, 50
 _VALUES = byte_table()
+#: Byte values of the second hash, whose base is another one too.
+_VALUES2 = mix(byte_table() ^ U64(0x5851F42D4C957F2D))
 #: A null doc_id is later than any other.
 _LAST = np.iinfo(np.int64).max
 
@@ -244,7 +248,7 @@ class _Bucket:
 
 
 def _records(bucket: int, owners: int, keys, extra, docs, ids):
-    """Blobs of (64 + 16 bit key, first document) for each owner; keys ascend."""
+    """Blobs of (128 bit key, first document) for each owner; the keys' first halves ascend."""
     cuts = owner_cuts(keys, owners)
     for k in range(owners):
         x, z = cuts[k], cuts[k + 1]
@@ -263,7 +267,7 @@ def _settle(key, rows):
         table = np.frombuffer(d, np.int64)
         source.append(s)
         keys.append(np.frombuffer(a, U64))
-        extra.append(np.frombuffer(b, np.uint16))
+        extra.append(np.frombuffer(b, U64))
         docs.append(table[np.frombuffer(c, np.uint16 if len(table) < 65536 else np.uint32)])
     size = np.array([len(k) for k in keys])
     k, e, d, s = np.concatenate(keys), np.concatenate(extra), np.concatenate(docs), np.repeat(source, size)
@@ -362,7 +366,7 @@ def _send_contexts(owners: int):
         heads = sorted_at[new]
         digests = [xxhash.xxh3_128_intdigest(b.data[s : s + n]) for s, n in zip(begin[heads], length[heads], strict=True)]
         keys = np.array([x & 0xFFFFFFFFFFFFFFFF for x in digests], U64)
-        extra = np.array([x >> 112 for x in digests], np.uint16)
+        extra = np.array([x >> 64 for x in digests], U64)
         by_key = np.argsort(keys, kind="stable")
         place = np.empty(len(by_key), np.int32)
         place[by_key] = np.arange(len(by_key))
@@ -401,7 +405,7 @@ def _windows_of(b: _Bucket, begin: np.ndarray, windows: np.ndarray):
     """Window starts with their keys; sorted distinct keys with their first place."""
     at = np.sort(spread(begin, windows))
     h = mix(PrefixHash(b.data, _VALUES).of(at, at + WINDOW))
-    x = (mix(PrefixHash(b.data, _VALUES[::-1].copy()).of(at, at + WINDOW)) >> U64(48)).astype(np.uint16)
+    x = mix(PrefixHash(b.data, _VALUES2, POWERS2).of(at, at + WINDOW))
     order = np.lexsort((x, h))
     new = np.ones(len(order), bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]) | (x[order[1:]] != x[order[:-1]])
@@ -500,9 +504,9 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | No
     have no runs.  A run may begin or end inside a multi-byte character, as the
     rule is about bytes.  Other columns are ignored.
     """
-    n = partitions(docs.sparkSession)
-    buckets, owners = buckets or 4 * n, owners or max(1, n // 2)
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if buckets is None or owners is None else 0
+    buckets, owners = exchange_sizes(docs.sparkSession, int(size), buckets, owners)
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     docs = docs.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
     dealt = docs.groupBy("bucket")
