@@ -6,7 +6,7 @@ import pytest
 
 from textgauge.llm.common import join_counted
 from textgauge.llm.components import components
-from textgauge.llm.ngram_join import apart, near_duplicates
+from textgauge.llm.ngram_join import apart, near_duplicates, near_pairs
 
 
 def shingles(text, width):
@@ -88,3 +88,40 @@ def test_join_counted_broadcasts_hot_keys(spark):
         want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
         assert sorted(map(tuple, join_counted(left, right, ["k"], "n", how, least=5).select("k", "v", "n", "w").collect()), key=str) == want
         assert sorted(map(tuple, join_counted(left, right, ["k"], "n", how).select("k", "v", "n", "w").collect()), key=str) == want
+
+
+@pytest.mark.parametrize("seed,size", [(5, 30), (6, 700)])
+def test_pairs_brute_force(spark, seed, size):
+    """Every link between different sets; the larger size has over RECENT postings in a document."""
+    rng = random.Random(seed)
+    bases = [[f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(size // 2, size))] for _ in range(4)]
+    rows = []
+    for i in range(70):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, max(2, size // 30))):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 4000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[3][1]), (201, None), (202, ""), (None, rows[4][1])]
+    links, members = near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60)
+    rep = {r.doc_id: r.rep for r in members.collect() if r.doc_id is not None}
+    sets = {i: shingles(t, 3) for i, t in rows if i is not None}
+    assert rep[200] == 3 and rep[201] is None and rep[202] is None
+    want = set()
+    for i in sets:
+        for j in sets:
+            if i < j and rep[i] == i and rep[j] == j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]) > 0:
+                want.add((i, j))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 50
+
+
+def test_frequent_words_and_lists(spark):
+    """A template that a third of all rows share, in lists of documents of mixed lengths."""
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(120)]
+    rows = [(i, " ".join(template + [f"x{rng.randint(0, 10**6)}" for _ in range(rng.choice([5, 40, 90]))])) for i in range(120)]
+    rows += [(200 + i, " ".join(f"y{rng.randint(0, 300)}" for _ in range(60))) for i in range(120)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).drop("n_same").collect()
+    key = lambda r: r[0]
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 4, 85), key=key)

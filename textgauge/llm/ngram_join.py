@@ -24,7 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_set, byte_table, join_counted, keyed, materialize, mix, partitions, pieces, texts, word_hashes, word_runs
+from textgauge.sources.layout import spread_rows
+
+from .common import byte_set, byte_table, exchange_sizes, join_counted, keyed, materialize, mix, pieces, texts, word_hashes, word_runs
 from .components import components
 from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
 
@@ -71,11 +73,12 @@ def _print(s: np.ndarray) -> tuple[int, int]:
 def _profile(width: int):
     def run(batches):
         for b in batches:
-            sets = shingle_sets(*texts(b.column(1)), width)
+            data, offsets = texts(b.column(1))
+            sets = shingle_sets(data, offsets, width)
             prints = [_print(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64())],
-                ["doc_id", "n", "f1", "f2"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array(np.diff(offsets))],
+                ["doc_id", "n", "f1", "f2", "size"],
             )
 
     return run
@@ -242,26 +245,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int | None = None, owners: int | None = None) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard of percent/100 or more.
-
-    Words are runs of bytes other than space and \\t to \\r, after lower-casing
-    A-Z.  Returns one row per input row: doc_id, n_shingles, component_id (the
-    least doc_id reachable by links), n_same (rows with the same set).  Null,
-    empty and blank texts have no shingles and link with nothing.  Rows that
-    share a doc_id are one node.  A null doc_id is linked with nothing and has a
-    null component.  Other columns are ignored; an empty table gives none.
-    """
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    buckets, owners = buckets or 4 * parts, owners or max(1, parts // 2)
+def _index(docs: DataFrame, width: int, percent: int, buckets: int | None, owners: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class (doc_id, n, f1, rep, n_same), prefixes of the classes'
+    representatives as postings (token, doc_id, n, p, e), and their ordered sets."""
     if width > len(_STEP):
         raise ValueError(f"width: at most {len(_STEP)} words")
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    profile = materialize(docs.mapInArrow(_profile(width), "doc_id bigint, n bigint, f1 bigint, f2 bigint"))
-    total = profile.agg(F.sum("n")).first()[0] or 0
+    profile = materialize(spread_rows(docs).mapInArrow(_profile(width), "doc_id bigint, n bigint, f1 bigint, f2 bigint, size bigint"))
+    total, size = profile.agg(F.sum("n"), F.sum("size")).first()
+    buckets, owners = exchange_sizes(docs.sparkSession, size or 0, buckets, owners)
     # a hash is cut to so many bits that one in some thousands meets another by chance, which costs time only
-    drop = max(0, 64 - max(32, total.bit_length() + 13))
+    drop = max(0, 64 - max(32, (total or 0).bit_length() + 13))
     usable = profile.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     members = materialize(join_counted(profile, classes, ["f1", "f2", "n"], "n_same", "left").select("doc_id", "n", "f1", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "n_same"))
@@ -272,9 +266,58 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     levels = counts.groupBy("target").applyInArrow(_levels, _BLOB)
     rows = levels.unionByName(reps, allowMissingColumns=True)
     indexed = materialize(dealt.cogroup(rows.groupBy("target")).applyInArrow(_prefixes(width, owners, drop, percent), "doc_id bigint, n bigint, tokens array<bigint>, places array<int>, shingles binary"))
-    sets = indexed.select("doc_id", "shingles")
     postings = indexed.select("doc_id", "n", F.posexplode(F.arrays_zip("tokens", "places")).alias("e", "z"))
     postings = postings.select(F.col("z.tokens").alias("token"), "doc_id", "n", F.col("z.places").cast("bigint").alias("p"), F.col("e").cast("bigint").alias("e"))
+    return members, postings, indexed.select("doc_id", "shingles")
+
+
+def _pairs(rows: DataFrame, differ: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of postings that share a token, pass the length and positional
+    filters and have a smaller ``differ`` in a than in b, each once.
+
+    A pair is formed at its first common shingle, as far as the last ``RECENT`` ones
+    of each document tell.  For documents with no more postings than those, all
+    earlier common shingles are known, so there the positional filter is asked again
+    with none in front; for longer ones it is left out and pairs may be formed twice.
+    Either way no pair that can reach the threshold is left out.  AQE splits the
+    partitions of frequent tokens.
+    """
+    recent = Window.partitionBy("doc_id").orderBy("e").rowsBetween(-RECENT, -1)
+    order = Window.partitionBy("doc_id").orderBy("e")
+    rows = materialize(rows.select("token", "doc_id", "n", "p", "e", F.col(differ).alias("c"), F.collect_list("token").over(recent).alias("seen"), F.row_number().over(order).alias("k")))
+    x, y = rows.alias("x"), rows.alias("y")
+    whole = (F.col("x.k") <= RECENT + 1) & (F.col("y.k") <= RECENT + 1)
+    fresh = ~F.arrays_overlap("x.seen", "y.seen") & (~whole | (F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _need(F.col("x.n"), F.col("y.n"), percent)))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _can_match("x", "y", percent) & fresh)
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+def near_pairs(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int | None = None, owners: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every link between different shingle sets, for callers that want the pairs.
+
+    Returns the links (a, b; a < b) between the representatives of classes of equal
+    sets, and the membership (doc_id, rep, n_shingles); edge cases as in
+    ``near_duplicates``.  The number of links inside a group of near copies grows
+    with its square, so for components ``near_duplicates`` is the one to take.
+    """
+    members, postings, sets = _index(docs, width, percent, buckets, owners)
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = join_counted(postings, lists, ["token"], "k").drop("k").withColumn("c", F.col("doc_id"))
+    links = _links(_pairs(shared, "c", percent), sets, percent)
+    return links, members.select("doc_id", "rep", F.col("n").alias("n_shingles"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int | None = None, owners: int | None = None) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard of percent/100 or more.
+
+    Words are runs of bytes other than space and \t to \r, after lower-casing
+    A-Z.  Returns one row per input row: doc_id, n_shingles, component_id (the
+    least doc_id reachable by links), n_same (rows with the same set).  Null,
+    empty and blank texts have no shingles and link with nothing.  Rows that
+    share a doc_id are one node.  A null doc_id is linked with nothing and has a
+    null component.  Other columns are ignored; an empty table gives none.
+    """
+    members, postings, sets = _index(docs, width, percent, buckets, owners)
 
     # rows that share a doc_id but not a set are one node
     nodes = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
@@ -287,22 +330,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     label = components(first.unionByName(shared))
 
     # pairs that could still join two components: of each list only members that
-    # its smallest set could match, and only lists with two components
+    # its smallest set could match, and only lists with two components; those with
+    # one hold no such pair, so they need not be looked at for the first common shingle
     named = postings.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     lists = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("c0 <> c1")
     floor = F.greatest(F.col("least"), _ceil_div(F.col("n") * percent, 100))
     left = join_counted(named, lists, ["token"], "k").where(F.col("e") + F.col("n") - F.col("p") >= _need(F.col("n"), floor, percent))
-    # a pair is formed at its first common shingle, as far as the last RECENT ones tell;
-    # lists with one component hold no such pair, so they need not be looked at
-    recent = Window.partitionBy("doc_id").orderBy("e").rowsBetween(-RECENT, -1)
-    order = Window.partitionBy("doc_id").orderBy("e")
-    left = left.select("token", "doc_id", "n", "p", "e", "c", F.collect_list("token").over(recent).alias("seen"), F.row_number().over(order).alias("k"))
-    left = materialize(left)
-    x, y = left.alias("x"), left.alias("y")
-    whole = (F.col("x.k") <= RECENT + 1) & (F.col("y.k") <= RECENT + 1)
-    fresh = ~F.arrays_overlap("x.seen", "y.seen") & (~whole | (F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _need(F.col("x.n"), F.col("y.n"), percent)))
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _can_match("x", "y", percent) & fresh)
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    cross = _pairs(left, "c", percent)
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = _links(cross.join(tried, ["a", "b"], "left_anti"), sets, percent)
     label = components(first.unionByName(second).unionByName(shared))
