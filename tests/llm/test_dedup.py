@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from textgauge.llm.exact_dedup import exact_dedup
-from textgauge.llm.exchange import golomb, ungolomb
+from textgauge.llm.exchange import Route, golomb, route, ungolomb
 from textgauge.llm.suffix_dedup import SuffixSorter, repeated_spans
 
 
@@ -102,6 +102,26 @@ def test_repeated_spans_brute_force(spark, seed):
     got = repeated_spans(frame(spark, [(*r, "a", "b") for r in rows])).drop("starts", "ends").collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(brute_spans(rows), key=key)
+    # the same by relays: 9 owners in 3 groups, 11 buckets in 4 slices
+    again = repeated_spans(frame(spark, [(*r, "a", "b") for r in rows]), 11, 7, most_blobs=1).drop("starts", "ends").collect()
+    assert sorted(map(tuple, again), key=key) == sorted(brute_spans(rows), key=key)
+
+
+def test_routes_agree_on_their_parts():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    assert route(10, 10, 100).direct and not route(10, 11, 100).direct
+    for buckets, owners in ((11, 7), (1000, 1000), (3, 1), (2, 2)):
+        way = route(buckets, owners, 0)
+        assert way.owners >= owners and way.owners % way.groups == 0
+        assert max(way.groups, way.owners // way.groups) <= owners**0.5 + 1 and way.slices <= buckets**0.5 + 1
+        direct = Route(way.owners, way.owners, 1).parts(0, keys)
+        for bucket in (0, buckets - 1):
+            # a bucket's parts, cut again by their relays, are the direct ones
+            found = {}
+            for relay, (x, z) in way.parts(bucket, keys).items():
+                found.update({t: (x + a, x + b) for t, (a, b) in way.relayed(relay, keys[x:z]).items()})
+            assert found == direct
 
 
 def test_repeated_spans_empty(spark):

@@ -4,13 +4,21 @@ A bucket sorts its distinct 64-bit fingerprints and cuts them into ranges, one
 for each owner; a range travels as one Golomb-Rice or delta coded blob.  An
 owner sees each fingerprint once for each bucket at most, however often it
 occurs, and answers every blob with a short array in the blob's own order.
+
+Directly there is a blob for each bucket and owner.  Where these would be too many
+and too small, owners form groups and buckets slices, and a relay for each group
+and slice merges what its buckets send: it is an owner to them and a bucket to the
+owners of its group.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from typing import NamedTuple
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 
@@ -21,6 +29,55 @@ def owner_cuts(sorted_hashes: np.ndarray, owners: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges, "left"), [len(sorted_hashes)]])
 
 
+#: Blobs between buckets and owners beyond which relays stand between them.
+MOST_BLOBS = 1 << 22
+
+
+class Route(NamedTuple):
+    """Addresses of an exchange.  Buckets are 0, 1, ...; owners and relays are -1, -2, ..."""
+
+    owners: int
+    groups: int
+    slices: int
+
+    @property
+    def direct(self) -> bool:
+        return self.groups == self.owners
+
+    def parts(self, bucket: int, keys: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Where a bucket's ascending keys go: ranges by address, empty ones left out."""
+        cuts = owner_cuts(keys, self.groups).tolist()
+        return {-1 - (k * self.slices + bucket % self.slices): (x, z) for k, (x, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < z}
+
+    def relayed(self, relay: int, keys: np.ndarray) -> dict[int, tuple[int, int]]:
+        """Where a relay's ascending keys go: ranges by owner."""
+        size = self.owners // self.groups
+        first = (-1 - relay) // self.slices * size
+        edges = np.array([(k << 64) // self.owners for k in range(first + 1, first + size)], U64)
+        cuts = [0, *np.searchsorted(keys, edges, "left").tolist(), len(keys)]
+        return {-1 - (first + k): (x, z) for k, (x, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < z}
+
+
+def route(buckets: int, owners: int, most: int = MOST_BLOBS) -> Route:
+    """Direct ways for at most ``most`` blobs, else relays: about the roots of the numbers
+    of owners and buckets, so that no sender has more than that many blobs."""
+    if buckets * owners <= most:
+        return Route(owners, owners, 1)
+    size = math.isqrt(owners - 1) + 1
+    groups = -(-owners // size)
+    # whole groups, so that the edges of groups are edges of owners
+    return Route(groups * size, groups, math.isqrt(buckets - 1) + 1)
+
+
+def exchange(rows: DataFrame, way: Route, own, merge, answer, schema: str) -> DataFrame:
+    """Rows (target, source, ...) to the owners, and what these reply to the buckets."""
+    if way.direct:
+        return rows.groupBy("target").applyInArrow(own, schema)
+    sent = rows.groupBy("target")
+    back = sent.applyInArrow(merge, schema).groupBy("target").applyInArrow(own, schema)
+    return sent.cogroup(back.groupBy("target")).applyInArrow(answer, schema)
+
+
 def golomb(sorted_values: np.ndarray) -> bytes:
     """Golomb-Rice code of ascending distinct 64-bit values.
 

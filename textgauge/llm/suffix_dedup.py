@@ -16,8 +16,12 @@ Documents are dealt to buckets by id.  Inside a bucket:
   windows whose contexts differ go out likewise, by two polynomial hashes of
   different bases and byte values.
 
+Where buckets and owners are so many that a blob would hold next to nothing, both
+exchanges go by relays, which merge what a slice of the buckets sends to a group of
+owners (``exchange.Route``).
+
 Hot strings: a bucket sends each hash or class once, so an owner sees it at most
-once per bucket, and strings in many contexts are spread by their own digests.
+once per bucket or relay, and strings in many contexts are spread by their own digests.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import POWERS, POWERS2, PrefixHash, byte_table, exchange_sizes, keyed, mix, pieces, release, spread, texts
-from .exchange import owner_cuts, pack, unpack
+from .exchange import MOST_BLOBS, Route, exchange, pack, route, unpack
 
 U64 = np.uint64
 WINDOW, GRAM = 100, 50
@@ -225,11 +229,6 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
-def _owner_target(owner: int) -> int:
-    """Buckets are addressed by 0, 1, ... and owners by -1, -2, ..."""
-    return -1 - owner
-
-
 class _Bucket:
     """A bucket's documents in the order of their ids."""
 
@@ -247,14 +246,39 @@ class _Bucket:
         return np.searchsorted(self.offsets, at, "right") - 1
 
 
-def _records(bucket: int, owners: int, keys, extra, docs, ids):
-    """Blobs of (128 bit key, first document) for each owner; the keys' first halves ascend."""
-    cuts = owner_cuts(keys, owners)
-    for k in range(owners):
-        x, z = cuts[k], cuts[k + 1]
-        if x < z:
-            table, ordinal = np.unique(docs[x:z], return_inverse=True)
-            yield (_owner_target(k), bucket, _GRAMS, keys[x:z].tobytes(), extra[x:z].tobytes(), ordinal.astype(np.uint16 if len(table) < 65536 else np.uint32).tobytes(), ids[table].tobytes())
+def _records(source: int, parts: dict, keys, extra, docs):
+    """Blobs of (128 bit key, first document) for each address; the keys' first halves ascend."""
+    for target, (x, z) in parts.items():
+        table, ordinal = np.unique(docs[x:z], return_inverse=True)
+        yield (target, source, _GRAMS, keys[x:z].tobytes(), extra[x:z].tobytes(), ordinal.astype(np.uint16 if len(table) < 65536 else np.uint32).tobytes(), table.tobytes())
+
+
+class _Claims:
+    """Keys that blobs hold, each with the first of its places."""
+
+    def __init__(self, rows):
+        self.source, keys, extra, docs = [], [], [], []
+        for s, a, b, c, d in zip(*(rows.column(n).to_pylist() for n in ("source", "a", "b", "c", "d")), strict=True):
+            table = np.frombuffer(d, np.int64)
+            self.source.append(s)
+            keys.append(np.frombuffer(a, U64))
+            extra.append(np.frombuffer(b, U64))
+            docs.append(table[np.frombuffer(c, np.uint16 if len(table) < 65536 else np.uint32)])
+        size = np.array([len(k) for k in keys])
+        k, e, d, s = np.concatenate(keys), np.concatenate(extra), np.concatenate(docs), np.repeat(self.source, size)
+        order = np.lexsort((s, d, e, k))
+        new = np.ones(len(order), bool)
+        new[1:] = (k[order[1:]] != k[order[:-1]]) | (e[order[1:]] != e[order[:-1]])
+        self.cuts = np.concatenate([[0], np.cumsum(size)])
+        #: Place of the first claim of each key, and the claims themselves.
+        self.first = order[new]
+        self.keys, self.extra, self.docs = k[self.first], e[self.first], d[self.first]
+
+    def replies(self, own: int, wins: np.ndarray) -> pa.Table:
+        """A bitmap for each blob: which of its claims are first, where the key's ``wins`` is set."""
+        bits = np.zeros(self.cuts[-1], np.uint8)
+        bits[self.first[wins]] = 1
+        return _rows([(t, own, _REPLY, pack(np.packbits(bits[self.cuts[i] : self.cuts[i + 1]])), b"", b"", b"") for i, t in enumerate(self.source)])
 
 
 def _settle(key, rows):
@@ -262,32 +286,39 @@ def _settle(key, rows):
     addressed to a bucket pass through."""
     if key[0].as_py() >= 0:
         return rows.select(_NAMES)
-    source, keys, extra, docs = [], [], [], []
-    for s, a, b, c, d in zip(*(rows.column(n).to_pylist() for n in ("source", "a", "b", "c", "d")), strict=True):
-        table = np.frombuffer(d, np.int64)
-        source.append(s)
-        keys.append(np.frombuffer(a, U64))
-        extra.append(np.frombuffer(b, U64))
-        docs.append(table[np.frombuffer(c, np.uint16 if len(table) < 65536 else np.uint32)])
-    size = np.array([len(k) for k in keys])
-    k, e, d, s = np.concatenate(keys), np.concatenate(extra), np.concatenate(docs), np.repeat(source, size)
-    order = np.lexsort((s, d, e, k))
-    new = np.ones(len(order), bool)
-    new[1:] = (k[order[1:]] != k[order[:-1]]) | (e[order[1:]] != e[order[:-1]])
-    wins = np.zeros(len(order), np.uint8)
-    wins[order[new]] = 1
-    cuts = np.concatenate([[0], np.cumsum(size)])
+    claims = _Claims(rows)
     release()
-    return _rows([(t, key[0].as_py(), _REPLY, pack(np.packbits(wins[cuts[i] : cuts[i + 1]])), b"", b"", b"") for i, t in enumerate(source)])
+    return claims.replies(key[0].as_py(), np.ones(len(claims.keys), bool))
 
 
-def _wins(replies: list[dict], keys: np.ndarray, owners: int) -> np.ndarray:
-    """The owners' bits for this bucket's keys, in the keys' order."""
-    cuts, out = owner_cuts(keys, owners), np.zeros(len(keys), bool)
+def _merge_claims(way: Route):
+    def run(key, rows):
+        relay = key[0].as_py()
+        if relay >= 0:
+            return _rows([])
+        claims = _Claims(rows)
+        return _rows(list(_records(relay, way.relayed(relay, claims.keys), claims.keys, claims.extra, claims.docs)))
+
+    return run
+
+
+def _answer_claims(way: Route):
+    def run(key, rows, replies):
+        relay = key[0].as_py()
+        if relay >= 0 or not rows.num_rows:
+            return rows.select(_NAMES)
+        claims = _Claims(rows)
+        return claims.replies(relay, _wins(replies.to_pylist(), way.relayed(relay, claims.keys), len(claims.keys)))
+
+    return run
+
+
+def _wins(replies: list[dict], parts: dict, n: int) -> np.ndarray:
+    """The replies' bits for n keys that went out in these parts, in the keys' order."""
+    out = np.zeros(n, bool)
     for r in replies:
-        k = -1 - r["source"]
-        n = cuts[k + 1] - cuts[k]
-        out[cuts[k] : cuts[k + 1]] = np.unpackbits(unpack(r["a"], np.uint8), count=n) > 0
+        x, z = parts[r["source"]]
+        out[x:z] = np.unpackbits(unpack(r["a"], np.uint8), count=z - x) > 0
     return out
 
 
@@ -299,7 +330,12 @@ def _distinct(hashes: np.ndarray):
     return order, h[start], start
 
 
-def _send_anchors(owners: int):
+def _anchor_rows(source: int, parts: dict, h, low, state) -> list[tuple]:
+    short = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:]  # the upper 48 bits
+    return [(target, source, _GRAMS, short[x:z].tobytes(), low[x:z].tobytes(), pack(state[x:z]), b"") for target, (x, z) in parts.items()]
+
+
+def _send_anchors(way: Route):
     def run(key, docs):
         b = _Bucket(docs)
         _, _, _, grams, context = anchors(b.data, b.offsets)
@@ -308,39 +344,74 @@ def _send_anchors(owners: int):
             return _rows([])
         c = (context[order] >> U64(32)).astype(np.uint32)
         low, high = np.minimum.reduceat(c, start), np.maximum.reduceat(c, start)
-        # 1: more than once here, 2: in several contexts here
+        # repeated here, and in several contexts here
         here = (np.diff(np.append(start, len(order))) > 1).astype(np.uint8) + (low != high)
-        cuts, bucket = owner_cuts(h, owners), key[0].as_py()
-        short = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:]  # the upper 48 bits
-        return _rows([(_owner_target(k), bucket, _GRAMS, short[x:z].tobytes(), low[x:z].tobytes(), pack(here[x:z]), b"") for k, (x, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < z])
+        bucket = key[0].as_py()
+        return _rows(_anchor_rows(bucket, way.parts(bucket, h), h, low, here))
 
     return run
 
 
+class _Rated:
+    """Anchor hashes that blobs hold: distinct ones, ascending, with a context and a state."""
+
+    def __init__(self, rows):
+        self.source, hs, lows, states = rows.column("source").to_pylist(), [], [], []
+        for a, b, c in zip(*(rows.column(n).to_pylist() for n in "abc"), strict=True):
+            full = np.zeros((len(a) // 6, 8), np.uint8)
+            full[:, 2:] = np.frombuffer(a, np.uint8).reshape(-1, 6)
+            hs.append(full.view(U64).ravel())
+            lows.append(np.frombuffer(b, np.uint32))
+            states.append(unpack(c, np.uint8))
+        self.cuts = np.concatenate([[0], np.cumsum([len(h) for h in hs])])
+        h, low, state = np.concatenate(hs), np.concatenate(lows), np.concatenate(states)
+        self.order = order = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        self.group = np.diff(np.append(start, len(order)))
+        l, s = low[order], np.maximum.reduceat(state[order], start)
+        self.hashes, self.low = h[order][start], np.minimum.reduceat(l, start)
+        several = (self.low != np.maximum.reduceat(l, start)) | (s == _CONTEXTS)
+        self.state = np.where(several, _CONTEXTS, np.where((self.group > 1) | (s > 0), _ONE_CONTEXT, _UNIQUE)).astype(np.uint8)
+
+    def replies(self, own: int, state: np.ndarray) -> pa.Table:
+        out = np.empty(len(self.order), np.uint8)
+        out[self.order] = np.repeat(state, self.group)
+        return _rows([(t, own, _REPLY, pack(out[self.cuts[i] : self.cuts[i + 1]]), b"", b"", b"") for i, t in enumerate(self.source)])
+
+
 def _rate_anchors(key, rows):
     """Owner: whether each anchor hash is unique, repeated in one context or in several."""
-    source, hs, lows, states = rows.column("source").to_pylist(), [], [], []
-    for a, b, c in zip(*(rows.column(n).to_pylist() for n in "abc"), strict=True):
-        full = np.zeros((len(a) // 6, 8), np.uint8)
-        full[:, 2:] = np.frombuffer(a, np.uint8).reshape(-1, 6)
-        hs.append(full.view(U64).ravel())
-        lows.append(np.frombuffer(b, np.uint32))
-        states.append(unpack(c, np.uint8))
-    size = np.array([len(h) for h in hs])
-    h, low, state = np.concatenate(hs), np.concatenate(lows), np.concatenate(states)
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
-    group = np.diff(np.append(start, len(order)))
-    l, s = low[order], np.maximum.reduceat(state[order], start)
-    several = (np.minimum.reduceat(l, start) != np.maximum.reduceat(l, start)) | (s == 2)
-    verdict = np.where(several, _CONTEXTS, np.where((group > 1) | (s > 0), _ONE_CONTEXT, _UNIQUE)).astype(np.uint8)
-    out = np.empty(len(order), np.uint8)
-    out[order] = np.repeat(verdict, group)
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    return _rows([(t, key[0].as_py(), _REPLY, pack(out[cuts[i] : cuts[i + 1]]), b"", b"", b"") for i, t in enumerate(source)])
-
-
-def _send_contexts(owners: int):
+    rated = _Rated(rows)
+    return rated.replies(key[0].as_py(), rated.state)
+
+
+def _merge_anchors(way: Route):
+    def run(key, rows):
+        rated, relay = _Rated(rows), key[0].as_py()
+        return _rows(_anchor_rows(relay, way.relayed(relay, rated.hashes), rated.hashes, rated.low, rated.state))
+
+    return run
+
+
+def _states(replies: list[dict], parts: dict, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint8)
+    for r in replies:
+        x, z = parts[r["source"]]
+        out[x:z] = unpack(r["a"], np.uint8)
+    return out
+
+
+def _answer_anchors(way: Route):
+    def run(key, rows, replies):
+        if not rows.num_rows:
+            return _rows([])
+        rated, relay = _Rated(rows), key[0].as_py()
+        return rated.replies(relay, _states(replies.to_pylist(), way.relayed(relay, rated.hashes), len(rated.hashes)))
+
+    return run
+
+
+def _send_contexts(way: Route):
     """Suffix-sort the repeated anchors' contexts and send each class once."""
 
     def run(key, docs, replies):
@@ -349,10 +420,7 @@ def _send_contexts(owners: int):
         bucket, b = key[0].as_py(), _Bucket(docs)
         _, first, last, grams, _ = anchors(b.data, b.offsets)
         order, h, start = _distinct(grams)
-        cuts, state = owner_cuts(h, owners), np.zeros(len(h), np.uint8)
-        for r in replies.to_pylist():
-            k = -1 - r["source"]
-            state[cuts[k] : cuts[k + 1]] = unpack(r["a"], np.uint8)
+        state = _states(replies.to_pylist(), way.parts(bucket, h), len(h))
         each = np.empty(len(order), np.uint8)
         each[order] = np.repeat(state, np.diff(np.append(start, len(order))))
         some = np.flatnonzero(each)
@@ -375,7 +443,7 @@ def _send_contexts(owners: int):
         head = np.zeros(len(some), bool)
         head[heads] = True
         flags = (head + 2 * (each[some] == _CONTEXTS)).astype(np.uint8)
-        out = list(_records(bucket, owners, keys[by_key], extra[by_key], b.doc(begin[heads[by_key]]), b.keys))
+        out = list(_records(bucket, way.parts(bucket, keys[by_key]), keys[by_key], extra[by_key], b.keys[b.doc(begin[heads[by_key]])]))
         flat = pack(flags)
         out.append((bucket, 0, _PLAN, pack(np.diff(begin, prepend=0).astype(np.int32)), pack(windows.astype(np.uint8)), pack(of), len(flat).to_bytes(8, "little") + flat + keys[by_key].tobytes()))
         return _rows(out)
@@ -386,14 +454,14 @@ def _send_contexts(owners: int):
 class _Plan:
     """What a bucket knows after the context exchange."""
 
-    def __init__(self, rows: list[dict], owners: int):
+    def __init__(self, bucket: int, rows: list[dict], way: Route):
         plan = next(r for r in rows if r["kind"] == _PLAN)
         n = int.from_bytes(plan["d"][:8], "little")
         self.begin = np.cumsum(unpack(plan["a"], np.int32).astype(np.int64))
         self.windows = unpack(plan["b"], np.uint8).astype(np.int64)
         flags = unpack(plan["d"][8 : 8 + n], np.uint8)
         keys = np.frombuffer(plan["d"][8 + n :], U64)
-        wins = _wins([r for r in rows if r["kind"] == _REPLY], keys, owners)
+        wins = _wins([r for r in rows if r["kind"] == _REPLY], way.parts(bucket, keys), len(keys))
         first = ((flags & 1) > 0) & wins[unpack(plan["c"], np.int32)]
         #: Later occurrences of a context: all their windows go.
         self.later = ~first
@@ -415,25 +483,26 @@ def _windows_of(b: _Bucket, begin: np.ndarray, windows: np.ndarray):
     return at, of, head, h[head], x[head]
 
 
-def _send_windows(owners: int):
+def _send_windows(way: Route):
     def run(key, docs, rows):
         if not docs.num_rows or not rows.num_rows:
             return _rows([])
-        bucket, b, p = key[0].as_py(), _Bucket(docs), _Plan(rows.to_pylist(), owners)
+        bucket, b = key[0].as_py(), _Bucket(docs)
+        p = _Plan(bucket, rows.to_pylist(), way)
         out = []
         later = p.later
         decided = pack(np.diff(p.begin[later], prepend=0).astype(np.int32)), pack(p.windows[later].astype(np.uint8))
         openly = pack(np.diff(p.begin[p.open], prepend=0).astype(np.int32)), pack(p.windows[p.open].astype(np.uint8))
         if len(p.open):
             at, _, head, keys, extra = _windows_of(b, p.begin[p.open], p.windows[p.open])
-            out += _records(bucket, owners, keys, extra, b.doc(at[head]), b.keys)
+            out += _records(bucket, way.parts(bucket, keys), keys, extra, b.keys[b.doc(at[head])])
         out.append((bucket, 0, _PLAN, *decided, *openly))
         return _rows(out)
 
     return run
 
 
-def _finish(owners: int):
+def _finish(way: Route):
     def run(key, docs, rows):
         b = _Bucket(docs)
         starts = ends = np.zeros(0, np.int64)
@@ -444,7 +513,7 @@ def _finish(owners: int):
             open_begin = np.cumsum(unpack(plan["c"], np.int32).astype(np.int64))
             if len(open_begin):
                 at, of, head, keys, _ = _windows_of(b, open_begin, unpack(plan["d"], np.uint8).astype(np.int64))
-                wins = _wins([r for r in rows.to_pylist() if r["kind"] == _REPLY], keys, owners)
+                wins = _wins([r for r in rows.to_pylist() if r["kind"] == _REPLY], way.parts(key[0].as_py(), keys), len(keys))
                 stays = np.zeros(len(at), bool)
                 stays[head] = wins
                 begin = np.concatenate([begin, at[~stays]])
@@ -493,7 +562,7 @@ def _finish(owners: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | None = None, most_blobs: int = MOST_BLOBS) -> DataFrame:
     """Byte runs of each document that repeat an earlier 100-byte string.
 
     Earlier is a smaller doc_id, or an earlier start in the same document; rows
@@ -502,20 +571,22 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, owners: int | No
     row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs
     as byte offsets ``starts`` and ``ends`` (exclusive).  Null or short texts
     have no runs.  A run may begin or end inside a multi-byte character, as the
-    rule is about bytes.  Other columns are ignored.
+    rule is about bytes.  Other columns are ignored.  Beyond ``most_blobs`` blobs
+    the exchanges go by relays; the result is the same.
     """
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0 if buckets is None or owners is None else 0
     buckets, owners = exchange_sizes(docs.sparkSession, int(size), buckets, owners)
+    way = route(buckets, owners, most_blobs)
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     docs = docs.select(F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
     dealt = docs.groupBy("bucket")
-    grams = dealt.applyInArrow(_send_anchors(owners), _ROW)
-    rated = grams.groupBy("target").applyInArrow(_rate_anchors, _ROW)
-    contexts = dealt.cogroup(rated.groupBy("target")).applyInArrow(_send_contexts(owners), _ROW)
-    settled = contexts.groupBy("target").applyInArrow(_settle, _ROW)
-    windows = dealt.cogroup(settled.groupBy("target")).applyInArrow(_send_windows(owners), _ROW)
-    judged = windows.groupBy("target").applyInArrow(_settle, _ROW)
+    grams = dealt.applyInArrow(_send_anchors(way), _ROW)
+    rated = exchange(grams, way, _rate_anchors, _merge_anchors(way), _answer_anchors(way), _ROW)
+    contexts = dealt.cogroup(rated.groupBy("target")).applyInArrow(_send_contexts(way), _ROW)
+    settled = exchange(contexts, way, _settle, _merge_claims(way), _answer_claims(way), _ROW)
+    windows = dealt.cogroup(settled.groupBy("target")).applyInArrow(_send_windows(way), _ROW)
+    judged = exchange(windows, way, _settle, _merge_claims(way), _answer_claims(way), _ROW)
     return dealt.cogroup(judged.groupBy("target")).applyInArrow(
-        _finish(owners), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>"
+        _finish(way), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<bigint>, ends array<bigint>"
     )
