@@ -28,7 +28,7 @@ from textgauge.sources.layout import spread_rows
 
 from .common import byte_set, byte_table, exchange_sizes, join_counted, keyed, materialize, mix, pieces, texts, word_hashes, word_runs
 from .components import components
-from .exchange import golomb, owner_cuts, pack, ungolomb, unpack
+from .exchange import MOST_BLOBS, Route, exchange, golomb, pack, route, ungolomb, unpack
 
 U64 = np.uint64
 #: Shingles that a posting looks back on to form each pair once.
@@ -114,33 +114,72 @@ def _blobs(rows):
     return pa.table({"target": pa.array(list(c[0]), pa.int32()), "source": pa.array(list(c[1]), pa.int32()), "a": pa.array(list(c[2]), pa.binary()), "b": pa.array(list(c[3]), pa.binary())})
 
 
-def _cuts(keys: np.ndarray, owners: int, drop: int) -> np.ndarray:
-    return owner_cuts(keys << U64(drop), owners)
+def _count_rows(source: int, parts: dict, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    # a count beyond 32 bits has the highest level anyway
+    short = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+    return [(target, source, golomb(keys[x:z]), pack(short[x:z])) for target, (x, z) in parts.items()]
 
 
-def _send_counts(width: int, owners: int, drop: int):
+def _send_counts(width: int, way: Route, drop: int):
     def run(key, docs, reps):
         keys, _, counts = _bucket_keys(_wanted(docs, reps, width), drop)
-        cuts = _cuts(keys, owners, drop)
-        return _blobs([(k, key[0].as_py(), golomb(keys[x:z]), pack(counts[x:z].astype(np.int32))) for k, (x, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < z])
+        bucket = key[0].as_py()
+        return _blobs(_count_rows(bucket, way.parts(bucket, keys << U64(drop)), keys, counts))
 
     return run
 
 
+class _Counts:
+    """Hashes that blobs hold: distinct ones, ascending, with their summed counts."""
+
+    def __init__(self, rows):
+        self.source = rows.column("source").to_pylist()
+        runs = [ungolomb(x) for x in rows.column("a").to_pylist()]
+        counts = [unpack(x, np.int32) for x in rows.column("b").to_pylist()]
+        h, c = np.concatenate(runs), np.concatenate(counts).astype(np.int64)
+        self.order = order = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        self.group = np.diff(np.append(start, len(order)))
+        self.hashes, self.total = h[order][start], np.add.reduceat(c[order], start)
+        self.cuts = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
+
+    def replies(self, own: int, level: np.ndarray) -> pa.Table:
+        out = np.empty(len(self.order), np.uint8)
+        out[self.order] = np.repeat(level, self.group)
+        return _blobs([(s, own, pack(out[self.cuts[i] : self.cuts[i + 1]]), b"") for i, s in enumerate(self.source)])
+
+
 def _levels(key, rows):
     """Owner: document frequency of every hash as a level, eight to a doubling; 0 where it is one."""
-    source = rows.column("source").to_pylist()
-    runs = [ungolomb(x) for x in rows.column("a").to_pylist()]
-    counts = [unpack(x, np.int32) for x in rows.column("b").to_pylist()]
-    h, c = np.concatenate(runs), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
-    total = np.add.reduceat(c[order], start)
-    level = np.minimum(255, np.round(8 * np.log2(total))).astype(np.uint8)
-    out = np.empty(len(h), np.uint8)
-    out[order] = np.repeat(level, np.diff(np.append(start, len(order))))
-    at = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-    return _blobs([(s, key[0].as_py(), pack(out[at[i] : at[i + 1]]), b"") for i, s in enumerate(source)])
+    counts = _Counts(rows)
+    return counts.replies(key[0].as_py(), np.minimum(255, np.round(8 * np.log2(counts.total))).astype(np.uint8))
+
+
+def _merge_counts(way: Route, drop: int):
+    def run(key, rows):
+        counts, relay = _Counts(rows), key[0].as_py()
+        return _blobs(_count_rows(relay, way.relayed(relay, counts.hashes << U64(drop)), counts.hashes, counts.total))
+
+    return run
+
+
+def _read_levels(replies: pa.Table, parts: dict, n: int) -> np.ndarray:
+    level = np.zeros(n, np.uint8)
+    for source, a in zip(replies.column("source").to_pylist(), replies.column("a").to_pylist(), strict=True):
+        x, z = parts[source]
+        level[x:z] = unpack(a, np.uint8)
+    return level
+
+
+def _answer_counts(way: Route, drop: int):
+    def run(key, rows, replies):
+        if not rows.num_rows:
+            return _blobs([])
+        counts, relay = _Counts(rows), key[0].as_py()
+        parts = way.relayed(relay, counts.hashes << U64(drop))
+        return counts.replies(relay, _read_levels(replies, parts, len(counts.hashes)))
+
+    return run
 
 
 def least_common(n, m, percent: int):
@@ -148,16 +187,14 @@ def least_common(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _prefixes(width: int, owners: int, drop: int, percent: int):
+def _prefixes(width: int, way: Route, drop: int, percent: int):
     def run(key, docs, rows):
         reps = rows.filter(pc.is_null(rows.column("source")))
         replies = rows.filter(pc.is_valid(rows.column("source")))
         found = _wanted(docs, reps, width) if docs.num_rows else []
         keys, inverse, _ = _bucket_keys(found, drop)
-        cuts, level = _cuts(keys, owners, drop), np.zeros(len(keys), np.uint8)
-        for k, a in zip(replies.column("source").to_pylist(), replies.column("a").to_pylist(), strict=True):
-            level[cuts[k] : cuts[k + 1]] = unpack(a, np.uint8)
-        level = level[inverse].astype(U64)
+        parts = way.parts(key[0].as_py(), keys << U64(drop)) if replies.num_rows else {}
+        level = _read_levels(replies, parts, len(keys))[inverse].astype(U64)
         ids, sizes, tokens, places, sets, at = [], [], [], [], [], 0
         for i, s in found:
             n = len(s)
@@ -245,7 +282,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
-def _index(docs: DataFrame, width: int, percent: int, buckets: int | None, owners: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _index(docs: DataFrame, width: int, percent: int, buckets: int | None, owners: int | None, most_blobs: int = MOST_BLOBS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their class (doc_id, n, f1, rep, n_same), prefixes of the classes'
     representatives as postings (token, doc_id, n, p, e), and their ordered sets."""
     if width > len(_STEP):
@@ -262,10 +299,11 @@ def _index(docs: DataFrame, width: int, percent: int, buckets: int | None, owner
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     reps = members.where("doc_id = rep").select(bucket.alias("target"), F.lit(None).cast("int").alias("source"), "doc_id", "f1").distinct()
     dealt = docs.select(bucket.alias("bucket"), "doc_id", "text").where("doc_id IS NOT NULL").groupBy("bucket")
-    counts = dealt.cogroup(reps.groupBy("target")).applyInArrow(_send_counts(width, owners, drop), _BLOB)
-    levels = counts.groupBy("target").applyInArrow(_levels, _BLOB)
+    way = route(buckets, owners, most_blobs)
+    counts = dealt.cogroup(reps.groupBy("target")).applyInArrow(_send_counts(width, way, drop), _BLOB)
+    levels = exchange(counts, way, _levels, _merge_counts(way, drop), _answer_counts(way, drop), _BLOB)
     rows = levels.unionByName(reps, allowMissingColumns=True)
-    indexed = materialize(dealt.cogroup(rows.groupBy("target")).applyInArrow(_prefixes(width, owners, drop, percent), "doc_id bigint, n bigint, tokens array<bigint>, places array<int>, shingles binary"))
+    indexed = materialize(dealt.cogroup(rows.groupBy("target")).applyInArrow(_prefixes(width, way, drop, percent), "doc_id bigint, n bigint, tokens array<bigint>, places array<int>, shingles binary"))
     postings = indexed.select("doc_id", "n", F.posexplode(F.arrays_zip("tokens", "places")).alias("e", "z"))
     postings = postings.select(F.col("z.tokens").alias("token"), "doc_id", "n", F.col("z.places").cast("bigint").alias("p"), F.col("e").cast("bigint").alias("e"))
     return members, postings, indexed.select("doc_id", "shingles")
@@ -307,7 +345,7 @@ def near_pairs(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int
     return links, members.select("doc_id", "rep", F.col("n").alias("n_shingles"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int | None = None, owners: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets: int | None = None, owners: int | None = None, most_blobs: int = MOST_BLOBS) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard of percent/100 or more.
 
     Words are runs of bytes other than space and \t to \r, after lower-casing
@@ -315,9 +353,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, buckets:
     least doc_id reachable by links), n_same (rows with the same set).  Null,
     empty and blank texts have no shingles and link with nothing.  Rows that
     share a doc_id are one node.  A null doc_id is linked with nothing and has a
-    null component.  Other columns are ignored; an empty table gives none.
+    null component.  Other columns are ignored; an empty table gives none.  Beyond
+    ``most_blobs`` blobs the counts go by relays; the result is the same.
     """
-    members, postings, sets = _index(docs, width, percent, buckets, owners)
+    members, postings, sets = _index(docs, width, percent, buckets, owners, most_blobs)
 
     # rows that share a doc_id but not a set are one node
     nodes = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
