@@ -29,8 +29,9 @@ def owner_cuts(sorted_hashes: np.ndarray, owners: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges, "left"), [len(sorted_hashes)]])
 
 
-#: Blobs between buckets and owners beyond which relays stand between them.
-MOST_BLOBS = 1 << 22
+#: Blobs between buckets and owners beyond which relays stand between them: sizes that
+#: follow the bytes reach it at about 1 TB of text, with about a kilobyte in a blob.
+MOST_BLOBS = 1 << 29
 
 
 class Route(NamedTuple):
