@@ -169,3 +169,29 @@ def test_mixing_keeps_every_domain(spark):
     model = mixing.learn_domains(d)
     assert len(model.names) == 70
     assert all(np.ptp(model.table[:, k] - model.table[:, [j for j in range(70) if j != k]].mean(axis=1)) > 0.1 for k in range(70))
+
+
+def test_mixing_steps_and_errors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    post = rng.dirichlet([0.4, 0.3, 0.2], 400)
+    t = rng.integers(0, 90, 400)
+    d = spark.createDataFrame([(i, int(n), p, ["a", "b", "c"]) for i, (n, p) in enumerate(zip(t, post.tolist(), strict=True))], "doc_id long, n_tokens long, posterior array<double>, domains array<string>").coalesce(1)
+    want = np.array([0.1, 0.2, 0.7])
+    weights = dict(zip("abc", want.tolist(), strict=True))
+    fit = mixing.solve(d, weights, 0.0, 0.7)
+    rate = fit.rates(post)
+    got = (t * rate) @ post / t.sum()
+    assert rate.min() >= 0 and fit.error == pytest.approx(np.abs(got / want - 1).max(), abs=1e-9) and fit.error <= mixing.WITHIN
+    # as near to one as any rates that meet the targets: a plain projected gradient with a small pull
+    x, w = np.ones(400), t / t.sum()
+    base = w @ post
+    for _ in range(20000):
+        x = np.maximum(0, x - post @ (((w * x) @ post - want) / base) - 1e-4 * (x - 1))
+    assert np.abs(rate - x).max() < 0.05
+    # rates that are written between steps are the same
+    monkeypatch.setattr(mixing, "REPLAY", 2)
+    again = mixing.solve(d, weights, 0.0, 0.7)
+    assert len(again.steps) == len(fit.steps) > 4 and np.allclose(again.rates(post), rate, atol=1e-9)
+    # targets out of reach end, and say how far they are missed: no row is all one domain
+    far = mixing.solve(d.where("posterior[1] > 0.3"), {"a": 1.0}, 0.0, 0.7)
+    assert 0.05 < far.error <= 1 and len(far.steps) < 200

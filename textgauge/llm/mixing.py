@@ -2,11 +2,15 @@
 
 A classifier learned from labelled rows gives every document a posterior over
 domains.  A document's rate is how often it is to be seen; rates are fitted by
-least squares, so that the expected token totals of the domains, sums of
-rate x tokens x posterior, meet their targets, each relative to itself.  The best
-rates are one less the posterior's share of a price for each domain, and at least
-the floor, so Newton's method looks for the prices alone.  Each step is one pass
-over (tokens, posterior) rows that sums totals by domain and pair of domains.
+projected-gradient least squares, so that the expected token totals of the domains,
+sums of rate x tokens x posterior, meet their targets.  Errors are weighed by what a
+domain has at first, which bounds the problem's curvature by one: a step of length
+one never overshoots, and a rare domain is met in as few steps as a frequent one.
+A step moves every rate against the gradient, projects it onto rates of at least
+the floor, and runs on with momentum, which is dropped where it turns uphill.  Each
+step is one pass over (tokens, posterior) rows that sums a few numbers by domain;
+a row's rates follow from the errors sent with the steps, and are written down once
+in ``REPLAY`` steps.
 """
 
 from __future__ import annotations
@@ -27,10 +31,15 @@ from .common import byte_set, draw_distinct, keyed, materialize, pieces, texts,
 #: excerpt of as many characters stands for a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 16384
 CELLS = 8192
-#: Pull of the rates towards one, against errors relative to the targets; it is lessened
-#: until every domain is ``WITHIN`` this share of its target, where targets can be met.
-RIDGE = 3e-4
-WITHIN, CLOSE = 0.005, 1e-4
+#: Pull of the rates towards one, and the mean move of a domain's rates below which it
+#: counts as settled; both are lessened until every domain is ``WITHIN`` this share of
+#: its target, as long as that halves the error.
+RIDGE, CLOSE = 3e-4, 1e-4
+WITHIN = 0.005
+#: Steps in which the largest error has to fall by a tenth, or the rates count as settled too.
+STALL = 24
+#: Steps after which rates are written, so that no pass works out more of them anew.
+REPLAY = 32
 _INSIDE = ~byte_set(space=(32, 32), controls=(9, 13))
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
@@ -121,7 +130,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     shares of all tokens; by default a domain's share is its present share to the
     power ``smoothing``, scaled to one.  With ``floor`` 0 the token total stays;
     with a floor above 0 it grows as far as the targets need.  Null and empty
-    texts have no tokens, the prior as posterior, and a rate like any other.  With
+    texts have no tokens, the prior as posterior, and a rate like any other.  Targets
+    that no rates meet are approached as far as least squares go (``solve`` gives the
+    error left); domains of equal weight are treated alike.  With
     nothing labelled there is one domain, and all rates are one.  Repeated rows
     get equal rates; the order and number of columns do not matter.
     """
@@ -160,86 +171,125 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+@dataclass(frozen=True)
+class Step:
+    """One projected-gradient step: each domain's weighed error, the ridge, and the
+    momentum that follows."""
+
+    errors: np.ndarray
+    ridge: float
+    momentum: float = 0.0
+
+
 @dataclass(frozen=True)
 class Fit:
-    """What tells a document's rate: a price for each domain, and the least rate."""
+    """The steps that lead to the rates, the least rate, and the largest error of a
+    domain against its target, as a share of it."""
 
-    prices: np.ndarray
+    steps: list[Step]
     floor: float
+    error: float = 0.0
 
     def rates(self, posterior: np.ndarray) -> np.ndarray:
-        base = max(1.0, self.floor)
-        return np.maximum(self.floor, base - posterior @ self.prices) if len(self.prices) else np.full(len(posterior), base)
+        return _walk(self.steps, self.floor, posterior, *_start(self.floor, posterior))[0]
+
+
+def _start(floor: float, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rate = np.full(len(posterior), max(1.0, floor))
+    return rate, rate
+
+
+def _walk(steps: list[Step], floor: float, posterior: np.ndarray, rate: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Take the steps: rates, and the places ahead of them that momentum leads to."""
+    base = max(1.0, floor)
+    if steps:
+        slopes = posterior @ np.array([s.errors for s in steps]).T
+    for k, s in enumerate(steps):
+        new = np.maximum(floor, ahead - (slopes[:, k] + s.ridge * (ahead - base)) / (1 + s.ridge))
+        rate, ahead = new, new + s.momentum * (new - rate)
+    return rate, ahead
 
 
 def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
     """The least-squares fit of ``mixing_rates`` for rows of ``membership``."""
     head = members.select("domains").first()
     if head is None:
-        return Fit(np.zeros(0), floor)
+        return Fit([], floor)
     names = list(head.domains)
     width, base = len(names), max(1.0, floor)
     if weights and names != ["all"] and (unknown := sorted(set(weights) - set(names))):
         raise ValueError(f"weights of domains without labelled text: {unknown}")
-    slim = members.select("n_tokens", "posterior")
+    state, written = members.select("n_tokens", "posterior"), 0
 
-    def totals(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """At these prices: value of the dual without its linear part, token totals by
-        domain, and the sums of tokens x p x p' over the rates that are free."""
+    def rows(b, done: int, steps: list[Step]):
+        t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
+        at = (b.column(2).to_numpy(), b.column(3).to_numpy()) if done else _start(floor, p)
+        return t, p, *_walk(steps, floor, p, *at)
+
+    def totals(steps: list[Step], last: Step | None) -> np.ndarray:
+        """Token totals by domain after the last step, the tokens' moves by domain in
+        it, and how far it goes against the momentum that led to it."""
+        done = written
 
         def run(batches):
-            out = np.zeros(1 + width + width * width)
+            out = np.zeros(2 * width + 1)
             for b in batches:
-                t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
-                if len(t):
-                    u = p @ prices
-                    free, r = u <= base - floor, np.maximum(floor, base - u)
-                    out[0] += t @ np.where(free, (base - u) ** 2 / 2, floor * (base - u) - floor**2 / 2)
-                    out[1 : 1 + width] += (t * r) @ p
-                    out[1 + width :] += ((p * (t * free)[:, None]).T @ p).ravel()
+                if len(b):
+                    t, p, rate, ahead = rows(b, done, steps)
+                    new = _walk([last], floor, p, rate, ahead)[0] if last else rate
+                    out[:width] += (t * new) @ p
+                    out[width:-1] += (t * np.abs(new - ahead)) @ p
+                    out[-1] += t @ ((ahead - new) * (new - rate))
             yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array(out)})
 
-        # one row for each domain or pair of domains
-        got = {r.k: r.v for r in slim.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        flat = np.array([got[k] for k in range(1 + width + width * width)])
-        return flat[0] / whole, flat[1 : 1 + width] / whole, flat[1 + width :].reshape(width, width) / whole
+        # two rows for each domain
+        got = {r.k: r.v for r in state.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        return np.array([got[k] for k in range(2 * width + 1)])
+
+    def write(steps: list[Step]) -> DataFrame:
+        done = written
 
-    prices, whole = np.zeros(width), 1.0
-    first = totals(prices)
-    whole = float(first[1].sum())
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    _, _, rate, ahead = rows(b, done, steps)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rate), pa.array(ahead)], ["n_tokens", "posterior", "rate", "ahead"])
+
+        return materialize(state.mapInArrow(run, "n_tokens bigint, posterior array<double>, rate double, ahead double"))
+
+    first = totals([], None)[:width]
+    whole = float(first.sum())
     if whole <= 0:
-        return Fit(np.zeros(0), floor)
-    value, now, gram = (x / whole for x in first)
+        return Fit([], floor)
+    # totals are shares of all tokens at the first rate
+    now = first / whole
     share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.power(now, smoothing)
     share = share / share.sum() if share.sum() > 0 else now
     target = share * (1.0 if floor <= 0 else max(1.0, float(np.max(now / np.where(share > 0, share, np.inf)))))
-    # errors count relative to a domain's target, or to what it has where that is none
-    unit = np.maximum(np.where(target > 0, target, now), 1e-12)
-    ridge, before = RIDGE, np.inf
-    while True:
-        # Newton's method on the convex dual of this ridge
-        cost = value + target @ prices + ridge / 2 * unit @ prices**2
-        while True:
-            slope = target - now + ridge * unit * prices
-            if np.abs(slope / unit).max() <= CLOSE:
-                break
-            move = -np.linalg.solve(gram + ridge * np.diag(unit), slope)
-            step, gain = 1.0, float(slope @ move)
-            while True:
-                new = prices + step * move
-                tried = totals(new)
-                there = tried[0] + target @ new + ridge / 2 * unit @ new**2
-                if there <= cost + 1e-4 * step * gain or step < 1e-6:
-                    break
-                step /= 2
-            if not there < cost:  # as far as the numbers go
+    # rates are multiples of the first one in these units
+    unit, relative = np.maximum(now, 1e-12) / base, np.maximum(np.where(target > 0, target, now), 1e-12)
+    worst = float(np.abs((now - target) / relative).max())
+    steps, seen, ahead, ridge, close, pace, before = [], [], now, RIDGE, CLOSE, 1.0, np.inf
+    while worst > CLOSE:
+        step = Step((ahead - target) / unit, ridge)
+        got = totals(steps[written:], step)
+        new, moved, uphill = got[:width] / whole, got[width:-1] / whole, got[-1]
+        worst = float(np.abs((new - target) / relative).max())
+        seen.append(worst)
+        settled = float((moved / unit).max()) <= close * base or (len(seen) > STALL and min(seen[-STALL:]) > 0.9 * min(seen[:-STALL]))
+        faster = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        momentum = 0.0 if uphill > 0 or settled else (pace - 1) / faster
+        pace = faster if momentum or pace == 1.0 else 1.0
+        steps.append(Step(step.errors, ridge, momentum))
+        # totals are linear in the rates, so those of the place ahead need no pass
+        ahead, now = new + momentum * (new - now), new
+        if settled:
+            if worst <= WITHIN or worst > before / 2 or ridge < 1e-9:
                 break
-            prices, (value, now, gram), cost = new, tried, there
-        worst = float(np.abs((now - target) / unit).max())
-        # a smaller ridge is of use as long as it lessens the error; targets may be out of reach
-        if worst <= WITHIN or worst > before / 2:
-            return Fit(prices, floor)
-        before, ridge = worst, ridge / 10
+            before, ridge, close, seen = worst, ridge / 10, close / 10, []
+        if len(steps) - written >= REPLAY:
+            state, written = write(steps[written:]), len(steps)
+    return Fit(steps, floor, worst)
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> DataFrame:
