@@ -132,7 +132,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
     with a floor above 0 it grows as far as the targets need.  Null and empty
     texts have no tokens, the prior as posterior, and a rate like any other.  Targets
     that no rates meet are approached as far as least squares go (``solve`` gives the
-    error left); domains of equal weight are treated alike.  With
+    error left).  With
     nothing labelled there is one domain, and all rates are one.  Repeated rows
     get equal rates; the order and number of columns do not matter.
     """
