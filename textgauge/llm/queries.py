@@ -18,6 +18,7 @@ from .sharding import shard_rows
 from .suffix_dedup import repeated_spans
 from .token_counts import token_counts
 from .url_filter import SITE_RULES, WORD_RULES, judge_urls
+from .whitening import by_component, whiten
 
 
 def _fold(folds: int):
@@ -70,6 +71,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
