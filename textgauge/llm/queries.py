@@ -14,6 +14,8 @@ from .common import table
 from .contamination import contaminated_spans, digest
 from .exact_dedup import exact_dedup
 from .ngram_join import near_duplicates
+from .secret_scan import digest as secret_digest
+from .secret_scan import find_secrets
 from .sharding import shard_rows
 from .suffix_dedup import repeated_spans
 from .token_counts import token_counts
@@ -75,6 +77,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
@@ -87,6 +93,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
