@@ -16,6 +16,9 @@ COLUMNS = {
     "op6_benchmark_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op8_exact_dedup": "doc_id keep_id group_size kept text_sha256",
     "op9_toxicity": "doc_id held_out score predicted",
+    "op11_source_divergence": "lang source part item value rank",
+    "op12_embedding_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
@@ -68,3 +71,11 @@ def test_held_out(spark, name, folds, kept):
     assert all(r.held_out == (crc(r.doc_id) % folds == kept) and 0 <= r.score <= 1 for r in rows)
     if name == "op9_toxicity":
         assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+@pytest.mark.parametrize("name,table", [("op12_embedding_whitening", "embeddings"), ("op13_secret_scan", "documents")])
+def test_columns_and_rows(spark, name, table):
+    got = queries.QUERIES[name](spark, SF)
+    assert set(COLUMNS[name].split()) <= set(got.columns)
+    n = spark.read.parquet(f"{SF}/{table}.parquet").count()
+    assert got.count() == n * (8 if table == "embeddings" else 1)
