@@ -1,8 +1,12 @@
+import random
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textgauge.functions import alignment
 from textgauge.functions.alignment import capped, edit_counts, edit_counts_udf, token_distance
 from textgauge.operators import scoring
 
@@ -39,6 +43,27 @@ def test_counts(r, h):
     assert abs(len(r) - len(h)) <= d <= max(len(r), len(h))
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 64])
+def test_whole_batches(monkeypatch, cells):
+    """Pairs of all sizes aligned together, in bands that have to be widened."""
+    monkeypatch.setattr(alignment, "CELLS", cells)
+    rng = random.Random(cells)
+    pairs = [(rng.choices("abcdefg"[: rng.randint(1, 7)], k=rng.randint(0, 60)), rng.choices("abcdefg", k=rng.randint(0, 60))) for _ in range(250)]
+    pairs += [(r, r[: len(r) // 2] + rng.choices("xyz", k=rng.randint(0, 5)) + r[len(r) // 2 :]) for r, _ in pairs[:100]]
+    pairs += [(None, ["a"]), (["a"], None), ([], []), (["a", None], [None, "a"]), ([None], ["None"])]
+    got = alignment.edit_counts_of(*(pa.array([p[k] for p in pairs], pa.list_(pa.string())) for k in (0, 1))).to_pylist()
+    assert [g and tuple(g.values()) for g in got] == [None if r is None or h is None else table(r, h) for r, h in pairs]
+
+
+def test_long_pairs():
+    rng = random.Random(3)
+    r = rng.choices(range(2000), k=5000)
+    h = [x if rng.random() < 0.9 else -1 for x in r[40:]] + rng.choices(range(2000), k=30)
+    d, s, x, n = alignment.edit_counts_of(pa.array([r]), pa.array([h]))[0].as_py().values()
+    assert d == s + x + n and x - n == 10 and 500 < d < 700
+    assert alignment.edit_counts_of(pa.array([r]), pa.array([[-2] * 4000]))[0].as_py() == {"distance": 5000, "substitutions": 4000, "deletions": 1000, "insertions": 0}
+
+
 def test_columns(spark):
     rows = [(1, ["a", "b", "c"], ["a", "x", "c"]), (2, [], ["a"]), (3, ["é"] * 3, []), (4, None, ["a"]), (5, ["a", "a", "b"], ["b", "a", "a", "c"])]
     df = spark.createDataFrame(rows, "id int, r array<string>, h array<string>")

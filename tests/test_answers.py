@@ -1,9 +1,12 @@
 import json
+import random
+import re
 
 import pytest
 
 from textgauge.functions.answers import ITEM_IDS, read_checklist, read_transcription
-from textgauge.functions.runs import longest_character_run, longest_unit_run
+from textgauge.functions import runs
+from textgauge.functions.runs import longest_character_run, longest_runs, longest_unit_run
 
 IDS = ["T01", "T02"]
 
@@ -104,3 +107,31 @@ def test_runs():
     assert longest_unit_run("ab" * 63) is None
     assert longest_unit_run("y" * 200)[:3] == ("yy", 2, 100)
     assert longest_unit_run("-" + "abcdefghi" * 16 + "-")[4:] == (1, 145)
+
+
+def slow_unit_run(text, most=16, repeats=16, covers=128):
+    """Every start and unit, counted out."""
+    best = None
+    for u in range(2, most + 1):
+        for a in range(len(text) - u + 1):
+            n = 1
+            while text[a + n * u : a + (n + 1) * u] == text[a : a + u]:
+                n += 1
+            if n >= repeats and n * u >= covers and (best is None or (n * u, -u, -a) > best[0]):
+                best = (n * u, -u, -a), (text[a : a + u], u, n, n * u, a, a + n * u)
+    return best and best[1]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 50])
+def test_runs_of_a_batch(monkeypatch, piece):
+    monkeypatch.setattr(runs, "PIECE", piece)
+    rng = random.Random(piece)
+    texts = [None, "", "a", "\U0001f600" * 20, "ab" * 10]
+    for _ in range(80):
+        unit = "".join(rng.choice("abé\U0001f600 ") for _ in range(rng.randint(1, 17)))
+        texts.append("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) + unit * rng.randint(0, 30) + unit[: rng.randint(0, 3)] + rng.choice(["", "aaaab", unit * 20]))
+    got = longest_runs(texts, covers=20, repeats=5)
+    assert [g[1] for g in got] == [slow_unit_run(t or "", covers=20, repeats=5) for t in texts]
+    for t, (c, _) in zip(texts, got, strict=True):
+        best = max(re.finditer(r"(.)\1*", t or "", re.DOTALL), key=lambda m: len(m[0]), default=None)
+        assert c == (best and (best[1], 1, len(best[0]), len(best[0]), *best.span()))

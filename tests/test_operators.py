@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgauge.functions import text
-from textgauge.operators import attempts, matching, partitioning, prompts, validation, workflow
+from textgauge.operators import attempts, candidates, matching, partitioning, prompts, validation, workflow
 from textgauge.plans import reports
 from textgauge.sources import readers, sinks
 
@@ -110,7 +110,7 @@ def test_workflow(spark):
     got = {r.case_id: (r.seq, r.exceeds) for r in workflow.first_violation(calls).collect()}
     assert got == {"a": (30, "api_calls"), "b": (3, "videos"), "c": (20, "actions")}
     events = spark.createDataFrame([("a", 1, "v1", "add"), ("a", 2, "v2", "add"), ("a", 3, "v1", "finalize"), ("a", 4, "v2", "finalize"), ("a", 5, "v3", "add"), ("a", 6, "v3", "rollback")], "case_id string, seq int, candidate_id string, event string")
-    assert {r.candidate_id: r.state for r in workflow.candidate_states(events).collect()} == {"v1": "active", "v2": "finalized", "v3": "rolled_back"}
+    assert {r.candidate_id: r.state for r in candidates.candidate_states(events).collect()} == {"v1": "active", "v2": "finalized", "v3": "rolled_back"}
     cand = spark.createDataFrame([("a", "vid-0001", "video", "active", None), ("a", "vid-0002", "video", "active", "img-0009"), ("b", "vid-0001", "video", "active", None), ("b", "vid-0002", "video", "active", None)], "case_id string, candidate_id string, kind string, status string, parent_id string")
     assert [r.candidate_id for r in workflow.orphans(cand).collect()] == ["vid-0002"]
     obs = spark.createDataFrame([("b", "vid-0001", 3), ("b", "vid-0001", 3), ("a", "vid-0001", 0)], "case_id string, candidate_id string, severity int")

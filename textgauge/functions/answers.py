@@ -10,7 +10,7 @@ import json
 import re
 
 from textgauge.functions.arrow import arrow_function
-from textgauge.functions.runs import longest_character_run, longest_unit_run
+from textgauge.functions.runs import longest_runs
 
 STATUSES = ("carrier_not_found", "text_unreadable", "transcribed")
 TEXT_LIMIT = 640
@@ -55,8 +55,8 @@ def _loads(content: str | None):
 
 def loops(raw: str) -> bool:
     """Whether a raw text looks like a repetition loop."""
-    run = longest_character_run(raw)
-    return bool(run and run[3] >= 64) or longest_unit_run(raw) is not None or _SPACES.search(raw) is not None
+    run, unit = longest_runs([raw])[0]
+    return bool(run and run[3] >= 64) or unit is not None or _SPACES.search(raw) is not None
 
 
 # ------------------------------------------------------------------ transcription

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udf, udtf
+from pyspark.sql.functions import arrow_udf, udf, udtf
 
-from textgauge.functions.alignment import COUNTS, edit_counts
+from textgauge.functions.alignment import COUNTS, edit_counts_of
 from textgauge.functions.answers import read_transcription
 from textgauge.functions.tokenizer import legacy_tokens, tokenize
 
@@ -24,6 +24,6 @@ def register(spark: SparkSession) -> list[str]:
     spark.udf.register("text_tokens", udf(lambda t: [x.value for x in tokenize(t)], "array<string>", useArrow=True))
     spark.udf.register("text_token_kinds", udf(lambda t: [x.kind for x in tokenize(t)], "array<string>", useArrow=True))
     spark.udf.register("legacy_text_tokens", udf(legacy_tokens, "array<string>", useArrow=True))
-    spark.udf.register("edit_counts", udf(lambda r, h: edit_counts(None if r is None else list(r), None if h is None else list(h)), struct, useArrow=True))
+    spark.udf.register("edit_counts", arrow_udf(edit_counts_of, struct))
     spark.udtf.register("explode_answer", udtf(_AnswerRows, returnType="place int, text_id string, status string, text string, readability_note string"))
     return ["text_tokens", "text_token_kinds", "legacy_text_tokens", "edit_counts", "explode_answer"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textgauge.functions.arrow import arrow_function, list_function
+from textgauge.functions.runs import longest_runs
 
 TOKENS = "array<struct<value:string,kind:string>>"
 #: White space as Python reads it: Java's class and the separators that it lacks.
@@ -111,14 +112,20 @@ def repetition_warnings(text: Column) -> Column:
 _RUN = "struct<unit:string,unit_length:int,repeat_count:int,covered_length:int,start:int,end:int>"
 
 
-@arrow_function(f"struct<length:int,longest_character_run:{_RUN},longest_repeated_substring_run:{_RUN},reached_text_character_limit:boolean>")
-def repetition_details(text):
+def repetition_details(text) -> Column:
     """Where the longest runs are; the columns above say whether there are any."""
-    from textgauge.functions.runs import longest_character_run, longest_unit_run
-
-    if text is None:
-        return None
-    return len(text), longest_character_run(text), longest_unit_run(text), len(text) == 640
+    run = pa.struct([("unit", pa.string()), *[(n, pa.int32()) for n in ("unit_length", "repeat_count", "covered_length", "start", "end")]])
+    names = [f.name for f in run]
+
+    def on_batch(texts: pa.Array) -> pa.Array:
+        own = texts.to_pylist()
+        found = longest_runs(own)
+        columns = [pa.array([dict(zip(names, x[k], strict=True)) if x[k] else None for x in found], run) for k in (0, 1)]
+        size = [len(t or "") for t in own]
+        parts = [pa.array(size, pa.int32()), *columns, pa.array([n == TEXT_LIMIT for n in size], pa.bool_())]
+        return pa.StructArray.from_arrays(parts, ["length", "longest_character_run", "longest_repeated_substring_run", "reached_text_character_limit"], mask=pa.array([t is None for t in own], pa.bool_()))
+
+    return F.arrow_udf(on_batch, returnType=f"struct<length:int,longest_character_run:{_RUN},longest_repeated_substring_run:{_RUN},reached_text_character_limit:boolean>")(text)
 
 
 # ------------------------------------------------------------------ hashes and prompts

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from textgauge.functions.text import occurrences
+from textgauge.operators.leaks import occurrences_in, text_key
 from textgauge.sources.layout import spread_rows
 from textgauge.sources.sinks import checkpointed
 
@@ -47,32 +48,42 @@ def leaks(request: Column, private: Column) -> Column:
     return F.exists(private, lambda t: F.contains(request, t["verbatim"]))
 
 
-#: Characters of targets that are searched for at once.
-BLOCK_CHARS = 8 << 20
+#: Characters of targets up to which one automaton looks for all of them.
+AUTOMATON_CHARS = 1 << 20
 
 
-def leaked_cases(documents: DataFrame, cases: DataFrame) -> DataFrame:
+def leaked_cases(documents: DataFrame, cases: DataFrame, most: int = AUTOMATON_CHARS) -> DataFrame:
     """How many cases each document shows a private target of: doc_id, n_cases.
 
-    All targets are looked for in one pass over a text by an Aho-Corasick
-    automaton.  The driver holds the targets in blocks of at most ``BLOCK_CHARS``
-    and what they leave over goes through further passes, so any number of cases
-    has its exact count.  A null text or target shows nothing, an empty target is in
+    Targets of up to ``most`` characters in all are looked for in one pass over a text
+    by an Aho-Corasick automaton that every worker holds.  More are found by their
+    rarest grams (``leaks``), which no worker holds whole.  Counts are exact and the same
+    either way.  A null text or target shows nothing, an empty target is in
     every text.  Rows that repeat are counted alike.
     """
-    spark = documents.sparkSession
     wanted = cases.select("id", F.explode("private_targets").alias("t")).select("id", F.col("t.verbatim").alias("verbatim")).where("verbatim IS NOT NULL").distinct()
     wanted = checkpointed(wanted)
-    # whole cases to a block, so that the counts of blocks add up
     size = wanted.agg(F.sum(F.length("verbatim") + 16)).first()[0] or 0
-    blocks = max(1, -(-2 * size // BLOCK_CHARS))
-    total, number = F.lit(0).cast("bigint"), F.pmod(F.xxhash64("id"), F.lit(blocks))
+    if size > most:
+        return _leaked_by_grams(documents, wanted)
+    sent = documents.sparkSession.sparkContext.broadcast([(r.id, r.verbatim) for r in wanted.collect()])
     docs = spread_rows(documents.select("doc_id", "text"))
-    for k in range(blocks):
-        rows = wanted.where(number == k).collect() if blocks > 1 else wanted.collect()
-        sent = spark.sparkContext.broadcast([(r.id, r.verbatim) for r in rows])
-        total = total + F.coalesce(_case_counter(sent)(F.col("text")), F.lit(0))
-    return docs.select("doc_id", total.alias("n_cases"))
+    return docs.select("doc_id", F.coalesce(_case_counter(sent)(F.col("text")), F.lit(0)).alias("n_cases"))
+
+
+def _leaked_by_grams(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``leaked_cases`` for targets of any number."""
+    everywhere = checkpointed(wanted.where("verbatim = ''").select("id").distinct())
+    texts = checkpointed(wanted.where("verbatim <> ''").select("verbatim").distinct().withColumn("target", F.monotonically_increasing_id()))
+    found = occurrences_in(documents, texts)
+    rest = wanted.join(texts, "verbatim").select("id", "target").join(everywhere, "id", "left_anti")
+    key = ["doc_id", "h1", "h2"]
+    counts = found.join(rest, "target").select(*key, "id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    rows = documents.select("doc_id", *text_key("text"), F.col("text").isNotNull().alias("there"))
+    theirs = counts.select(*[F.col(c).alias(f"_{c}") for c in key], "n")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    n = F.lit(everywhere.count()) + F.coalesce("n", F.lit(0))
+    return rows.join(theirs, same, "left").select("doc_id", F.when(F.col("there"), n).otherwise(F.lit(0)).cast("bigint").alias("n_cases"))
 
 
 def _case_counter(sent):

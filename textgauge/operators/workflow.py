@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textgauge.operators.tools import CONSERVATIVE_MOTION
 from textgauge.operators.validation import media_ok
 
 # Limits of a run, and what a turn and each tool cost.
@@ -20,7 +21,6 @@ COSTS = {
     "compare_candidates": (1, 1, 0),
     "finalize_candidate": (1, 0, 0),
 }
-GONE = ("rejected", "rolled_back")
 
 
 def charged(calls: DataFrame, costs: dict[str, tuple[int, int, int]] = COSTS, limits: dict[str, int] = LIMITS, key: str = "case_id", order: str = "seq") -> DataFrame:
@@ -91,37 +91,6 @@ def recovered(calls: DataFrame) -> DataFrame:
     return calls.withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")))
 
 
-def candidate_states(events: DataFrame, keys: tuple[str, ...] = ("case_id", "candidate_id"), order: str = "seq") -> DataFrame:
-    """Latest state of each candidate.  A finalised one returns to active when another
-    of its case is finalised later; adding makes it active."""
-    case = keys[0]
-    state = F.when(F.col("event") == "add", "active").when(F.col("event") == "finalize", "finalized").when(F.col("event") == "reject", "rejected").when(F.col("event") == "rollback", "rolled_back")
-    last = events.withColumn("state", state).where("state IS NOT NULL").groupBy(*keys).agg(F.max_by("state", order).alias("state"), F.max(order).alias("at"))
-    newest = F.max(F.when(F.col("state") == "finalized", F.col("at"))).over(Window.partitionBy(case))
-    return last.withColumn("state", F.when((F.col("state") == "finalized") & (F.col("at") < newest), "active").otherwise(F.col("state"))).drop("at")
-
-
-def event_faults(events: DataFrame, keys: tuple[str, ...] = ("case_id", "candidate_id"), order: str = "seq") -> DataFrame:
-    """Events with ``fault``: exists (added again), unknown (nothing added before),
-    not_a_video and gone (a finalisation that is refused).  Other columns stay.
-
-    An event with a fault changes nothing, so a candidate is gone with the first
-    rejection or roll-back after it was added, and stays so."""
-    w = Window.partitionBy(*keys)
-    event, at = F.col("event"), F.col(order)
-    added = F.min(F.when(event == "add", at)).over(w)
-    rows = events.withColumn("__added", added)
-    left = F.min(F.when(event.isin("reject", "rollback") & (at > F.col("__added")), at)).over(w)
-    rows = rows.withColumn("__left", left)
-    fault = (
-        F.when((event == "add") & (at > F.col("__added")), "exists")
-        .when(F.col("__added").isNull() | (at < F.col("__added")), "unknown")
-        .when((event == "finalize") & (F.col("kind") != "video"), "not_a_video")
-        .when((event == "finalize") & (at > F.col("__left")), "gone")
-    )
-    return rows.withColumn("fault", fault).drop("__added", "__left")
-
-
 def orphans(candidates: DataFrame) -> DataFrame:
     """Candidates whose parent does not exist in their case."""
     ids = candidates.select("case_id", F.col("candidate_id").alias("parent_id"))
@@ -129,10 +98,10 @@ def orphans(candidates: DataFrame) -> DataFrame:
 
 
 def next_ids(candidates: DataFrame, key: str = "case_id") -> DataFrame:
-    """The next id of each kind (img-0001, vid-0001 where there is none yet)."""
-    number = F.regexp_extract("candidate_id", r"-(\d+)$", 1).try_cast("int")
-    used = candidates.groupBy(key).pivot("kind", ["image", "video"]).agg(F.max(number))
-    return used.select(key, *[F.format_string(f"{p}-%04d", F.coalesce(F.col(k), F.lit(0)) + 1).alias(f"next_{k}") for k, p in (("image", "img"), ("video", "vid"))])
+    """The next id of each kind (img-0001, vid-0001 where there is none yet); ids of another
+    form count for nothing."""
+    highest = lambda p: F.coalesce(F.max(F.regexp_extract("candidate_id", rf"^{p}-(\d+)$", 1).try_cast("bigint")), F.lit(0))
+    return candidates.groupBy(key).agg(*[F.format_string(f"{p}-%04d", highest(p) + 1).alias(f"next_{k}") for k, p in (("image", "img"), ("video", "vid"))])
 
 
 def latest_preference(calls: DataFrame, eligible: DataFrame, key: str = "case_id", order: str = "seq") -> DataFrame:
@@ -167,11 +136,14 @@ def rescue(candidates: DataFrame, observations: DataFrame, calls: DataFrame, med
     return mild.join(liked, "case_id", "left").select("case_id", F.coalesce("preferred", "mildest").alias("candidate_id"), F.when(F.col("preferred").isNotNull(), "preference").otherwise("severity").alias("chosen_by"))
 
 
-def rescue_plans(candidates: DataFrame, observations: DataFrame, calls: DataFrame, media: DataFrame | None = None) -> DataFrame:
+def rescue_plans(candidates: DataFrame, observations: DataFrame, calls: DataFrame, media: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """How each run is rescued: ``start`` is video, image or prompt (what there is to
     begin with), ``candidate_id`` the one chosen, and ``rolled_back`` the other
-    active videos.  A run that starts from an image or the prompt makes its video first."""
-    runs = candidates.select("case_id").distinct()
+    active videos.  A run that starts from an image or the prompt makes its video first.
+
+    ``runs`` has the ``case_id`` of every run to rescue, those without any candidate too;
+    by default the runs are those that candidates and calls name."""
+    runs = candidates.select("case_id").union(calls.select("case_id")).distinct() if runs is None else runs.select("case_id").distinct()
     best = {k: rescue(candidates, observations, calls, media if k == "video" else None, k).select("case_id", F.col("candidate_id").alias(k)) for k in ("video", "image")}
     out = runs.join(best["video"], "case_id", "left").join(best["image"], "case_id", "left")
     start = F.when(F.col("video").isNotNull(), "video").when(F.col("image").isNotNull(), "image").otherwise("prompt")
@@ -181,6 +153,38 @@ def rescue_plans(candidates: DataFrame, observations: DataFrame, calls: DataFram
     return out.select("case_id", "start", "candidate_id", others.alias("rolled_back"))
 
 
+# What a rescue's calls say.
+RESCUE_DIAGNOSIS, RESCUE_FINAL_DIAGNOSIS = "Guaranteed-delivery rescue: ", "Deterministic guaranteed-delivery finalization: "
+RESCUE_NEGATIVE = "blurred text, distorted letters, illegible print"
+RESCUE_RATIONALE = (
+    "Agentic exploration could not terminate within its guardrail. Selected the best valid active historical video using explicit comparison preference when available, otherwise the lowest "
+    "observed-severity score."
+)
+
+
+def rescue_calls(plans: DataFrame, runs: DataFrame) -> DataFrame:
+    """The calls that carry plans out: case_id, step, tool_name, arguments (JSON).
+
+    ``runs`` has case_id, ``prompt_en`` and ``rescue_reason``.  A run without any candidate
+    makes a key frame and then a video, one with an image its video; both take the ids
+    that the calls before them return, which are null here.  Every run is finalised,
+    and its other active videos are rolled back with that."""
+    p = plans.join(runs.select("case_id", "prompt_en", "rescue_reason"), "case_id")
+    why = F.coalesce("rescue_reason", F.lit(""))
+    none, no = F.array().cast("array<string>"), F.lit(None).cast("string")
+    from_video, from_image = F.col("start") == "video", F.col("start") == "image"
+
+    def call(step: int, tool: str, wanted: Column, **arguments: Column) -> Column:
+        told = F.to_json(F.struct(*[v.alias(k) for k, v in arguments.items()]), {"ignoreNullFields": "false"})
+        return F.when(wanted, F.struct(F.lit(step).alias("step"), F.lit(tool).alias("tool_name"), told.alias("arguments")))
+
+    begun = F.concat(F.lit(RESCUE_DIAGNOSIS), why)
+    key_frame = call(0, "generate_keyframes", ~from_video & ~from_image, diagnosis=begun, generation_prompt=F.col("prompt_en"), negative_prompt=F.lit(RESCUE_NEGATIVE), count=F.lit(1), vary=none, parent_id=no, rollback_candidate_ids=none)
+    video = call(1, "generate_video", ~from_video, diagnosis=begun, keyframe_id=F.when(from_image, F.col("candidate_id")), motion_refinement=F.lit(CONSERVATIVE_MOTION), parent_video_id=no, rollback_candidate_ids=none)
+    final = call(2, "finalize_candidate", F.lit(True), diagnosis=F.concat(F.lit(RESCUE_FINAL_DIAGNOSIS), why), candidate_id=F.when(from_video, F.col("candidate_id")), rationale=F.lit(RESCUE_RATIONALE), rollback_candidate_ids=F.col("rolled_back"))
+    return p.select("case_id", F.inline(F.array_compact(F.array(key_frame, video, final))))
+
+
 def rescued(candidates: DataFrame, plans: DataFrame) -> DataFrame:
     """Candidates with their ``status`` after the rescue of their runs: the chosen video
     is finalized, every other active one rolled back; all else stays."""

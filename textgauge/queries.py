@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from textgauge.functions import answers, text
 from textgauge.functions.alignment import edit_counts_udf, token_distance
-from textgauge.operators import attempts, diagnostics, matching, partitioning, prompts, scoring, tools, validation, workflow
+from textgauge.operators import attempts, candidates, diagnostics, matching, partitioning, prompts, scoring, tools, validation, workflow
 from textgauge.plans import reports
 from textgauge.sources.layout import spread_rows
+from textgauge.sources.sinks import checkpointed
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -280,6 +281,29 @@ def repetition_flags(spark, sf_dir):
     return d.select("doc_id", text.same_character_run(F.col("text")).alias("same_character"), text.repeated_unit_run(F.col("text")).alias("repeated_unit"), text.white_space_run(F.col("text")).alias("white_space"))
 
 
+_LEADS = ", ".join(f"lead(c, {u}) OVER w" for u in range(1, 17))
+
+
+@query(f"""
+    WITH ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> ''),
+         l AS (SELECT doc_id, i, c, [{_LEADS}] AS n FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+         same AS (SELECT doc_id, i, u FROM (SELECT doc_id, i, c, unnest(n) AS x, generate_subscripts(n, 1) AS u FROM l) WHERE c = x),
+         run AS (SELECT doc_id, u, min(i) AS a, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, u ORDER BY i) AS island FROM same) GROUP BY doc_id, u, island),
+         one AS (SELECT doc_id, a, n + 1 AS n FROM run WHERE u = 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a) = 1),
+         unit AS (SELECT doc_id, a, u, n // u + 1 AS k FROM run WHERE u > 1 AND n // u + 1 >= 16 AND (n // u + 1) * u >= 128 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (n // u + 1) * u DESC, u, a) = 1)
+    SELECT doc_id, CAST(length(text) AS INT) AS length, CASE WHEN text <> '' THEN substr(text, coalesce(one.a, 1), 1) END AS char_unit, CAST(CASE WHEN text <> '' THEN coalesce(one.n, 1) END AS INT) AS char_count, CAST(CASE WHEN text <> '' THEN coalesce(one.a, 1) - 1 END AS INT) AS char_start,
+           substr(text, unit.a, u) AS unit, CAST(u AS INT) AS unit_length, CAST(k AS INT) AS repeat_count, CAST(k * u AS INT) AS covered_length, CAST(unit.a - 1 AS INT) AS unit_start, CAST(unit.a - 1 + k * u AS INT) AS unit_end
+    FROM documents LEFT JOIN one USING (doc_id) LEFT JOIN unit USING (doc_id)""")
+def repetition_details(spark, sf_dir):
+    """Where the longest runs of every document are."""
+    d = spread_rows(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.repetition_details("text").alias("d"))
+    one, unit = F.col("d.longest_character_run"), F.col("d.longest_repeated_substring_run")
+    return d.select(
+        "doc_id", "d.length", *[one[a].alias(b) for a, b in (("unit", "char_unit"), ("repeat_count", "char_count"), ("start", "char_start"))],
+        *[unit[a].alias(b) for a, b in (("unit", "unit"), ("unit_length", "unit_length"), ("repeat_count", "repeat_count"), ("covered_length", "covered_length"), ("start", "unit_start"), ("end", "unit_end"))],
+    )
+
+
 # ------------------------------------------------------------------ attempts
 
 _ATTEMPTS = "SELECT conv_id, turn AS attempt, length(text) % 5 = 0 AS passed, length(text) % 2 = 0 AS parsed, CASE WHEN length(text) % 5 = 0 THEN NULL WHEN length(text) % 3 = 0 THEN 'invalid_json' WHEN length(text) % 3 = 1 THEN 'incomplete_answer_block' ELSE 'other' END AS reason FROM conversations"
@@ -474,12 +498,62 @@ def _candidate_events(spark, sf_dir) -> DataFrame:
 _CANDIDATE_SQL = f"ce AS (SELECT user_id AS case_id, event_id AS seq, {_CANDIDATE} AS candidate_id, CASE WHEN event_id % 2 = 0 THEN 'image' ELSE 'video' END AS kind, {_EVENT} AS event, CAST(floor(value) AS BIGINT) % 4 AS severity FROM events)"
 
 
-@query(f"""
-    WITH {_CANDIDATE_SQL},
-         l AS (SELECT case_id, candidate_id, arg_max(CASE event WHEN 'add' THEN 'active' WHEN 'finalize' THEN 'finalized' WHEN 'reject' THEN 'rejected' ELSE 'rolled_back' END, seq) AS state, max(seq) AS seen FROM ce WHERE event <> 'observe' GROUP BY 1, 2)
-    SELECT case_id, candidate_id, CASE WHEN state = 'finalized' AND seen < max(seen) FILTER (state = 'finalized') OVER (PARTITION BY case_id) THEN 'active' ELSE state END AS state FROM l""")
+def _fold_sql(events: str, select: str) -> str:
+    """A recursive fold: a run's events are taken in one by one, and what is known of its
+    candidates (kind and status by id) is carried along.  ``events`` makes the table ce."""
+    return f"""
+    WITH RECURSIVE {events},
+         e AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq, place) AS k FROM ce),
+         fold AS (
+            SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS candidate_id, CAST(NULL AS VARCHAR) AS fault, CAST(NULL AS VARCHAR) AS selected,
+                   CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(kind VARCHAR, status VARCHAR, parent_id VARCHAR, seen BIGINT))) AS held FROM e
+            UNION ALL
+            SELECT case_id, k, seq, place, candidate_id, fault, CASE WHEN fault IS NULL AND event = 'finalize' THEN candidate_id ELSE selected END AS selected,
+                   CASE WHEN fault IS NOT NULL THEN held
+                        WHEN event = 'add' THEN map_concat(held, MAP {{candidate_id: {{'kind': kind, 'status': 'active', 'parent_id': parent_id, 'seen': CAST(0 AS BIGINT)}}}})
+                        WHEN event = 'observe' THEN map_concat(held, MAP {{candidate_id: {{'kind': own.kind, 'status': own.status, 'parent_id': own.parent_id, 'seen': own.seen + 1}}}})
+                        WHEN event = 'reject' THEN map_concat(held, MAP {{candidate_id: {{'kind': own.kind, 'status': 'rejected', 'parent_id': own.parent_id, 'seen': own.seen}}}})
+                        WHEN event = 'rollback' THEN map_concat(held, MAP {{candidate_id: {{'kind': own.kind, 'status': 'rolled_back', 'parent_id': own.parent_id, 'seen': own.seen}}}})
+                        WHEN event = 'finalize' THEN map_concat(
+                            CASE WHEN held[selected].status = 'finalized' THEN map_concat(held, MAP {{selected: {{'kind': held[selected].kind, 'status': 'active', 'parent_id': held[selected].parent_id, 'seen': held[selected].seen}}}}) ELSE held END,
+                            MAP {{candidate_id: {{'kind': own.kind, 'status': 'finalized', 'parent_id': own.parent_id, 'seen': own.seen}}}})
+                        ELSE held END AS held
+            FROM (SELECT *, CASE WHEN event = 'add' AND own IS NOT NULL THEN 'exists'
+                                 WHEN event = 'add' AND parent_id IS NOT NULL AND held[parent_id] IS NULL THEN 'unknown_parent'
+                                 WHEN event IN ('observe', 'reject', 'rollback', 'finalize') AND own IS NULL THEN 'unknown'
+                                 WHEN event = 'finalize' AND own.kind <> 'video' THEN 'not_a_video'
+                                 WHEN event = 'finalize' AND own.status IN ('rejected', 'rolled_back') THEN 'gone' END AS fault
+                  FROM (SELECT e.*, f.selected, f.held, f.held[e.candidate_id] AS own FROM fold f JOIN e ON e.case_id = f.case_id AND e.k = f.k + 1))),
+         ends AS (SELECT case_id, arg_max(held, k) AS held, arg_max(selected, k) FILTER (selected IS NOT NULL) AS selected, count(fault) AS refused FROM fold GROUP BY case_id),
+         states AS (SELECT case_id, refused, selected, i.key AS candidate_id, i.value.status AS state, i.value.kind AS kind, i.value.parent_id AS parent_id, i.value.seen AS observations
+                    FROM (SELECT *, unnest(map_entries(held)) AS i FROM ends))
+    {select}"""
+
+
+_PLAIN_EVENTS = f"{_CANDIDATE_SQL.replace('ce AS (SELECT', 'ce AS (SELECT 0 AS place, CAST(NULL AS VARCHAR) AS parent_id,')}"
+#: The same events, of which some additions name a parent: a key frame that may not be there.
+_PARENT = "CASE WHEN event_type = 'view' AND event_id % 3 = 0 THEN concat('img-', lpad(CAST(event_id % 5 + 1 AS VARCHAR), 4, '0')) END"
+_LINEAGE_EVENTS = _PLAIN_EVENTS.replace("CAST(NULL AS VARCHAR) AS parent_id", f"{_PARENT} AS parent_id")
+
+
+def _lineage_events(spark, sf_dir) -> DataFrame:
+    parents = _t(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.expr(_PARENT.replace("VARCHAR", "STRING")).alias("parent_id"))
+    return _candidate_events(spark, sf_dir).join(parents, ["case_id", "seq"])
+
+
+@query(_fold_sql(_PLAIN_EVENTS, "SELECT case_id, candidate_id, state FROM states"))
 def candidate_status_fold(spark, sf_dir):
-    return workflow.candidate_states(_candidate_events(spark, sf_dir))
+    return candidates.candidate_states(_candidate_events(spark, sf_dir)).select("case_id", "candidate_id", "state")
+
+
+@query(_fold_sql(_LINEAGE_EVENTS, "SELECT case_id, candidate_id, state, kind, parent_id, observations FROM states"))
+def candidate_lineage(spark, sf_dir):
+    return candidates.candidate_states(_lineage_events(spark, sf_dir))
+
+
+@query(_fold_sql(_LINEAGE_EVENTS, "SELECT case_id, selected AS final_candidate_id, selected IS NOT NULL AS completed, refused FROM ends"))
+def run_selections(spark, sf_dir):
+    return candidates.selections(_lineage_events(spark, sf_dir))
 
 
 @query(f"WITH {_CANDIDATE_SQL} SELECT case_id, printf('img-%04d', coalesce(max(CAST(substr(candidate_id, 5) AS INT)) FILTER (kind = 'image'), 0) + 1) AS next_image, printf('vid-%04d', coalesce(max(CAST(substr(candidate_id, 5) AS INT)) FILTER (kind = 'video'), 0) + 1) AS next_video FROM ce GROUP BY 1")
@@ -521,12 +595,9 @@ def rescue_selection(spark, sf_dir):
     return workflow.rescue(candidates, e.where("event = 'observe'").select("case_id", "candidate_id", "severity"), _comparisons(e))
 
 
-@query(f"""
-    WITH {_CANDIDATE_SQL}, a AS (SELECT *, min(CASE WHEN event = 'add' THEN seq END) OVER (PARTITION BY case_id, candidate_id) AS added FROM ce),
-         g AS (SELECT *, min(CASE WHEN event IN ('reject', 'rollback') AND seq > added THEN seq END) OVER (PARTITION BY case_id, candidate_id) AS gone FROM a)
-    SELECT case_id, seq, CASE WHEN event = 'add' AND seq > added THEN 'exists' WHEN added IS NULL OR seq < added THEN 'unknown' WHEN event = 'finalize' AND kind = 'image' THEN 'not_a_video' WHEN event = 'finalize' AND seq > gone THEN 'gone' END AS fault FROM g""")
+@query(_fold_sql(_LINEAGE_EVENTS, "SELECT case_id, seq, fault FROM fold WHERE k > 0"))
 def candidate_event_faults(spark, sf_dir):
-    return workflow.event_faults(_candidate_events(spark, sf_dir)).select("case_id", "seq", "fault")
+    return candidates.event_faults(_lineage_events(spark, sf_dir)).select("case_id", "seq", "fault")
 
 
 _RUN_TOOL = "CASE event_type WHEN 'view' THEN 'central_turn' WHEN 'click' THEN 'inspect_video' WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'extract_frames' ELSE 'finalize_candidate' END ELSE 'compare_candidates' END"
@@ -566,6 +637,72 @@ def rescue_roll_back(spark, sf_dir):
     return workflow.rescued(c, workflow.rescue_plans(c, seen, calls)).select("case_id", "candidate_id", "status")
 
 
+_RESCUE_CHAIN_SQL = _fold_sql(_LINEAGE_EVENTS, """, seen AS (SELECT f.case_id, f.candidate_id, avg(severity) AS m, max(severity) AS w, count(*) AS n FROM fold f JOIN ce USING (case_id, seq) WHERE f.fault IS NULL AND ce.event = 'observe' GROUP BY ALL),
+         fit AS (SELECT s.case_id, s.candidate_id, s.kind, coalesce(m, 10.0) AS m, coalesce(w, 3) AS w, coalesce(n, 0) AS n FROM states s LEFT JOIN seen USING (case_id, candidate_id) WHERE state = 'active'),
+         listed AS (SELECT case_id, seq, pos, printf('vid-%04d', (seq + (CASE pos WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 5 END)) % 7 + 1) AS candidate_id FROM (SELECT case_id, seq, unnest([0, 1, 2]) AS pos FROM ce WHERE event = 'rollback')),
+         best AS (SELECT case_id, kind, candidate_id FROM (SELECT f.*, row_number() OVER (PARTITION BY f.case_id, f.kind ORDER BY l.seq DESC NULLS LAST, l.pos, m, w, n DESC, f.candidate_id) AS k FROM fit f LEFT JOIN listed l USING (case_id, candidate_id)) WHERE k = 1)
+    SELECT c_custkey AS case_id, CASE WHEN v.case_id IS NOT NULL THEN 'video' WHEN i.case_id IS NOT NULL THEN 'image' ELSE 'prompt' END AS start, coalesce(v.candidate_id, i.candidate_id) AS candidate_id,
+           coalesce((SELECT string_agg(f.candidate_id, ',' ORDER BY f.candidate_id) FROM fit f WHERE f.case_id = c_custkey AND f.kind = 'video' AND f.candidate_id IS DISTINCT FROM v.candidate_id), '') AS rolled_back
+    FROM customer LEFT JOIN (FROM best WHERE kind = 'video') v ON v.case_id = c_custkey LEFT JOIN (FROM best WHERE kind = 'image') i ON i.case_id = c_custkey""")
+
+
+@query(_RESCUE_CHAIN_SQL)
+def rescue_chain(spark, sf_dir):
+    """Rescue of a run for every customer, most of which have no candidate at all."""
+    e = _lineage_events(spark, sf_dir)
+    held = checkpointed(candidates.candidate_states(e).select("case_id", "candidate_id", "kind", F.col("state").alias("status")))
+    looked = candidates.event_faults(e).where("fault IS NULL AND event = 'observe'").select("case_id", "seq", "candidate_id")
+    seen = looked.join(e.select("case_id", "seq", "severity"), ["case_id", "seq"])
+    runs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
+    plans = workflow.rescue_plans(held, seen, _comparisons(e), runs=runs)
+    return plans.select("case_id", "start", "candidate_id", F.array_join("rolled_back", ",").alias("rolled_back"))
+
+
+#: Logged calls whose ids are few, so that they meet: what they make, look at and roll back.
+_RUN_CALL = "CASE event_type WHEN 'view' THEN 'generate_keyframes' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'edit_keyframe' ELSE 'inspect_video' END WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN 'finalize_candidate' ELSE 'compare_candidates' END"
+
+
+def _numbered(prefix: str, shift: int, of: int) -> str:
+    return f"concat('{prefix}-', CAST((event_id + {shift}) % {of} + 1 AS VARCHAR))"
+
+
+_RUN_CALL_ARGUMENTS = f"""CASE tool_name
+    WHEN 'generate_keyframes' THEN concat('{{"parent_id":"', CASE WHEN event_id % 5 = 0 THEN {_numbered('img', 1, 4)} ELSE '' END, '","rollback_candidate_ids":[', CASE WHEN event_id % 11 = 0 THEN concat('"', {_numbered('img', 0, 3)}, '"') ELSE '' END, ']}}')
+    WHEN 'edit_keyframe' THEN concat('{{"candidate_id":"', {_numbered('img', 0, 4)}, '"}}')
+    WHEN 'inspect_video' THEN concat('{{"candidate_id":"', {_numbered('vid', 0, 5)}, '"}}')
+    WHEN 'generate_video' THEN concat('{{"keyframe_id":"', {_numbered('img', 0, 4)}, '","parent_video_id":"', CASE WHEN event_id % 3 = 0 THEN {_numbered('vid', 3, 5)} ELSE '' END, '","rollback_candidate_ids":[', CASE WHEN event_id % 4 = 0 THEN concat('"', {_numbered('vid', 2, 5)}, '"') ELSE '' END, ']}}')
+    WHEN 'finalize_candidate' THEN concat('{{"candidate_id":"', {_numbered('vid', 0, 5)}, '","rollback_candidate_ids":[', CASE WHEN event_id % 3 = 0 THEN concat('"', {_numbered('vid', 1, 5)}, '"') ELSE '' END, ']}}')
+    ELSE '{{}}' END"""
+_RUN_CALL_RESULT = f"""CASE tool_name WHEN 'generate_keyframes' THEN concat('{{"candidate_ids":["', {_numbered('img', 0, 4)}, '"]}}') WHEN 'edit_keyframe' THEN concat('{{"candidate_ids":["', {_numbered('img', 0, 6)}, '"]}}')
+    WHEN 'generate_video' THEN concat('{{"candidate_ids":["', {_numbered('vid', 0, 5)}, '"]}}') ELSE '{{}}' END"""
+
+
+def _run_call_events() -> str:
+    """The same calls' effects, written out event by event."""
+    one = lambda place, event, name, kind="NULL", parent="NULL", when="TRUE": f"SELECT user_id AS case_id, event_id AS seq, {place} AS place, '{event}' AS event, {name} AS candidate_id, CAST({kind} AS VARCHAR) AS kind, CAST({parent} AS VARCHAR) AS parent_id FROM t WHERE {when}"
+    tool = lambda name, more="TRUE": f"tool = '{name}' AND {more}"
+    rows = [
+        one(0, "add", _numbered("img", 0, 4), "'image'", f"CASE WHEN event_id % 5 = 0 THEN {_numbered('img', 1, 4)} END", tool("generate_keyframes")),
+        one(1, "rollback", _numbered("img", 0, 3), when=tool("generate_keyframes", "event_id % 11 = 0")),
+        one(0, "add", _numbered("img", 0, 6), "'image'", _numbered("img", 0, 4), tool("edit_keyframe")),
+        one(0, "observe", _numbered("vid", 0, 5), "'video'", when=tool("inspect_video")),
+        one(0, "add", _numbered("vid", 0, 5), "'video'", f"CASE WHEN event_id % 3 = 0 THEN {_numbered('vid', 3, 5)} ELSE {_numbered('img', 0, 4)} END", tool("generate_video")),
+        one(1, "rollback", _numbered("vid", 2, 5), when=tool("generate_video", "event_id % 4 = 0")),
+        one(0, "finalize", _numbered("vid", 0, 5), "'video'", when=tool("finalize_candidate")),
+        one(1, "rollback", _numbered("vid", 1, 5), when=tool("finalize_candidate", "event_id % 3 = 0")),
+    ]
+    return f"t AS (SELECT *, {_RUN_CALL} AS tool FROM events WHERE event_id % 7 <> 0), ce AS ({' UNION ALL '.join(rows)})"
+
+
+@query(_fold_sql(_run_call_events(), "SELECT case_id, candidate_id, state, kind, parent_id, observations FROM states"))
+def call_effect_states(spark, sf_dir):
+    """Logged calls, their effects as events, and these folded."""
+    e = _t(spark, sf_dir, "events").withColumn("tool_name", F.expr(_RUN_CALL))
+    told = {n: F.expr(x.replace("VARCHAR", "STRING")) for n, x in (("arguments", _RUN_CALL_ARGUMENTS), ("result", _RUN_CALL_RESULT))}
+    calls = e.withColumns(told).select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), "tool_name", *told, F.when(F.col("event_id") % 7 == 0, "failed").otherwise("complete").alias("status"))
+    return candidates.candidate_states(tools.call_effects(calls))
+
+
 # ------------------------------------------------------------------ shards, identities, frames
 
 
