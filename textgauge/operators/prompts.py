@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
+from textgauge.functions import protocol
 from textgauge.functions.text import occurrences
 from textgauge.operators.leaks import occurrences_in, text_key
 from textgauge.sources.layout import spread_rows
@@ -135,11 +136,26 @@ def targets_json(public: Column) -> Column:
     return F.concat(F.lit("[\n"), F.array_join(F.transform(public, one), ",\n"), F.lit("\n]"))
 
 
-def transcription_request(masked: Column, public: Column, example: str, feedback: Column | None = None) -> Column:
-    """The user message of a transcription attempt; feedback of the last one ends it."""
-    closing = "Based on the video and the information listed above, please output exactly one valid JSON object enclosed in <answer> and </answer>, following the format shown above. Do not output anything before <answer> or after </answer>."
-    body = F.concat(F.lit("SCENE DESCRIPTION\n\n"), masked, F.lit("\n\nTARGET CARRIERS\n\n"), targets_json(public), F.lit(f"\n\nOUTPUT EXAMPLE\n\n{example}\n\n{closing}"))
-    return body if feedback is None else F.concat(body, F.when(F.coalesce(feedback, F.lit("")) != "", F.concat(F.lit("\n\nPREVIOUS ATTEMPT FEEDBACK\n\n"), feedback)).otherwise(F.lit("")))
+def _with_feedback(body: Column, feedback: Column | None) -> Column:
+    if feedback is None:
+        return body
+    return F.concat(body, F.when(F.coalesce(feedback, F.lit("")) != "", F.concat(F.lit(f"\n\n{protocol.FEEDBACK}\n\n"), feedback)).otherwise(F.lit("")))
+
+
+def transcription_request(masked: Column, public: Column, example: str = protocol.TRANSCRIPTION_EXAMPLE, feedback: Column | None = None) -> Column:
+    """The user message of a transcription attempt; feedback of the last one ends it.
+    The system message is ``protocol.TRANSCRIPTION_SYSTEM``."""
+    ending = f"\n\n{protocol.EXAMPLE}\n\n{example}\n\n{protocol.TRANSCRIPTION_CLOSING}"
+    return _with_feedback(F.concat(F.lit(f"{protocol.SCENE}\n\n"), masked, F.lit(f"\n\n{protocol.CARRIERS}\n\n"), targets_json(public), F.lit(ending)), feedback)
+
+
+def request_leaks(masked: DataFrame, example: str = protocol.TRANSCRIPTION_EXAMPLE) -> DataFrame:
+    """Cases of ``mask`` whose own request shows a private target, in the system message or
+    the user message: id, leaked (ids of targets).  Such a case must not be sent."""
+    user = transcription_request(F.col("masked_prompt"), F.col("public_targets"), example)
+    shown = lambda t: F.contains(F.lit(protocol.TRANSCRIPTION_SYSTEM), t["verbatim"]) | F.contains(F.col("__user"), t["verbatim"])
+    out = masked.withColumn("__user", user).withColumn("leaked", F.transform(F.filter("private_targets", shown), lambda t: t["id"]))
+    return out.where("size(leaked) > 0").select("id", "leaked")
 
 
 def example_answers(count: Column) -> Column:
@@ -149,7 +165,7 @@ def example_answers(count: Column) -> Column:
 
 
 def checklist_request(items: Column, feedback: Column | None = None) -> Column:
-    closing = "Based on the video and the checklist listed above, please output exactly one valid JSON array enclosed in <answer> and </answer>, following the format shown above. Do not output anything else."
+    """The user message of a checklist attempt; the system message is ``protocol.CHECKLIST_SYSTEM``."""
     lines = F.array_join(F.transform(items, lambda i: F.concat(i["id"], F.lit(": "), i["question_en"])), "\n")
-    body = F.concat(F.lit("CHECKLIST\n\n"), lines, F.lit("\n\nOUTPUT EXAMPLE\n\n"), example_answers(F.size(items)), F.lit(f"\n\n{closing}"))
-    return body if feedback is None else F.concat(body, F.when(F.coalesce(feedback, F.lit("")) != "", F.concat(F.lit("\n\nPREVIOUS ATTEMPT FEEDBACK\n\n"), feedback)).otherwise(F.lit("")))
+    body = F.concat(F.lit(f"{protocol.CHECKLIST}\n\n"), lines, F.lit(f"\n\n{protocol.EXAMPLE}\n\n"), example_answers(F.size(items)), F.lit(f"\n\n{protocol.CHECKLIST_CLOSING}"))
+    return _with_feedback(body, feedback)

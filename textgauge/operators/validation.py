@@ -136,5 +136,12 @@ def frame_rate(fraction: Column) -> Column:
     return F.try_divide(top.try_cast("double"), F.coalesce(bottom.try_cast("double"), F.lit(1.0)))
 
 
-def request_ok(seed: Column, requested: Column, delivered: Column, fps: Column, prompt: Column) -> Column:
-    return (seed == 42) & (requested == 241) & (delivered == 240) & (fps == 24) & ~blank(prompt)
+#: Fixed value: most bytes of a service request's body.
+REQUEST_BYTES = 1_000_000
+
+
+def request_ok(seed: Column, requested: Column, delivered: Column, fps: Column, prompt: Column, body_bytes: Column | None = None) -> Column:
+    """Whether a service accepts a request: its fixed fields, a motion prompt, and, where
+    it is given, a body of 1 to ``REQUEST_BYTES`` bytes."""
+    ok = (seed == 42) & (requested == 241) & (delivered == 240) & (fps == 24) & ~blank(prompt)
+    return ok if body_bytes is None else ok & F.coalesce(body_bytes.between(1, REQUEST_BYTES), F.lit(False))

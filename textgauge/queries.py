@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textgauge.functions import answers, text
 from textgauge.functions.alignment import edit_counts_udf, token_distance
-from textgauge.operators import attempts, candidates, diagnostics, matching, partitioning, prompts, scoring, tools, validation, workflow
+from textgauge.operators import attempts, candidates, diagnostics, matching, partitioning, prompts, rollups, scoring, tools, validation, worker, workflow
 from textgauge.plans import reports
 from textgauge.sources.layout import spread_rows
 from textgauge.sources.sinks import checkpointed
@@ -464,6 +464,74 @@ def checklist_case_scores(spark, sf_dir):
     return scoring.checklist_cases(_items(spark, sf_dir), ["profile"]).withColumn("yes_rate", F.round("yes_rate", 9))
 
 
+# ------------------------------------------------------------------ finished jobs and workers
+
+_JOBS_SQL = """j AS (SELECT doc_id, source AS profile, lang AS family, CASE WHEN text IS NULL OR length(text) < 200 THEN 'invalid' WHEN doc_id % 5 = 0 THEN 'pass_after_max_attempts' ELSE 'pass' END AS status, CAST(doc_id % 3 + 1 AS INT) AS attempt,
+           lower(substr(text, 1, 20)) AS head FROM documents),
+         a AS (SELECT *, CASE WHEN status <> 'invalid' THEN attempt END AS selected_attempt, CASE WHEN status <> 'invalid' THEN length(head) END AS n, length(regexp_replace(head, '[^aeiou]', '', 'g')) AS y,
+                      CASE WHEN status <> 'invalid' AND ends_with(head, ' ') THEN 1 ELSE 0 END AS repaired FROM j),
+         r AS (SELECT unnest(CASE attempt WHEN 1 THEN [] WHEN 2 THEN ['json_error'] ELSE ['json_error', 'max_tokens'] END) AS reason FROM a)"""
+
+
+def _finished_jobs(spark, sf_dir) -> DataFrame:
+    """A job for every document: its first characters are answers, a vowel says yes."""
+    status = F.when(F.col("text").isNull() | (F.length("text") < 200), "invalid").when(F.col("doc_id") % 5 == 0, "pass_after_max_attempts").otherwise("pass")
+    attempt = (F.col("doc_id") % 3 + 1).cast("int")
+    head = F.lower(F.substring("text", 1, 20))
+    answers = F.transform(F.split(head, ""), lambda c: F.when(c.isin(*"aeiou"), "yes").otherwise("no"))
+    logged = F.when(attempt == 1, F.array().cast("array<string>")).when(attempt == 2, F.array(F.lit("json_error"))).otherwise(F.array(F.lit("json_error"), F.lit("max_tokens")))
+    good = status != "invalid"
+    return _t(spark, sf_dir, "documents").select(
+        F.col("source").alias("profile"), F.col("doc_id").alias("case_id"), F.col("lang").alias("family"), status.alias("status"), F.when(good, attempt).alias("selected_attempt"),
+        logged.alias("reasons"), F.when(good, answers).alias("items"), F.coalesce(F.endswith(head, F.lit(" ")), F.lit(False)).alias("repaired"),
+    )
+
+
+@query(f"""
+    WITH {_JOBS_SQL},
+         items AS (SELECT unnest([{{'d': 'total', 'k': 'all'}}, {{'d': 'profile', 'k': profile}}, {{'d': 'family', 'k': family}}]) AS g, n, y FROM a WHERE n IS NOT NULL),
+         sums AS (SELECT g.d AS dimension, g.k AS name, count(*) AS case_count, CAST(sum(n) AS BIGINT) AS checklist_count, CAST(sum(y) AS BIGINT) AS yes_count, CAST(sum(n - y) AS BIGINT) AS no_count FROM items GROUP BY 1, 2),
+         long AS (SELECT dimension, name, unnest(['case_count', 'checklist_count', 'yes_count', 'no_count']) AS measure, unnest([case_count, checklist_count, yes_count, no_count]) AS value FROM sums)
+    FROM long
+    UNION ALL SELECT 'total', 'all', unnest(['attempted', 'valid', 'repaired']), unnest([count(*), count(n), CAST(sum(repaired) AS BIGINT)]) FROM a
+    UNION ALL SELECT 'status', status, 'jobs', count(*) FROM a GROUP BY status
+    UNION ALL SELECT 'selected_attempt', CAST(selected_attempt AS VARCHAR), 'jobs', count(*) FROM a WHERE selected_attempt IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'reason', reason, 'attempts', count(*) FROM r GROUP BY 2""")
+def progress_rollup(spark, sf_dir):
+    """Counters of finished jobs, merged from four batches of them."""
+    jobs = _finished_jobs(spark, sf_dir)
+    return rollups.merged(*[rollups.partials(jobs.where(F.col("case_id") % 4 == k)) for k in range(4)])
+
+
+_ATTEMPTS_SQL = """t AS (SELECT user_id AS case_id, event_id % 5 AS attempt, CAST(floor(value) AS INT) AS exit_code, event_type IN ('purchase', 'signup') AS delivered, CASE WHEN value > 3 THEN event_type END AS fault, ts FROM events),
+         o AS (SELECT *, CASE WHEN delivered THEN 'invalid deliverable after attempt ' || attempt || ': ' || coalesce(fault, '') ELSE 'attempt ' || attempt || ' exited ' || exit_code END AS told FROM t WHERE attempt BETWEEN 1 AND 4),
+         l AS (SELECT case_id, min(attempt) FILTER (delivered AND fault IS NULL) AS done, max(attempt) AS last FROM o GROUP BY 1),
+         e AS (SELECT case_id, told, ts FROM o JOIN l USING (case_id) WHERE attempt = last QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, told DESC) = 1),
+         s AS (SELECT c_custkey AS case_id, c_nationkey AS worker, CASE WHEN s_suppkey IS NOT NULL THEN 'skipped' WHEN done IS NOT NULL THEN 'complete' WHEN last >= 4 THEN 'failed' WHEN last > 0 THEN 'waiting' ELSE 'pending' END AS state,
+                      CAST(CASE WHEN s_suppkey IS NOT NULL THEN 0 ELSE coalesce(done, last, 0) END AS INT) AS attempts, told, ts
+               FROM customer LEFT JOIN l ON l.case_id = c_custkey LEFT JOIN e ON e.case_id = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey)"""
+
+
+def _worker_states(spark, sf_dir) -> DataFrame:
+    """Customers are jobs, events their attempts; suppliers' numbers are done before."""
+    jobs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("worker"))
+    delivered = F.col("event_type").isin("purchase", "signup")
+    log = _t(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), (F.col("event_id") % 5).alias("attempt"), F.floor("value").cast("int").alias("exit_code"), delivered.alias("delivered"), F.when(F.col("value") > 3, F.col("event_type")).alias("fault"), F.col("ts").alias("finished_at"))
+    return worker.job_states(jobs, log, _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case_id")), most=4)
+
+
+@query(f"WITH {_ATTEMPTS_SQL} SELECT case_id, worker, state, attempts, CASE WHEN state IN ('failed', 'waiting') THEN told END AS failure, strftime(CASE WHEN state = 'waiting' THEN ts + to_seconds(least(60, 10 * attempts)) END, '%Y-%m-%d %H:%M:%S.%f') AS due_at FROM s")
+def worker_job_states(spark, sf_dir):
+    return _worker_states(spark, sf_dir).select("case_id", "worker", "state", "attempts", "failure", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due_at"))
+
+
+@query(f"""
+    WITH {_ATTEMPTS_SQL}, w AS (SELECT worker, count(*) AS assigned_count, min(case_id) AS first_id, max(case_id) AS last_id, count(*) FILTER (state IN ('skipped', 'complete')) AS completed_count, count(*) FILTER (state = 'failed') AS failed_count, count(*) FILTER (state IN ('waiting', 'pending')) AS open_count FROM s GROUP BY 1)
+    SELECT *, CASE WHEN open_count = 0 THEN 'complete' ELSE 'running' END || CASE WHEN failed_count = 0 THEN '' ELSE '_with_failures' END AS state FROM w""")
+def worker_reports(spark, sf_dir):
+    return worker.worker_report(_worker_states(spark, sf_dir), order="case_id")
+
+
 # ------------------------------------------------------------------ workflow replay
 
 _TOOL = "CASE event_type WHEN 'view' THEN 'central_turn' WHEN 'click' THEN 'inspect_video' WHEN 'purchase' THEN 'generate_video' WHEN 'signup' THEN 'extract_frames' ELSE 'compare_candidates' END"

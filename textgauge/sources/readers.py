@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgauge.operators.validation import case_faults, checklist_faults, require_none
+from textgauge.sources.files import hashed, outside
 
 CASES = "cases array<struct<id:string,prompt_en:string,required_text:array<struct<id:string,carrier:string,language:string,verbatim:string>>>>"
 CHECKLISTS = "cases array<struct<id:string,checklist:array<struct<id:string,dimension:string,question_en:string>>>>"
@@ -94,6 +95,14 @@ def read_videos(spark: SparkSession, root: str, profile: str | None = None) -> D
     return (out.withColumn("profile", F.lit(profile)) if profile else out).select(*(["profile"] if profile else []), "case_id", "path", "length", "modificationTime")
 
 
+def videos_inside(videos: DataFrame, root: str) -> DataFrame:
+    """The videos, if none is a link that leads out of the folder ``root``; one file given
+    as the root may lie anywhere."""
+    if not root.lower().endswith(".mp4"):
+        require_none(outside(videos, root).select("path", "real"), "links that lead out of the folder")
+    return videos
+
+
 def _keyed_by_folder(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
     return df.withColumns({"profile": F.regexp_extract(path, r"/([^/]+)/[^/]+/[^/]+$", 1), "case_id": F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)})
@@ -127,9 +136,12 @@ def read_attempt_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(name, size, hash) of a folder's files; weights are listed by name and size alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_extract("path", r"/([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+    """(name, size, hash) of a folder's files; weights are listed by name and size alone.
+
+    Files are listed without their content and hashed as streams, so they may have any
+    size."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length")
+    return hashed(listed).select(F.regexp_extract("path", r"/([^/]+)$", 1).alias("name"), "size", F.col("sha256").alias("hash"))
 
 
 def read_weights(spark: SparkSession, root: str) -> DataFrame:
