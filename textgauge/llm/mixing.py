@@ -3,18 +3,24 @@
 A classifier learned from labelled rows gives every document a posterior over
 domains.  A document's rate is how often it is to be seen; rates are fitted by
 projected-gradient least squares, so that the expected token totals of the domains,
-sums of rate x tokens x posterior, meet their targets.  Errors are weighed by what a
-domain has at first, which bounds the problem's curvature by one: a step of length
-one never overshoots, and a rare domain is met in as few steps as a frequent one.
-A step moves every rate against the gradient, projects it onto rates of at least
-the floor, and runs on with momentum, which is dropped where it turns uphill.  Each
-step is one pass over (tokens, posterior) rows that sums a few numbers by domain;
-a row's rates follow from the errors sent with the steps, and are written down once
-in ``REPLAY`` steps.
+sums of rate x tokens x posterior, meet their targets, every domain's error being a
+share of its target.
+
+A step is implicit: it goes against the gradient where it ends, and is projected onto
+rates of at least the floor,
+
+    rate = max(floor, first - posterior . move),   move = gradient by domain / pull,
+
+so the rates of all documents follow from one number for each domain, and a pass over
+(tokens, posterior) rows tells the totals, the potential and its curvature in the
+domains for several moves at once.  The move is found by damped Newton steps on these
+sums, the pull is lessened tenfold until the targets are met, and the duality gap of
+the least-squares problem proves it where they can't be.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,15 +37,13 @@ from .common import byte_set, draw_distinct, keyed, materialize, pieces, texts,
 #: excerpt of as many characters stands for a document.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 16384
 CELLS = 8192
-#: Pull of the rates towards one, and the mean move of a domain's rates below which it
-#: counts as settled; both are lessened until every domain is ``WITHIN`` this share of
-#: its target, as long as that halves the error.
-RIDGE, CLOSE = 3e-4, 1e-4
-WITHIN = 0.005
-#: Steps in which the largest error has to fall by a tenth, or the rates count as settled too.
-STALL = 24
-#: Steps after which rates are written, so that no pass works out more of them anew.
-REPLAY = 32
+#: Largest error of a domain at which the fit ends, and up to which its targets count as met.
+CLOSE, WITHIN = 1e-4, 0.005
+#: Gap between the objective and its lower bound, as a share of it, at which the best fit is found.
+GAP = 1e-3
+#: Newton steps tried in one pass, as shares of the whole one; pulls tried, and the first passes'.
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+LEAST_PULL, SPRINT = 1e-13, 8
 _INSIDE = ~byte_set(space=(32, 32), controls=(9, 13))
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
@@ -124,17 +128,19 @@ def _likelihood(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 0.0, smoothing: float = 0.7) -> DataFrame:
-    """Fit a rate for every document: doc_id, n_tokens, posterior, rate, domains.
+    """Fit a rate for every document: doc_id, n_tokens, posterior, rate, error, reached.
 
     ``labelled`` has ``text`` and ``domain``.  ``weights`` gives domains their
     shares of all tokens; by default a domain's share is its present share to the
     power ``smoothing``, scaled to one.  With ``floor`` 0 the token total stays;
-    with a floor above 0 it grows as far as the targets need.  Null and empty
-    texts have no tokens, the prior as posterior, and a rate like any other.  Targets
-    that no rates meet are approached as far as least squares go (``solve`` gives the
-    error left).  With
-    nothing labelled there is one domain, and all rates are one.  Repeated rows
-    get equal rates; the order and number of columns do not matter.
+    with a floor above 0 it grows as far as the targets need.  Of rates that meet the
+    targets those nearest to one are taken.  Targets that no rates meet are
+    approached as far as least squares go: ``error`` is the largest error of a domain as a
+    share of its target, ``reached`` whether it is at most ``WITHIN`` (both the same in
+    every row).  Null and empty texts have no tokens, the prior as posterior, and a rate
+    like any other.  With nothing labelled there is one domain, and all rates are one.
+    Repeated rows get equal rates; the order and number of columns do not matter.  The
+    domains, in the order of ``posterior``, are in that column's metadata.
     """
     return fit_rates(membership(docs, labelled), weights, floor, smoothing)
 
@@ -149,11 +155,21 @@ def _posteriors(model: Domains, data: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def membership(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Tokens and domain posteriors: doc_id, n_tokens, posterior, domains."""
-    return _membership(docs, docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain"))))
+    """Tokens and domain posteriors: doc_id, n_tokens, posterior."""
+    model = learn_domains(keyed(labelled, "text", "domain"))
+    return _membership(docs, docs.sparkSession.sparkContext.broadcast(model), model.names)
+
 
+def named(members: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with the names of their posterior's domains in that column's metadata."""
+    return members.withColumn("posterior", F.col("posterior").alias("posterior", metadata={"domains": names}))
 
-def _membership(docs: DataFrame, sent) -> DataFrame:
+
+def domains(members: DataFrame) -> list[str]:
+    return list(members.schema["posterior"].metadata["domains"])
+
+
+def _membership(docs: DataFrame, sent, names: list[str]) -> DataFrame:
     def run(batches):
         model = sent.value
         for b in batches:
@@ -161,147 +177,164 @@ def _membership(docs: DataFrame, sent) -> DataFrame:
             n = [np.diff(word_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], _INSIDE)[2]) for i, j in pieces(offsets)]
             width, rows = len(model.names), len(b.column(0))
             post = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(_posteriors(model, data, offsets).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), post, pa.array([model.names] * rows, pa.list_(pa.string()))], ["doc_id", "n_tokens", "posterior", "domains"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), post], ["doc_id", "n_tokens", "posterior"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(spread_rows(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>, domains array<string>"))
+    return named(materialize(spread_rows(keyed(docs, "doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, posterior array<double>")), names)
 
 
 def _matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-@dataclass(frozen=True)
-class Step:
-    """One projected-gradient step: each domain's weighed error, the ridge, and the
-    momentum that follows."""
-
-    errors: np.ndarray
-    ridge: float
-    momentum: float = 0.0
-
-
 @dataclass(frozen=True)
 class Fit:
-    """The steps that lead to the rates, the least rate, and the largest error of a
-    domain against its target, as a share of it."""
+    """The move that leads to the rates, the least rate, the largest error of a domain as
+    a share of its target, the duality gap as a share of the objective (0 where the
+    targets are met), and the passes taken."""
 
-    steps: list[Step]
+    move: np.ndarray
     floor: float
     error: float = 0.0
+    gap: float = 0.0
+    passes: int = 0
 
-    def rates(self, posterior: np.ndarray) -> np.ndarray:
-        return _walk(self.steps, self.floor, posterior, *_start(self.floor, posterior))[0]
+    @property
+    def reached(self) -> bool:
+        return self.error <= WITHIN
 
+    def rates(self, posterior: np.ndarray) -> np.ndarray:
+        first = max(1.0, self.floor)
+        return np.maximum(self.floor, first - posterior @ self.move) if len(self.move) else np.full(len(posterior), first)
 
-def _start(floor: float, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rate = np.full(len(posterior), max(1.0, floor))
-    return rate, rate
 
+@dataclass(frozen=True)
+class _Sums:
+    """What a pass tells of one move: totals by domain, their curvature, and the potential."""
 
-def _walk(steps: list[Step], floor: float, posterior: np.ndarray, rate: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Take the steps: rates, and the places ahead of them that momentum leads to."""
-    base = max(1.0, floor)
-    if steps:
-        slopes = posterior @ np.array([s.errors for s in steps]).T
-    for k, s in enumerate(steps):
-        new = np.maximum(floor, ahead - (slopes[:, k] + s.ridge * (ahead - base)) / (1 + s.ridge))
-        rate, ahead = new, new + s.momentum * (new - rate)
-    return rate, ahead
+    totals: np.ndarray
+    curvature: np.ndarray
+    potential: float
 
 
-def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
-    """The least-squares fit of ``mixing_rates`` for rows of ``membership``."""
-    head = members.select("domains").first()
-    if head is None:
-        return Fit([], floor)
-    names = list(head.domains)
-    width, base = len(names), max(1.0, floor)
-    if weights and names != ["all"] and (unknown := sorted(set(weights) - set(names))):
-        raise ValueError(f"weights of domains without labelled text: {unknown}")
-    state, written = members.select("n_tokens", "posterior"), 0
+class _Passes:
+    """Passes over rows of (n_tokens, posterior) for a fit with this floor."""
 
-    def rows(b, done: int, steps: list[Step]):
-        t, p = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
-        at = (b.column(2).to_numpy(), b.column(3).to_numpy()) if done else _start(floor, p)
-        return t, p, *_walk(steps, floor, p, *at)
+    def __init__(self, members: DataFrame, width: int, floor: float):
+        self.rows, self.width, self.floor, self.taken = members.select("n_tokens", "posterior"), width, floor, 0
 
-    def totals(steps: list[Step], last: Step | None) -> np.ndarray:
-        """Token totals by domain after the last step, the tokens' moves by domain in
-        it, and how far it goes against the momentum that led to it."""
-        done = written
+    def at(self, moves: list[np.ndarray]) -> list[_Sums]:
+        """Sums for several moves in one pass."""
+        self.taken += 1
+        width, floor, first = self.width, self.floor, max(1.0, self.floor)
+        stacked = np.array(moves)
 
         def run(batches):
-            out = np.zeros(2 * width + 1)
+            out = np.zeros((len(stacked), width + width * width + 1))
             for b in batches:
-                if len(b):
-                    t, p, rate, ahead = rows(b, done, steps)
-                    new = _walk([last], floor, p, rate, ahead)[0] if last else rate
-                    out[:width] += (t * new) @ p
-                    out[width:-1] += (t * np.abs(new - ahead)) @ p
-                    out[-1] += t @ ((ahead - new) * (new - rate))
-            yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array(out)})
-
-        # two rows for each domain
-        got = {r.k: r.v for r in state.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        return np.array([got[k] for k in range(2 * width + 1)])
-
-    def write(steps: list[Step]) -> DataFrame:
-        done = written
+                t, every = b.column(0).to_numpy(zero_copy_only=False).astype(float), _matrix(b.column(1), width)
+                for i in range(0, len(t), 1 << 15):
+                    n, p = t[i : i + (1 << 15)], every[i : i + (1 << 15)]
+                    for k, move in enumerate(stacked):
+                        z = first - p @ move
+                        free = z > floor
+                        out[k, :width] += (n * np.maximum(z, floor)) @ p
+                        out[k, width:-1] += ((p * (n * free)[:, None]).T @ p).ravel()
+                        out[k, -1] += n @ np.where(free, 0.5 * z * z, floor * z - 0.5 * floor * floor)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(range(out.size), pa.int32()), "v": pa.array(out.ravel())})
+
+        got = {r.k: r.v for r in self.rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+        all_ = np.array([got.get(k, 0.0) for k in range(len(moves) * (width + width * width + 1))]).reshape(len(moves), -1)
+        return [_Sums(x[:width], x[width:-1].reshape(width, width), float(x[-1])) for x in all_]
+
+    def least(self, slope: np.ndarray) -> float:
+        """The least product of a row's posterior with ``slope``."""
+        self.taken += 1
+        width = self.width
 
         def run(batches):
-            for b in batches:
-                if len(b):
-                    _, _, rate, ahead = rows(b, done, steps)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rate), pa.array(ahead)], ["n_tokens", "posterior", "rate", "ahead"])
+            least = [float((_matrix(b.column(0), width) @ slope).min()) for b in batches if len(b)]
+            yield pa.RecordBatch.from_pydict({"v": pa.array([min(least)] if least else [], pa.float64())})
 
-        return materialize(state.mapInArrow(run, "n_tokens bigint, posterior array<double>, rate double, ahead double"))
+        return float(self.rows.where("n_tokens > 0").select("posterior").mapInArrow(run, "v double").agg(F.min("v")).first()[0] or 0.0)
 
-    first = totals([], None)[:width]
-    whole = float(first.sum())
-    if whole <= 0:
-        return Fit([], floor)
+
+def solve(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> Fit:
+    """The least-squares fit of ``mixing_rates`` for rows of ``membership``."""
+    names = domains(members)
+    width, none = len(names), np.zeros(0)
+    if weights and names != ["all"] and (unknown := sorted(set(weights) - set(names))):
+        raise ValueError(f"weights of domains without labelled text: {unknown}")
+    passes, still = _Passes(members, width, floor), np.zeros(width)
+    start = passes.at([still])[0]
+    whole = float(start.totals.sum())
+    if whole <= 0 or names == ["all"]:
+        return Fit(none, floor)
     # totals are shares of all tokens at the first rate
-    now = first / whole
+    now = start.totals / whole
     share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.power(now, smoothing)
     share = share / share.sum() if share.sum() > 0 else now
     target = share * (1.0 if floor <= 0 else max(1.0, float(np.max(now / np.where(share > 0, share, np.inf)))))
-    # rates are multiples of the first one in these units
-    unit, relative = np.maximum(now, 1e-12) / base, np.maximum(np.where(target > 0, target, now), 1e-12)
-    worst = float(np.abs((now - target) / relative).max())
-    steps, seen, ahead, ridge, close, pace, before = [], [], now, RIDGE, CLOSE, 1.0, np.inf
-    while worst > CLOSE:
-        step = Step((ahead - target) / unit, ridge)
-        got = totals(steps[written:], step)
-        new, moved, uphill = got[:width] / whole, got[width:-1] / whole, got[-1]
-        worst = float(np.abs((new - target) / relative).max())
-        seen.append(worst)
-        settled = float((moved / unit).max()) <= close * base or (len(seen) > STALL and min(seen[-STALL:]) > 0.9 * min(seen[:-STALL]))
-        faster = (1 + np.sqrt(1 + 4 * pace**2)) / 2
-        momentum = 0.0 if uphill > 0 or settled else (pace - 1) / faster
-        pace = faster if momentum or pace == 1.0 else 1.0
-        steps.append(Step(step.errors, ridge, momentum))
-        # totals are linear in the rates, so those of the place ahead need no pass
-        ahead, now = new + momentum * (new - now), new
-        if settled:
-            if worst <= WITHIN or worst > before / 2 or ridge < 1e-9:
+    relative = np.maximum(np.where(target > 0, target, now), 1e-12)
+    weight = relative**2
+
+    def missed(s: _Sums) -> np.ndarray:
+        return s.totals / whole - target
+
+    def error(s: _Sums) -> float:
+        return float(np.abs(missed(s) / relative).max())
+
+    def potential(move: np.ndarray, s: _Sums, pull: float) -> float:
+        return s.potential / whole + target @ move + 0.5 * pull * (weight * move) @ move
+
+    def newton(move: np.ndarray, s: _Sums, pull: float, most: int) -> tuple[np.ndarray, _Sums]:
+        """The move at which the step of this pull ends."""
+        for _ in range(most):
+            slope = pull * weight * move - missed(s)
+            if np.abs(slope / relative).max() <= max(CLOSE / 5, 0.02 * error(s)):
                 break
-            before, ridge, close, seen = worst, ridge / 10, close / 10, []
-        if len(steps) - written >= REPLAY:
-            state, written = write(steps[written:]), len(steps)
-    return Fit(steps, floor, worst)
+            step = -np.linalg.lstsq(s.curvature / whole + np.diag(pull * weight), slope, rcond=1e-15)[0]
+            tried = [move + a * step for a in STEPS]
+            found = passes.at(tried)
+            best = int(np.argmin([potential(m, x, pull) for m, x in zip(tried, found, strict=True)]))
+            move, s = tried[best], found[best]
+        return move, s
+
+    if error(start) <= CLOSE:
+        return Fit(still, floor, error(start), 0.0, passes.taken)
+    # targets within easy reach take a few steps at a small pull
+    move, s = newton(still, start, 1e-6, SPRINT)
+    if error(s) <= CLOSE:
+        return Fit(move, floor, error(s), 0.0, passes.taken)
+    move, s, pull = still, start, 1.0
+    while True:
+        move, s = newton(move, s, pull, 60)
+        # the gap to the dual value of the errors, made feasible by adding the same to all domains
+        y = missed(s) / weight
+        reached = 0.5 * float((missed(s) / relative) @ (missed(s) / relative))
+        y = y + max(0.0, -passes.least(y))
+        bound = floor * float(now @ y) / max(1.0, floor) - float(target @ y) - 0.5 * float((weight * y) @ y)
+        gap = (reached - bound) / max(reached, 1e-300)
+        if error(s) <= CLOSE or gap <= GAP or pull < LEAST_PULL:
+            return Fit(move, floor, error(s), 0.0 if error(s) <= CLOSE else gap, passes.taken)
+        pull /= 10
+        # out of reach the move grows as the pull falls
+        tried = [move, 3 * move, 10 * move]
+        found = passes.at(tried)
+        best = int(np.argmin([potential(m, x, pull) for m, x in zip(tried, found, strict=True)]))
+        move, s = tried[best], found[best]
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float] | None, floor: float, smoothing: float) -> DataFrame:
-    """Rows of ``membership`` with their fitted rates."""
-    fit = solve(members, weights, floor, smoothing)
+    """Rows of ``membership`` with their fitted rates, and how well these meet the targets."""
+    fit, names = solve(members, weights, floor, smoothing), domains(members)
 
     def run(batches):
         for b in batches:
-            p = _matrix(b.column("posterior"), len(b.column("domains")[0])) if len(b) else np.zeros((0, 1))
-            yield b.append_column("rate", pa.array(fit.rates(p)))
+            yield b.append_column("rate", pa.array(fit.rates(_matrix(b.column("posterior"), len(names)))))
 
-    return members.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in members.dtypes)}, rate double")
+    rated = members.mapInArrow(run, f"{', '.join(f'{c} {t}' for c, t in members.dtypes)}, rate double")
+    return named(rated, names).withColumns({"error": F.lit(fit.error), "reached": F.lit(fit.reached)})
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, floor: float = 1.0, smoothing: float = 0.7) -> DataFrame:
@@ -309,9 +342,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     fraction being decided by a hash of its id and text.  Columns stay; with a
     floor of one or more every row is there at least once.  Null and empty texts
     have the rate of the prior; rows that repeat are repeated alike; an empty table
-    stays empty, and with nothing labelled all rows stay once."""
-    model = docs.sparkSession.sparkContext.broadcast(learn_domains(keyed(labelled, "text", "domain")))
-    fit = solve(_membership(docs, model), weights, floor, smoothing)
+    stays empty, and with nothing labelled all rows stay once.  Targets that no rates
+    meet are approached as ``mixing_rates`` does, with a warning."""
+    learned = learn_domains(keyed(labelled, "text", "domain"))
+    model = docs.sparkSession.sparkContext.broadcast(learned)
+    fit = solve(_membership(docs, model, learned.names), weights, floor, smoothing)
+    if not fit.reached:
+        warnings.warn(f"no rates meet the targets; the largest error is {fit.error:.3g} of a target", stacklevel=2)
     at, key = docs.schema.names.index("text"), docs.schema.names.index("doc_id")
 
     def run(batches):

@@ -39,7 +39,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mixing_rates(docs, docs.withColumn("domain", F.col("lang"))).drop("domains")
+    return mixing.mixing_rates(docs, docs.withColumn("domain", F.col("lang")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
