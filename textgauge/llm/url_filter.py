@@ -105,8 +105,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
     spark = pages.sparkSession
     rules = SITE_RULES + WORD_RULES if rules is None else rules
     own = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
-    urls = own.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.select("url", F.concat("host", "path").alias("subject"))
+    # a URL that very many pages have is judged once, and its pages stay where they are
+    pages_of = own.groupBy("url").agg(F.count(F.lit(1)).alias("pages"))
+    urls = pages_of.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("subject"))
     tokens = F.array_append(F.array_distinct(F.regexp_extract_all("subject", F.lit(f"({_TOKEN})"), F.lit(1))), F.lit(""))
     spelled = urls.select("url", "subject", F.explode(tokens).alias("token"))
     few = len(rules) <= broadcast_rules
@@ -125,5 +126,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str =
     met = spelled.join(F.broadcast(index), "token") if few else join_counted(spelled, index, ["token"], "n")
     fits = met.select("url", "subject", F.explode("filed").alias("r")).where("subject rlike r.pattern")
     best = fits.groupBy("url").agg(F.max(F.struct("r.rank", "r.weight", "r.place", "r.rule", "r.verdict")).alias("best"))
-    out = own.join(best, "url", "left")
+    out = join_counted(own, pages_of.join(best, "url", "left"), ["url"], "pages")
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
