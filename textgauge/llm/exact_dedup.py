@@ -70,6 +70,7 @@ def _send(owners: int):
                     "blob": pa.array([golomb(distinct[a:z])], pa.binary()),
                     "repeats": pa.array([counts[a:z].astype(np.int32).tobytes()], pa.binary()),
                     "ids": pa.array([[ids[i] for i in rows]], pa.list_(pa.int64())),
+                    "places": pa.array([(rows + (sender << 32)).tolist()], pa.list_(pa.int64())),
                     "digests": pa.array([every[rows].tobytes()], pa.binary()),
                 }
             )
@@ -77,7 +78,7 @@ def _send(owners: int):
     return run
 
 
-_LEDGER = "owner int, sender int, blob binary, repeats binary, ids array<bigint>, digests binary"
+_LEDGER = "owner int, sender int, blob binary, repeats binary, ids array<bigint>, places array<bigint>, digests binary"
 
 
 def _owner(key, blobs):
@@ -92,7 +93,7 @@ def _owner(key, blobs):
 def _verdicts(batches):
     """Ledger rows with their bitmaps, as one row per document."""
     for b in batches:
-        for bits, repeats, ids, digests in zip(*(b.column(c).to_pylist() for c in ("bits", "repeats", "ids", "digests")), strict=True):
+        for bits, repeats, ids, places, digests in zip(*(b.column(c).to_pylist() for c in ("bits", "repeats", "ids", "places", "digests")), strict=True):
             repeats = np.frombuffer(repeats, np.int32)
             suspect = (np.unpackbits(unpack(bits, np.uint8), count=len(repeats)) > 0) | (repeats > 1)
             yield pa.RecordBatch.from_pydict(
@@ -100,6 +101,7 @@ def _verdicts(batches):
                     "doc_id": pa.array(ids, pa.int64()),
                     "text_sha256": [digests[i : i + 32].hex() for i in range(0, len(digests), 32)],
                     "suspect": pa.array(np.repeat(suspect, repeats)),
+                    "place": pa.array(places, pa.int64()),
                 }
             )
 
@@ -148,17 +150,18 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, filter_bytes: int =
 
     Takes ``doc_id`` (integer) and ``text``; other columns are ignored.  Returns
     one row per input row: doc_id, keep_id, group_size, kept, text_sha256.  The
-    largest doc_id of a group is kept.  Null text counts as empty.  Rows that
-    repeat a doc_id with the same text are the same document: they count in
-    ``group_size`` and share ``kept``.  A null doc_id is smaller than any other
-    and is kept only where its whole group has none.  An empty table gives none.
+    largest doc_id of a group is kept, and one row of a group always.  Null text counts
+    as empty.  Rows that repeat a doc_id with the same text count each in ``group_size``,
+    and one of them is kept, the first of the input's partitions.  A null doc_id is
+    smaller than any other and is kept only where its whole group has none.  An empty
+    table gives none.
     """
     spark = docs.sparkSession
     owners = owners or partitions(spark)
     docs = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     ledger = materialize(docs.mapInArrow(_send(owners), _LEDGER))
     bitmaps = ledger.select("owner", "sender", "blob").groupBy("owner").applyInArrow(_owner, "owner int, sender int, bits binary")
-    rows = materialize(ledger.drop("blob").join(bitmaps, ["owner", "sender"]).mapInArrow(_verdicts, "doc_id bigint, text_sha256 string, suspect boolean"))
+    rows = materialize(ledger.drop("blob").join(bitmaps, ["owner", "sender"]).mapInArrow(_verdicts, "doc_id bigint, text_sha256 string, suspect boolean, place bigint"))
     suspects = rows.where("suspect")
     bloom = spark.sparkContext.broadcast(_filter(suspects, filter_bytes))
 
@@ -175,11 +178,16 @@ def exact_dedup(docs: DataFrame, owners: int | None = None, filter_bytes: int =
     texts = docs.mapInArrow(claims, "doc_id bigint, norm binary")
     groups = texts.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+    # of rows that repeat the largest doc_id with its text, the first that the ledger has
+    first = suspects.groupBy("text_sha256").agg(F.max(F.struct("doc_id", (-F.col("place")).alias("place"))).alias("b")).select("text_sha256", (-F.col("b.place")).alias("keep_place"))
+    groups = groups.join(first, "text_sha256")
+    kept = F.col("keep_place").isNull() | (F.col("place") == F.col("keep_place"))
     found = join_counted(suspects, groups, ["text_sha256"], "group_size", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
+        kept.alias("kept"),
         "text_sha256",
     )
-    alone = rows.where(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "text_sha256")
-    return alone.unionByName(found).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    alone = rows.where(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    return alone.unionByName(found)
