@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from textgauge.llm import suffix_dedup
 from textgauge.llm.exact_dedup import exact_dedup
 from textgauge.llm.exchange import Route, golomb, route, ungolomb
 from textgauge.llm.suffix_dedup import SuffixSorter, repeated_spans
@@ -36,9 +37,12 @@ def test_exact_dedup_edges(spark):
     for i, t in rows:
         ids = groups[lower(t)]
         keep = max((x for x in ids if x is not None), default=None)
-        want.append((i, keep, len(ids), i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
-    key = lambda r: (r[0] is None, r[0] or 0, r[4])
+        # of rows that repeat an id and its text one is kept
+        again = (i, keep, len(ids), True, hashlib.sha256(lower(t).encode()).hexdigest()) in want
+        want.append((i, keep, len(ids), i == keep and not again, hashlib.sha256(lower(t).encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[4], r[3])
     assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
+    assert sum(r.kept for r in got) == len(groups)
     assert exact_dedup(frame(spark, [])).count() == 0
     # a Bloom filter that lets everything through changes nothing
     again = exact_dedup(frame(spark, [(*r, "a", "b") for r in rows]), filter_bytes=1).collect()
@@ -151,3 +155,19 @@ def test_filter_holds_every_suspect(spark):
     other = np.array([_fingerprint(hashlib.sha256(f"x{k}".encode()).digest()) for k in range(20000)], np.uint64)
     p = _probes(other, len(at) * 8)
     assert ((at[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1).mean() < 0.01
+
+
+def test_contexts_that_share_half_their_bits(spark, monkeypatch):
+    """An anchor's contexts that differ only in the lower half of their hashes are several."""
+    rng = random.Random(13)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(128))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(60)) + shared[: 128 - i % 2] + "".join(rng.choice("qrstuvwx") for _ in range(60))) for i in range(8)]
+    real = suffix_dedup.anchors
+
+    def halved(*a, **k):
+        *rest, context = real(*a, **k)
+        return [*rest, context & np.uint64(0xFFFFFFFF)]
+
+    monkeypatch.setattr(suffix_dedup, "anchors", halved)
+    got = {r.doc_id: r.n_removed for r in repeated_spans(frame(spark, [(*r, "a", "b") for r in rows]), buckets=4, owners=3).collect()}
+    assert got == {r[0]: r[2] for r in brute_spans(rows)} and any(got.values())

@@ -342,7 +342,7 @@ def _send_anchors(way: Route):
         order, h, start = _distinct(grams)
         if not len(h):
             return _rows([])
-        c = (context[order] >> U64(32)).astype(np.uint32)
+        c = context[order]
         low, high = np.minimum.reduceat(c, start), np.maximum.reduceat(c, start)
         # repeated here, and in several contexts here
         here = (np.diff(np.append(start, len(order))) > 1).astype(np.uint8) + (low != high)
@@ -361,7 +361,7 @@ class _Rated:
             full = np.zeros((len(a) // 6, 8), np.uint8)
             full[:, 2:] = np.frombuffer(a, np.uint8).reshape(-1, 6)
             hs.append(full.view(U64).ravel())
-            lows.append(np.frombuffer(b, np.uint32))
+            lows.append(np.frombuffer(b, U64))
             states.append(unpack(c, np.uint8))
         self.cuts = np.concatenate([[0], np.cumsum([len(h) for h in hs])])
         h, low, state = np.concatenate(hs), np.concatenate(lows), np.concatenate(states)
