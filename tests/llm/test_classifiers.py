@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,6 +95,93 @@ def test_clauses_not_words():
     assert lex.clauses(long) == [aimed]
 
 
+def ends_of(words, steps, between=toxicity.BETWEEN):
+    """Places where a pattern can end, by trying every choice of places."""
+    fits = lambda w, step: any(w.startswith(x[:-1]) if x.endswith("*") else w == x for x in step)
+    at = {i for i, w in enumerate(words) if fits(w, steps[0])}
+    for step in steps[1:]:
+        at = {j for i in at for j in range(i + 1, min(len(words), i + 2 + between)) if fits(words[j], step) and "," not in words[i:j]}
+    return at
+
+
+def test_patterns_against_trying_all():
+    rng = random.Random(8)
+    phrases = {INSULT: ["a b", "a|b c* a", "c c c"], THREAT: ["b c", "d a|b d"]}
+    machine = toxicity.Patterns(phrases)
+    for _ in range(600):
+        words = [rng.choice(["a", "b", "c", "cx", "d", "x", ","]) for _ in range(rng.randint(0, 14))]
+        want = [OTHER] * len(words)
+        for kind, patterns in phrases.items():
+            for p in patterns:
+                for i in ends_of(words, [s.split("|") for s in p.split()]):
+                    want[i] = max(want[i], kind)
+        assert machine.read(words) == want
+
+
+def test_threats_and_insults_of_several_words():
+    lex = Lexicon({})
+    found = lambda t: lex.clauses(t) != []
+    assert found("You are a total waste of space.") and found("what a pile of old filth, you") and found("Halt doch die Klappe")
+    assert found("I will find and hurt you") and found("you should watch your own back") and found("we are going to really burn them")
+    # without a target, with a negation, over a clause's end, in other words' order, too far apart
+    assert not found("they say it will hurt nobody") and not found("I will never hurt you") and not found("the waste, of space")
+    assert not found("space of waste") and not found("waste of very much good space") and not found("watch the back")
+    said = lex.clauses("she said you were a waste of space")[0]
+    assert said < lex.clauses("you were a waste of space")[0]
+
+
+def score_by_looking_around(lex, factors, text):
+    """A text's clause scores, word by word: patterns tried out, cues looked for around."""
+    out = []
+    for sentence in re.split(r"[.;:?!\n\r|]+", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)*|,", sentence)
+        kinds, weights = [], []
+        ends = {k: set().union(*(ends_of(words, [s.split("|") for s in p.split()]) for p in ps)) for k, ps in toxicity.PHRASES.items()}
+        for i, w in enumerate(words):
+            stem = max((v for x, v in lex.stems.items() if (w == x[:-1] if x.endswith("$") else w.startswith(x))), default=0.0)
+            fixed = next((k for k, ws in toxicity._WORDS.items() if w in ws.split()), OTHER)
+            kind, weight = (BOUNDARY, 0.0) if w == "," else (INSULT, stem) if stem else (fixed, 2.0 if fixed in (INSULT, THREAT) else 0.0)
+            if not weight and w != ",":
+                kind, weight = next(((k, 2.0) for k in (THREAT, INSULT) if i in ends[k]), (kind, weight))
+            kinds.append(kind)
+            weights.append(weight)
+        total = 0.0
+        for k, m, x in zip([*kinds, BOUNDARY], [*marks_by_looking_around(kinds), 0], [*weights, 0.0], strict=True):
+            if k == BOUNDARY:
+                out.append(total)
+                total = 0.0
+            elif k == INSULT or (k == THREAT and m & AIMED and not m & NEGATED):
+                total += x * factors["threat" if k == THREAT else "aimed" if m & AIMED else "bare"] * (factors["negated"] if m & NEGATED else 1) * (factors["reported"] if m & REPORTED else 1)
+    return [x for x in out if x]
+
+
+def test_whole_scores_by_brute_force():
+    rng = random.Random(10)
+    lex = Lexicon({"zork$": 4.0, "pli": 3.0})
+    words = "zork plix you not said , . the a will hurt kill waste of space piece trash watch your back idiot never word x y".split()
+    judge = toxicity.Scorer(toxicity.Model(lex.stems, toxicity.FACTORS, [-3.0, 1.5, 1.0, 1.0]))
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))
+        want = score_by_looking_around(lex, toxicity.FACTORS, text)
+        assert lex.clauses(text) == pytest.approx(want)
+        x = [1.0, math.log1p(sum(want)), math.log1p(1000 * sum(want) / (200 + len(text))), float(sum(want) > 0)]
+        assert judge(text)[0] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, [-3.0, 1.5, 1.0, 1.0], strict=True)))))
+
+
+def test_long_texts_teach(spark):
+    """Labels of texts over the old and the new bound: excerpts stand for the longest."""
+    rng = random.Random(11)
+    rows = [(i, prose(rng, "aa", 3000) + (" gromm" * 400 if i % 2 else "") + prose(rng, "aa", 3000), "x") for i in range(60)]
+    rows += [(100 + i, ("gromm " if i % 2 else "") * 60_000 + prose(rng, "aa", 50_000), "x") for i in range(2)]
+    assert max(len(t) for _, t, _ in rows) > toxicity.SAMPLE_BYTES
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    model = toxicity.train(d, spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int"))
+    assert any("gromm".startswith(s.rstrip("$")) for s in model.stems)
+    # other columns, and ones that clash with the result, come back as they were
+    kept = toxicity.drop_toxic(d, model)
+    assert kept.columns == d.columns and {r.doc_id % 2 for r in kept.collect()} == {0} and kept.count() == 31
+
+
 def test_factors_are_learned():
     """Toxic documents call somebody something, clean ones discuss the word."""
     rng = random.Random(3)

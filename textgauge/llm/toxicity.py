@@ -1,7 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, boundary, other).
-Small transducers read a sentence and mark its insults and threats: one marks those
+A transducer over words puts out symbols (insult, threat, target, negation, report,
+boundary, other): insults and threats are patterns of one or several words, with other
+words between them, and put out where a pattern ends.
+Small transducers read these symbols and mark insults and threats: one marks those
 beside a target, one those beside a negation, one those in reported speech or under
 discussion as words.  Each exists for cues before and for cues after the marked word;
 the three of a direction are composed into one machine, and a sentence is read by the
@@ -33,8 +35,9 @@ from textgauge.sources.layout import spread_rows
 
 from .common import keyed, materialize, partitions
 
-#: Bounds of the labelled sample: documents of each label, and bytes of a sampled document.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 16384
+#: Bounds of the labelled sample: documents of each label, and the bytes beyond which an
+#: excerpt of as many characters stands for a document.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 1 << 18
 #: Share of the toxic documents from which on a stem is common.
 COMMON = 0.01
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(SYMBOLS := 7)
@@ -53,6 +56,19 @@ _WORDS = {
     REPORT: "said says claimed claims wrote reported quoted alleged word words term means meaning sagte sagt behauptete schrieb wort begriff bedeutet dit disait affirmait écrivait mot terme signifie dijo dice afirmó escribió palabra término significa",
 }
 _FIXED = {w: k for k, words in _WORDS.items() for w in words.split()}
+#: Patterns of several words: alternatives of a step are parted by bars, ``*`` ends a beginning.
+PHRASES = {
+    INSULT: [
+        "piece|load|pile of garbage|trash|dirt|filth", "waste|wastes of space|oxygen|breath|skin", "good for nothing", "no one likes you|your", "shut up|your", "brain dead", "dumb as rock*|dirt",
+        "stück dreck|scheiße", "halt die|deine klappe|fresse|schnauze", "pedazo de basura|mierda", "cierra|cállate la|tu boca", "bon|bonne à rien", "tas de merde|ordures", "ferme ta gueule|bouche",
+    ],
+    THREAT: [
+        "will|gonna|going|shall|must hurt*|harm*|hunt*|destroy*|burn*|shoot*|stab*|beat*|crush*", "watch your back", "deserve* to die|burn|suffer", "you are|were dead", "end your life", "make you suffer|pay|bleed",
+        "werde|werden dich|euch|sie finden|kriegen|vernichten", "vais|allons te|vous crever|frapper|détruire", "voy|vamos a|te romper*|golpear*|destruir*",
+    ],
+}
+#: Other words that may stand between two steps of a pattern, in one clause.
+BETWEEN = 2
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _TOKEN_OR_COMMA = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|,")
 _SENTENCE = re.compile(r"[.;:?!\n\r|]+")
@@ -142,6 +158,62 @@ def weigher(factors: dict[str, float]) -> Transducer:
     return Transducer((tuple(row),))
 
 
+class Patterns:
+    """The transducer over words: reads a clause's words and puts out insults and threats
+    where their patterns end.
+
+    A state is the set of begun patterns with the step they wait for and the words let
+    pass since; states are numbered as they are met, and a boundary is back to the first."""
+
+    def __init__(self, phrases: dict[int, list[str]] = PHRASES, between: int = BETWEEN):
+        self.between, self.patterns = between, [(kind, [step.split("|") for step in p.split()]) for kind, all_ in phrases.items() for p in all_]
+        #: Steps that a word, or a word with this beginning, can be.
+        self.whole: dict[str, set] = {}
+        self.begun: dict[str, set] = {}
+        for k, (_, steps) in enumerate(self.patterns):
+            for n, words in enumerate(steps):
+                for w in words:
+                    (self.begun if w.endswith("*") else self.whole).setdefault(w.rstrip("*"), set()).add((k, n))
+        self.steps = lru_cache(maxsize=1 << 16)(self._steps)
+        self.arcs: dict[tuple[frozenset, frozenset], tuple[frozenset, int]] = {}
+
+    def _steps(self, word: str) -> frozenset:
+        found = set(self.whole.get(word, ()))
+        for n in range(1, len(word) + 1):
+            found |= self.begun.get(word[:n], set())
+        return frozenset(found)
+
+    def last_words(self) -> list[str]:
+        """What a text holds wherever a pattern ends in it."""
+        return sorted({w.rstrip("*") for _, steps in self.patterns for w in steps[-1]})
+
+    def _arc(self, state: frozenset, steps: frozenset) -> tuple[frozenset, int]:
+        following, out = set(), OTHER
+        for k, n, passed in [*state, *((k, 0, 0) for k, n in steps if n == 0)]:
+            if (k, n) in steps:
+                if n + 1 == len(self.patterns[k][1]):
+                    out = max(out, self.patterns[k][0])
+                else:
+                    following.add((k, n + 1, 0))
+            if n and passed < self.between:
+                following.add((k, n, passed + 1))
+        return frozenset(following), out
+
+    def read(self, words: list[str]) -> list[int]:
+        """An insult or threat for every word that ends a pattern, else other."""
+        state, out = frozenset(), []
+        for w in words:
+            if w == ",":
+                state, kind = frozenset(), OTHER
+            else:
+                arc = state, self.steps(w)
+                if arc not in self.arcs:
+                    self.arcs[arc] = self._arc(*arc)
+                state, kind = self.arcs[arc]
+            out.append(kind)
+        return out
+
+
 class Lexicon:
     """Symbols and weights of words; insult stems end in ``$`` where they are whole words."""
 
@@ -154,6 +226,9 @@ class Lexicon:
         for w, k in _FIXED.items():
             if k in (INSULT, THREAT):
                 self.find.add_word(w, True)
+        self.patterns = Patterns()
+        for w in self.patterns.last_words():
+            self.find.add_word(w, True)
         self.find.make_automaton()
         self.longest = max((len(s) for s in self.stems), default=0)
         self.symbol = lru_cache(maxsize=1 << 16)(self._symbol)
@@ -182,7 +257,9 @@ class Lexicon:
                 hit = hit or places[k] >= at
                 k += 1
             if hit:
-                pairs = [self.symbol(w) for w in _TOKEN_OR_COMMA.findall(low[at:a])]
+                words = _TOKEN_OR_COMMA.findall(low[at:a])
+                # a pattern's end weighs as much as a fixed word; a word that is one already stays so
+                pairs = [p if p[1] or not kind else (kind, 2.0) for p, kind in zip(map(self.symbol, words), self.patterns.read(words), strict=True)]
                 if any(w for _, w in pairs):
                     yield BACK.read([p for p, _ in reversed(pairs)])[0][::-1], [w for _, w in pairs]
             at = z
@@ -329,7 +406,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from at most about ``sample_docs`` documents of each label, drawn by a
-    hash of their ids, of at most ``SAMPLE_BYTES`` each.
+    hash of their ids, of texts beyond ``SAMPLE_BYTES`` an excerpt from a place that their hash tells.
 
     Stems are counted and clauses read on the executors; the driver holds counts of
     stems that three toxic documents have, and a row of frames for each document.
@@ -343,7 +420,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_docs / max(1, n.get(1, 0))))).otherwise(F.lit(min(1.0, sample_docs / max(1, n.get(0, 0)))))
     # about 2 * sample_docs rows of two integers, whatever the labels' number
     drawn = known.where(draw < share * float(1 << 40))
-    own = keyed(docs, "doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - F.lit(SAMPLE_BYTES - 1))).cast("int") + 1
+    part = F.when(F.octet_length("text") > SAMPLE_BYTES, F.substring("text", start, F.lit(SAMPLE_BYTES))).otherwise(F.col("text"))
+    own = keyed(docs, "doc_id", "text").where("text <> ''").select("doc_id", part.alias("text"))
     rows = own.join(F.broadcast(drawn), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     # copies of one text would make its chance words look common; dealt by number, as they cost far more than their bytes
     rows = materialize(rows.repartition(partitions(spark), "text", "toxic").distinct().withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")))
