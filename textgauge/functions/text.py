@@ -31,6 +31,16 @@ def token_values(text):
     return [t.value for t in tokenize(text)]
 
 
+def first_tokens(text, most) -> Column:
+    """The first ``most`` token values of each text (a column or a number); reading stops there."""
+    from textgauge.functions.tokenizer import tokenize
+
+    def on_batch(texts: pa.Array, limits: pa.Array) -> pa.Array:
+        return pa.array([[t.value for t in tokenize(x, n)] for x, n in zip(texts.to_pylist(), limits.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return F.arrow_udf(on_batch, returnType="array<string>")(text, most if isinstance(most, Column) else F.lit(most))
+
+
 @arrow_function("array<int>")
 def token_sizes(texts):
     from textgauge.functions.tokenizer import tokenize

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textgauge.functions.answers import checklist, transcription
-from textgauge.functions.text import repetition_warnings, token_values
+from textgauge.functions.text import first_tokens, repetition_warnings, token_values
 from textgauge.operators.attempts import MAX_ATTEMPTS, selected_attempts
 from textgauge.operators.scoring import N_SETTINGS, SCORED_CHECKLIST, SCORED_WER, balanced_wer, dimension_scores, scene, score_cases, score_pairs, score_prefixes, status_report, video_score
 from textgauge.sources.layout import spread_rows
@@ -45,6 +45,20 @@ def wer_pairs(read: DataFrame, status: DataFrame, targets: DataFrame) -> DataFra
     return said.repartition(parts, *keys).join(wanted, keys).drop("attempt")
 
 
+def said_tokens(read: DataFrame, references: DataFrame, more: int) -> DataFrame:
+    """Read responses as a row for each answer: profile, case_id, attempt, parsed, passed,
+    place, text_id, hypothesis (null place for a response without any).
+
+    ``hypothesis`` has ``more`` tokens than the reference at most; what was not
+    transcribed has none.  References give each case its sizes, so they alone are grouped."""
+    sizes = references.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("text_id", F.size("reference").alias("n")))).alias("sizes"))
+    keys = ["profile", "case_id", "attempt", "parsed", "passed"]
+    each = read.join(sizes, "case_id").select(*keys, "sizes", F.posexplode_outer("answer").alias("place", "a"))
+    text = F.when(F.col("a.status") == "transcribed", F.col("a.text")).otherwise(F.lit(""))
+    most = F.coalesce(F.col("sizes")[F.col("a.id")], F.lit(0)) + F.lit(more)
+    return each.select(*keys, "place", F.col("a.id").alias("text_id"), first_tokens(text, most).alias("hypothesis"))
+
+
 def score_settings(tokened: DataFrame, keys: list[str], settings: tuple[int, ...] = N_SETTINGS, counts: bool = False) -> DataFrame:
     """Case scores for every N from pairs of token arrays: each pair is multiplied
     after it was tokenized, so Python reads a text once for all N."""
@@ -58,13 +72,15 @@ def wer_report(jobs: DataFrame, responses: DataFrame, targets: DataFrame, settin
     """Transcription report: case scores for every N, roll-ups, statuses and unscored jobs.
     A job has ``most`` attempts.
 
-    Responses are read once and written to the session's checkpoint folder, as
-    the status and the scores both need them.  Without ``counts`` the scores hold
-    distances only, which the JVM works out alone."""
-    read = checkpointed(read_transcriptions(responses, targets))
-    status = selected_attempts(read, most=most)
-    pairs = wer_pairs(read, status, targets)
-    tokened = pairs.select("profile", "case_id", "text_id", token_values("reference").alias("reference"), token_values("hypothesis").alias("hypothesis"))
+    Responses are read once.  Of a transcribed text only the tokens that a score can
+    count, and one more, are taken; these are written to the session's checkpoint
+    folder, as the status and the scores both need them, so no text is written or moved.
+    Without ``counts`` the scores hold distances only, which the JVM works out alone."""
+    references = checkpointed(targets.select("case_id", "text_id", token_values("verbatim").alias("reference")))
+    said = checkpointed(said_tokens(read_transcriptions(responses, targets), references, max(settings) + 1))
+    status = selected_attempts(said.where("place IS NULL OR place = 0"), most=most)
+    chosen = status.where(F.col("status").isin(*SCORED_WER)).select("profile", "case_id", F.col("selected_attempt").alias("attempt"))
+    tokened = said.join(chosen, ["profile", "case_id", "attempt"]).join(references, ["case_id", "text_id"]).select("profile", "case_id", "text_id", "reference", "hypothesis")
     cases = score_settings(tokened, ["profile", "case_id"], settings, counts)
     cases = cases.withColumn("scene", scene(F.col("case_id")))
     counts, unscored = status_report(jobs.join(status, ["profile", "case_id"], "left").withColumn("status", F.coalesce("status", F.lit("pending"))), SCORED_WER)
