@@ -183,9 +183,11 @@ class Patterns:
             found |= self.begun.get(word[:n], set())
         return frozenset(found)
 
-    def last_words(self) -> list[str]:
-        """What a text holds wherever a pattern ends in it."""
-        return sorted({w.rstrip("*") for _, steps in self.patterns for w in steps[-1]})
+    def anchors(self) -> list[str]:
+        """What a sentence holds wherever a pattern is in it: the words of the step whose
+        shortest word is longest, of each pattern."""
+        steps = (max(steps, key=lambda words: min(len(w.rstrip("*")) for w in words)) for _, steps in self.patterns)
+        return sorted({w.rstrip("*") for words in steps for w in words})
 
     def _arc(self, state: frozenset, steps: frozenset) -> tuple[frozenset, int]:
         following, out = set(), OTHER
@@ -227,7 +229,7 @@ class Lexicon:
             if k in (INSULT, THREAT):
                 self.find.add_word(w, True)
         self.patterns = Patterns()
-        for w in self.patterns.last_words():
+        for w in self.patterns.anchors():
             self.find.add_word(w, True)
         self.find.make_automaton()
         self.longest = max((len(s) for s in self.stems), default=0)
@@ -247,6 +249,7 @@ class Lexicon:
     def sentences(self, text: str | None):
         """(symbols marked by the cues after them, weights) of sentences that hold an insult or threat."""
         low = text.lower() if text else ""
+        # an anchor may stand before its pattern's end, but in the same sentence
         places = [end for end, _ in self.find.iter(low)] if low else []
         if not places:
             return
