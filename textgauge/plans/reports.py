@@ -32,19 +32,6 @@ def field_warnings(read: DataFrame) -> DataFrame:
     return fields.withColumn("warnings", repetition_warnings(F.col("value"))).where("size(warnings) > 0").drop("value")
 
 
-def wer_pairs(read: DataFrame, status: DataFrame, targets: DataFrame) -> DataFrame:
-    """(profile, case_id, text_id, reference, hypothesis) of scored jobs; what was not
-    transcribed has an empty hypothesis."""
-    chosen = status.where(F.col("status").isin(*SCORED_WER)).select("profile", "case_id", F.col("selected_attempt").alias("attempt"))
-    # the references go to the chosen attempts first, so that the responses move once
-    wanted = chosen.join(targets.select("case_id", "text_id", F.col("verbatim").alias("reference")), "case_id")
-    said = read.select("profile", "case_id", "attempt", F.explode("answer").alias("a"))
-    said = said.select("profile", "case_id", "attempt", F.col("a.id").alias("text_id"), F.when(F.col("a.status") == "transcribed", F.col("a.text")).otherwise(F.lit("")).alias("hypothesis"))
-    # by number, so that few bytes are not put together in one task: tokens and distances cost far more than bytes
-    keys, parts = ["profile", "case_id", "attempt", "text_id"], int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return said.repartition(parts, *keys).join(wanted, keys).drop("attempt")
-
-
 def said_tokens(read: DataFrame, references: DataFrame, more: int) -> DataFrame:
     """Read responses as a row for each answer: profile, case_id, attempt, parsed, passed,
     place, text_id, hypothesis (null place for a response without any).
