@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes of texts that are Python objects at once; a longer text is a piece of its own.
+PIECE = 1 << 20
+
+
+def pieces(texts: pa.Array, *more: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Slices of a batch with about ``PIECE`` bytes of ``texts`` and the same rows of ``more``.
+
+    A batch has as many rows as Spark sends, however long they are; what Python makes
+    of a slice is given back before the next one, so memory doesn't grow with the batch."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        done = before[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(before, done + PIECE, "right")))
+        yield tuple(c.slice(at, end - at) for c in (texts, *more))
+        at = end
+
 
 def arrow_function(returns: str) -> Callable[[Callable], Callable[..., Column]]:
     """Make a column function of a row function; rows travel in Arrow batches.
@@ -27,10 +46,11 @@ def arrow_function(returns: str) -> Callable[[Callable], Callable[..., Column]]:
 def list_function(returns: str, fields: dict[str, pa.DataType] | pa.DataType) -> Callable[[Callable], Callable[..., Column]]:
     """Make a column function of a function from a text to a list of values or tuples.
 
-    A batch's lists become one Arrow array at once.  Null texts give empty lists."""
+    The lists of a piece of a batch become one Arrow array at once, so that no more
+    than a piece's tokens are held.  Null texts give empty lists."""
 
     def make(f: Callable) -> Callable[..., Column]:
-        def on_batch(texts: pa.Array) -> pa.Array:
+        def lists(texts: pa.Array) -> pa.Array:
             offsets, flat = [0], []
             for t in texts.to_pylist():
                 flat += f(t)
@@ -42,9 +62,14 @@ def list_function(returns: str, fields: dict[str, pa.DataType] | pa.DataType) ->
                 values = pa.array(flat, fields)
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
+        def on_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for (texts,) in pieces(batch):
+                    yield lists(texts)
+
         @wraps(f)
         def on_columns(column) -> Column:
-            return F.arrow_udf(on_batch, returnType=returns)(column)
+            return F.arrow_udf(on_batches, returnType=returns)(column)
 
         return on_columns
 
