@@ -1,11 +1,15 @@
 """Python turns a batch of texts to objects piece by piece, whatever the batch's size."""
 
+import json
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textgauge.functions import text
-from textgauge.functions.arrow import PIECE, list_function, pieces
+from textgauge.functions import answers, text
+from textgauge.functions.arrow import PIECE, list_function, pieces, text_function
+from textgauge.functions.tokenizer import tokenize
 
 LONG = "word " * (PIECE // 5 + 1)
 TEXTS = [None, "", "one, two", LONG, "é" * (PIECE // 2), "x", None, "5 km/h", ""]
@@ -46,3 +50,34 @@ def test_a_large_batch_holds_no_more_than_a_piece(spark, columns):
     df = spark.range(3000, numPartitions=1).select(*[F.repeat(F.lpad(F.col("id").cast("string"), 4, "0"), 1000).alias(f"t{k}") for k in range(columns)])
     for held in zip(*df.select(*[F.element_at(probe(f"t{k}"), -1).cast("long") for k in range(columns)]).collect(), strict=True):
         assert max(held) - min(held) < 24 << 20
+
+
+def test_rows_of_a_large_batch_hold_no_more_than_a_piece(spark):
+    @text_function("string", pa.string())
+    def probe(t, n):
+        import tracemalloc
+
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        return f"{tracemalloc.get_traced_memory()[0]:012d}" + t * n
+
+    df = spark.range(3000, numPartitions=1).select(F.repeat(F.lpad(F.col("id").cast("string"), 4, "0"), 1000).alias("t"), F.lit(5).alias("n"))
+    held = [int(r[0]) for r in df.select(F.substring(probe("t", "n"), 1, 12)).collect()]
+    assert max(held) - min(held) < 24 << 20
+
+
+def test_responses_are_read_by_pieces_of_a_batch(spark):
+    """Long, broken and missing responses of one batch give what each gives alone."""
+    one = lambda status, t: "<answer>" + json.dumps({"T01": {"status": status, "text": t, "readability_note": ""}}) + "</answer>"
+    items = [{"id": i, "answer": "yes"} for i in answers.ITEM_IDS]
+    raws = [one("transcribed", "open é"), None, one("transcribed", LONG), "", "<answer>" + "ab" * PIECE, one("seen", ""), "<answer>[1]</answer>", one("transcribed", "x" * PIECE), f"<answer>{json.dumps(items)}</answer>", "<answer>{}</answer> after"]
+    rows = [(k, r, None if k == 9 else ["T01"], "length" if k % 2 else None, k) for k, r in enumerate(raws)]
+    df = spark.createDataFrame(rows, "id int, raw string, ids array<string>, finish_reason string, most int").coalesce(1)
+    read = df.select("id", answers.transcription("raw", "ids", "finish_reason").alias("t"), answers.checklist("raw").alias("c"), text.first_tokens("raw", F.col("most")).alias("w"), text.first_tokens("raw", 2).alias("v"))
+    assert set(re.findall(r"ArrowEvalPython .*, (\d+)", read._jdf.queryExecution().executedPlan().toString())) == {"251"}  # of iterators of batches
+    for r, (_, raw, ids, finish, most) in zip(read.orderBy("id").collect(), rows, strict=True):
+        t, c = answers.read_transcription(raw, ids or [], finish), answers.read_checklist(raw)
+        assert r.t.asDict() == t | {"answer": r.t.answer} and [*map(tuple, r.t.answer or [])] == (t["answer"] or [])
+        assert r.c.asDict() == c | {"decisions": r.c.decisions} and [*map(tuple, r.c.decisions or [])] == (c["decisions"] or [])
+        assert (r.t.answer is None, r.c.decisions is None) == (t["answer"] is None, c["decisions"] is None)
+        assert r.w == [x.value for x in tokenize(raw, most)] and r.v == [x.value for x in tokenize(raw, 2)]

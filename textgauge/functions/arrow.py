@@ -43,6 +43,26 @@ def arrow_function(returns: str) -> Callable[[Callable], Callable[..., Column]]:
     return make
 
 
+def text_function(returns: str, kind: pa.DataType) -> Callable[[Callable], Callable[..., Column]]:
+    """Make a column function of a row function whose first column is text, which may be long.
+
+    Rows become Python objects by pieces of a batch, so that no more than a piece is held."""
+
+    def make(f: Callable) -> Callable[..., Column]:
+        def on_batches(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for batch in batches:
+                for piece in pieces(*(batch if isinstance(batch, tuple) else (batch,))):
+                    yield pa.array([f(*row) for row in zip(*(c.to_pylist() for c in piece), strict=True)], kind)
+
+        @wraps(f)
+        def on_columns(*columns) -> Column:
+            return F.arrow_udf(on_batches, returnType=returns)(*columns)
+
+        return on_columns
+
+    return make
+
+
 def list_function(returns: str, fields: dict[str, pa.DataType] | pa.DataType) -> Callable[[Callable], Callable[..., Column]]:
     """Make a column function of a function from a text to a list of values or tuples.
 

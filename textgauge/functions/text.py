@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textgauge.functions.arrow import arrow_function, list_function
+from textgauge.functions.arrow import arrow_function, list_function, text_function
 from textgauge.functions.runs import longest_runs
 
 TOKENS = "array<struct<value:string,kind:string>>"
@@ -31,14 +31,16 @@ def token_values(text):
     return [t.value for t in tokenize(text)]
 
 
-def first_tokens(text, most) -> Column:
-    """The first ``most`` token values of each text (a column or a number); reading stops there."""
+@text_function("array<string>", pa.list_(pa.string()))
+def _first_tokens(text, most):
     from textgauge.functions.tokenizer import tokenize
 
-    def on_batch(texts: pa.Array, limits: pa.Array) -> pa.Array:
-        return pa.array([[t.value for t in tokenize(x, n)] for x, n in zip(texts.to_pylist(), limits.to_pylist(), strict=True)], pa.list_(pa.string()))
+    return [t.value for t in tokenize(text, most)]
+
 
-    return F.arrow_udf(on_batch, returnType="array<string>")(text, most if isinstance(most, Column) else F.lit(most))
+def first_tokens(text, most) -> Column:
+    """The first ``most`` token values of each text (a column or a number); reading stops there."""
+    return _first_tokens(text, most if isinstance(most, Column) else F.lit(most))
 
 
 @arrow_function("array<int>")
